@@ -77,6 +77,15 @@ def phrase_set(dictionary: DataFrame, limit: int = INLINE_PHRASES) -> PhraseSet
     return PhraseSet({r.phrase: (r.polarity, float(r.score)) for r in rows})
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once, not again inside every lambda that uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _in(values: list[str]):
+    return lambda x: x.isin(values)
+
+
 def _pieces(text: Column) -> Column:
     """word, separator, word, ... of the lower-cased text, starting at its first word."""
     lead = F.regexp_replace(F.lower(text), f"^[^{ALNUM}]+", "")
@@ -126,12 +135,13 @@ def matched_phrases(text: Column, phrases: PhraseSet) -> Column:
             first_words[len(words)].add(words[0])
     openers = {n: sorted(words) for n, words in first_words.items()}
     empty = F.array().cast("array<string>")
-    grams = _candidates(_pieces(text), max(openers, default=1), openers)
-    found = F.array_distinct(F.filter(grams, lambda g: g.isin(plain))) if plain else empty
+    width = max(openers, default=1)
+    grams = _let(_pieces(text), lambda pieces: F.filter(_candidates(pieces, width, openers), _in(plain)))
+    found = F.array_distinct(grams) if plain else empty
     if edged:
         # Phrases with a symbol at an edge are no n-grams: look each of them up, then restore the order.
         lower = F.lower(text)
-        extra = F.filter(F.array(*[F.lit(p) for p in edged]), lambda p: lower.rlike(_edge_pattern(p)))
+        extra = F.filter(F.array(*[F.lit(p) for p in edged]), lambda p: F.rlike(lower, _edge_pattern(p)))
         ends = F.transform(F.concat(found, extra), lambda p: F.struct(
             (F.regexp_instr(lower, _edge_pattern(p)) + F.length(p)).alias("at"),
             (-F.length(p)).alias("shorter"), p.alias("phrase")))
@@ -148,11 +158,11 @@ def score_texts(docs: DataFrame, phrases: PhraseSet, text: str = "text") -> Data
     found = docs.withColumn("_found", matched_phrases(F.col(text), phrases))
     score = F.lit(0.0)
     for value, members in phrases.score_classes().items():
-        score = score + F.size(F.filter("_found", lambda p, m=members: p.isin(m))) * F.lit(value)
+        score = score + F.size(F.filter("_found", _in(members))) * F.lit(value)
     return found.select(
         *docs.columns, score.alias("score"),
-        F.filter("_found", lambda p: p.isin(phrases.of_polarity("pos"))).alias("pos_keys"),
-        F.filter("_found", lambda p: p.isin(phrases.of_polarity("neg"))).alias("neg_keys"))
+        F.filter("_found", _in(phrases.of_polarity("pos"))).alias("pos_keys"),
+        F.filter("_found", _in(phrases.of_polarity("neg"))).alias("neg_keys"))
 
 
 def phrase_matches(docs: DataFrame, dictionary: DataFrame, uid: str = "uid", text: str = "text",
@@ -162,8 +172,8 @@ def phrase_matches(docs: DataFrame, dictionary: DataFrame, uid: str = "uid", tex
     The text itself is never shuffled, only its distinct n-grams, and Spark picks a broadcast or
     a shuffled join from the dictionary's size.  ``width`` is the longest phrase in words.
     """
-    grams = docs.select(uid, F.posexplode(F.array_distinct(
-        _candidates(_pieces(F.col(text)), width, None))).alias("at", "phrase"))
+    grams = _let(_pieces(F.col(text)), lambda pieces: _candidates(pieces, width, None))
+    grams = docs.select(uid, F.posexplode(F.array_distinct(grams)).alias("at", "phrase"))
     return grams.filter(F.col("phrase").isNotNull()).join(dictionary, "phrase").select(
         uid, "phrase", "score", "polarity", "at")
 
@@ -224,7 +234,7 @@ def matches_language_rules(text: Column, lang: Column, wanted: dict[str, list[st
         return F.coalesce(expr.otherwise(branch), branch)
 
     lower = F.coalesce(F.lower(text), F.lit(""))
-    return lower.rlike(rule(wanted)) & ~lower.rlike(rule(unwanted))
+    return F.rlike(lower, rule(wanted)) & ~F.rlike(lower, rule(unwanted))
 
 
 def keyword_row_counts(docs: DataFrame, keywords: list[str], uid: str = "uid", text: str = "text") -> DataFrame:

@@ -98,3 +98,23 @@ def file_listing(spark: SparkSession, folder: str) -> DataFrame:
 def part_name() -> Column:
     """Name of the input file of each row of a file scan."""
     return F.col("_metadata.file_name")
+
+
+def scan_batches(df: DataFrame, function, schema: str | T.StructType) -> DataFrame:
+    """Apply a pandas function to bounded batches of rows.
+
+    The session's ``spark.sql.execution.arrow.maxRecordsPerBatch`` bounds a batch.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            yield function(pdf)
+
+    return df.mapInPandas(run, schema)
+
+
+def head_sample(df: DataFrame, head: int, n: int, order: list[str], uid: str = "uid", seed: int = 42) -> DataFrame:
+    """A seeded random n of the first ``head`` rows in the given order."""
+    from siftwell.operators.sampling import take_random
+
+    return take_random(df.orderBy(*order).limit(head), n, uid, seed)
