@@ -34,12 +34,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def _needed(sql: str, seen: list[str]) -> list[str]:
+def _needed(sql: str, seen: list[str], above: tuple[str, ...] = ()) -> list[str]:
     for name in VIEWS:
-        if name not in seen and re.search(rf"\b{name}\b", sql):
-            _needed(VIEWS[name], seen)
-            if name not in seen:
-                seen.append(name)
+        if name not in seen and name not in above and re.search(rf"\b{name}\b", sql):
+            _needed(VIEWS[name], seen, (*above, name))
+            seen.append(name)
     return seen
 
 

@@ -332,9 +332,10 @@ def dictionary(spark) -> DataFrame:
 
 view("dict", "SELECT * FROM (VALUES " + ", ".join(
     f"('{p}', {s}::DOUBLE, '{kind}')" for p, (kind, s) in _entries().items()) + ") d(phrase, score, polarity)")
-view("phrase_hits", r"""
-    SELECT uid, phrase, score, polarity FROM docs, dict
-    WHERE regexp_matches(lower(text), '(?:^|[^\p{L}\p{N}])' || phrase || '(?:$|[^\p{L}\p{N}])')""")
+view("phrase_hits", " UNION ALL ".join(
+    f"SELECT uid, '{p}' AS phrase, {s}::DOUBLE AS score, '{kind}' AS polarity FROM docs "
+    rf"WHERE regexp_matches(lower(text), '(?:^|[^\p{{L}}\p{{N}}]){p}(?:$|[^\p{{L}}\p{{N}}])')"
+    for p, (kind, s) in _entries().items()))
 view("runs_of_text", r"""
     SELECT uid, unnest(p) AS piece, generate_subscripts(p, 1) AS i
     FROM (SELECT uid, regexp_extract_all(lower(text), '[\p{L}\p{N}]+|[^\p{L}\p{N}]+') AS p FROM docs)""")

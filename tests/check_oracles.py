@@ -41,6 +41,9 @@ def compare(df, con, sql: str) -> str | None:
     """None if equal, else what differs."""
     got_cols, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     cur = con.execute(sql)
+    odd = [(d[0], str(d[1])) for d in cur.description if "DECIMAL" in str(d[1]) or "HUGEINT" in str(d[1]) or "[]" in str(d[1])]
+    if odd:
+        return f"oracle types {odd}"
     want_cols, want = rows_of([d[0] for d in cur.description], cur.fetchall())
     if got_cols != want_cols:
         return f"columns {got_cols} != {want_cols}"
