@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftwell.functions.scores import direction, percent_change
 from siftwell.operators.metrics import evaluate
+from siftwell.session import materialise
 
 RESULT_COLUMNS = ["model", "f1", "precision", "recall", "accuracy", "roc_auc", "pr_auc", "optimal_threshold",
                   "optimal_f1"]
@@ -61,9 +64,6 @@ def nearest_in_class(rows: DataFrame, k: int = 3, embedding: str = "embedding",
     The rows are cut into blocks and every block meets every block once, each pair of blocks in its
     own group; a block pair keeps only its best k per row, which are merged afterwards.  Exact.
     """
-    import numpy as np
-    import pandas as pd
-
     n_blocks = max(1, cells)
     block = F.pmod(F.xxhash64(uid), F.lit(n_blocks))
     base = rows.select(F.col(uid).cast("string").alias("uid"), F.col(embedding).cast("array<double>").alias("e"))
@@ -138,9 +138,6 @@ def fourier_features(df: DataFrame, dim: int, n_features: int = 256, gamma: floa
 
     ``gamma`` defaults to 1/dim, right for standardised input.
     """
-    import numpy as np
-    import pandas as pd
-
     rng = np.random.default_rng(seed)
     gamma = gamma or 1.0 / dim
     w = rng.normal(0.0, np.sqrt(2 * gamma), (dim, n_features))
@@ -190,13 +187,17 @@ def fit_and_score(name: str, train: DataFrame, test: DataFrame, dim: int, smote:
 
 def compare(train: DataFrame, test: DataFrame, dim: int, runs: list[tuple[str, bool]],
             models: dict | None = None) -> DataFrame:
-    """One row of metrics per (model, with oversampling), evaluated in one pass over all predictions."""
+    """One row of metrics per (model, with oversampling), evaluated in one pass over all predictions.
+
+    Training reads its input many times, so both splits are written once to shared storage first.
+    """
+    train, test = materialise(train, "train"), materialise(test, "test")
     scored = None
     for name, smote in runs:
         part = fit_and_score(name, train, test, dim, smote, models).withColumn(
             "model", F.lit(name + (" + SMOTE" if smote else "")))
         scored = part if scored is None else scored.unionByName(part)
-    return evaluate(scored, groups=["model"]).select(*RESULT_COLUMNS)
+    return evaluate(materialise(scored, "scored"), groups=["model"]).select(*RESULT_COLUMNS)
 
 
 def best_model(results: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import importlib
 
 from siftwell.plans.registry import ORACLES, QUERIES, Query, oracle
 
-MODULES = ["q_sources", "q_filters", "q_profiles", "q_windows", "q_functions", "q_survey"]
+MODULES = ["q_sources", "q_filters", "q_profiles", "q_windows", "q_functions", "q_survey", "q_state", "q_learning"]
 
 
 def _load() -> None:

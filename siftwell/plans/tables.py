@@ -38,9 +38,13 @@ view("pool", """
 
 
 def pool(spark, sf) -> DataFrame:
+    return pool_rows(table(spark, sf, "pages"))
+
+
+def pool_rows(pages: DataFrame) -> DataFrame:
     k = F.col("page_id")
     tail = F.concat(F.lit("/"), (k % 4).cast("string"), F.when(k % 2 == 0, "/").otherwise(""))
-    return table(spark, sf, "pages").select(
+    return pages.select(
         k.cast("string").alias("uid"), k.alias("k"), F.regexp_replace("url", F.lit("/[0-9]+.*$"), tail).alias("url"),
         ((k * 37 % 100) / 100).alias("pred_proba"), ((k * 7 % 31 - 4) / 2).alias("score"))
 
