@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
@@ -206,13 +207,36 @@ def best_model(results: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- scoring
 
+WIDE = 128
+
+
 def linear_proba(weights: list[float], bias: float, embedding: str = "embedding") -> Column:
-    """Sigmoid of a fixed linear model, inside the scan stage: no vector conversion and no shuffle."""
+    """Sigmoid of a fixed linear model, inside the scan stage: no vector conversion and no shuffle.
+
+    Short embeddings are summed in the JVM; wide ones go through Arrow as one matrix product per batch.
+    """
+    if len(weights) > WIDE:
+        return _matrix_proba(weights, bias)(F.col(embedding))
     w = F.array(*[F.lit(float(x)) for x in weights])
     dot = F.aggregate(F.zip_with(F.col(embedding), w, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x)
     return 1 / (1 + F.exp(-(dot + bias)))
 
 
+def _matrix_proba(weights: list[float], bias: float):
+    w = np.asarray(weights, dtype="float64")
+
+    @F.arrow_udf("double")
+    def proba(e: pa.Array) -> pa.Array:
+        known = e.is_valid().to_numpy(zero_copy_only=False)
+        out = np.full(len(e), np.nan)
+        if known.any():
+            x = e.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(w)).astype("float64")
+            out[known] = 1 / (1 + np.exp(-(x @ w + bias)))
+        return pa.array(out, mask=~known)
+
+    return proba
+
+
 def score_and_keep(df: DataFrame, proba: Column, threshold: float = 0.5, inclusive: bool = True,
                    keep: list[str] = ("uid", "url", "score")) -> DataFrame:
     """Slim rows at or above the threshold; the embedding never leaves the scan."""

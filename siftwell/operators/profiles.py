@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from siftwell.functions.scores import (
     confidence_tier, half_open_band, label_code, right_closed_band, tenth)
@@ -13,21 +13,20 @@ from siftwell.operators.ordering import attach_row, first_per_key, quantile_colu
 from siftwell.schemas import METHOD_FLAGS, SUBJECT_FLAGS
 
 
-def _share(df: DataFrame, n: str = "n") -> Column:
-    return F.col(n) * 100 / F.sum(n).over(Window.partitionBy())
+def _with_percent(counts: DataFrame, rows: DataFrame) -> DataFrame:
+    """Percent of all rows; the row count is a separate scan of no columns."""
+    return counts.withColumn("percent", F.col("n") * 100 / rows.agg(F.count("*").alias("n")).scalar())
 
 
 def frequency_table(df: DataFrame, col: str, denominator: DataFrame | None = None) -> DataFrame:
     """Answered values with their count and percent of all rows, missing answers included in the base."""
-    base = (denominator if denominator is not None else df).agg(F.count("*").alias("n")).scalar()
     counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("n"))
-    return counts.withColumn("percent", F.col("n") * 100 / base)
+    return _with_percent(counts, denominator if denominator is not None else df)
 
 
 def category_shares(df: DataFrame, *cols) -> DataFrame:
-    """Count and percent of all rows per category; the window sees one row per category."""
-    counts = df.groupBy(*cols).agg(F.count("*").alias("n"))
-    return counts.withColumn("percent", _share(counts))
+    """Count and percent of all rows per category."""
+    return _with_percent(df.groupBy(*cols).agg(F.count("*").alias("n")), df)
 
 
 def coverage(shares: DataFrame, threshold: float) -> DataFrame:
@@ -39,7 +38,7 @@ def coverage(shares: DataFrame, threshold: float) -> DataFrame:
 
 def selected_categories(shares: DataFrame, col: str, threshold: float, drop: str = "unknown") -> DataFrame:
     keep = shares.filter((F.col("percent") >= threshold) & (F.col(col) != drop))
-    return keep.withColumn("covered", F.sum("percent").over(Window.partitionBy()))
+    return keep.withColumn("covered", keep.agg(F.sum("percent").alias("covered")).scalar())
 
 
 def describe(df: DataFrame, col: str, probs: list[float]) -> DataFrame:
@@ -128,10 +127,9 @@ def confidence_breakdown(df: DataFrame) -> DataFrame:
     names = ["0.5-0.6", "0.6-0.7", "0.7-0.8", "0.8-0.9", "0.9-1.0"]
     bands = right_closed_band(F.col("pred_proba"), [0.5, 0.6, 0.7, 0.8, 0.9, 1.0], names)
     tier = F.nullif(confidence_tier(F.col("pred_proba")), F.lit("NEGATIVE"))
-    total = df.agg(F.count("*").alias("n")).scalar()
     counts = (df.select(F.explode(F.array_compact(F.array(bands, tier))).alias("band"))
               .groupBy("band").agg(F.count("*").alias("n")))
-    return counts.withColumn("percent", F.col("n") * 100 / total)
+    return _with_percent(counts, df)
 
 
 def score_proba_correlation(df: DataFrame) -> DataFrame:
@@ -195,8 +193,7 @@ def selection_stats(selected: DataFrame, pool: DataFrame, train: DataFrame) -> D
 
 
 def proba_tenths(df: DataFrame) -> DataFrame:
-    counts = df.groupBy(tenth(F.col("pred_proba")).alias("bin")).agg(F.count("*").alias("n"))
-    return counts.withColumn("percent", _share(counts))
+    return _with_percent(df.groupBy(tenth(F.col("pred_proba")).alias("bin")).agg(F.count("*").alias("n")), df)
 
 
 # ---------------------------------------------------------------- URLs and domains
@@ -246,7 +243,7 @@ def domain_bands(profile: DataFrame) -> DataFrame:
 
 def proba_bands(df: DataFrame, edges: list[float]) -> DataFrame:
     counts = (df.groupBy(half_open_band(F.col("pred_proba"), edges).alias("band")).agg(F.count("*").alias("n")))
-    return counts.withColumn("percent", _share(counts)).filter(F.col("band").isNotNull())
+    return _with_percent(counts, df).filter(F.col("band").isNotNull())
 
 
 def top_groups(df: DataFrame, col: str, k: int) -> DataFrame:

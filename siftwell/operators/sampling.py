@@ -21,6 +21,16 @@ def shuffled(df: DataFrame, uid: str = "uid", seed: int = 42) -> DataFrame:
     return df.orderBy(draw_key(F.col(uid), seed), uid)
 
 
+def shuffled_positions(df: DataFrame, uid: str = "uid", seed: int = 42) -> DataFrame:
+    """Add each row's 1-based position in the shuffled order, without a one-task sort."""
+    slot = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
+    keyed = df.withColumn("_key", draw_key(F.col(uid), seed)).withColumn("_slot", slot)
+    starts = running_totals(per_value(keyed, "_slot"), "_slot", ["n"]).select(
+        "_slot", (F.col("cum_n") - F.col("n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_slot").orderBy("_key", uid))
+    return keyed.join(starts, "_slot").withColumn("position", inside + F.col("_before")).select(*df.columns, "position")
+
+
 def take_random(df: DataFrame, n: int, uid: str = "uid", seed: int = 42) -> DataFrame:
     """Exactly min(n, rows) rows without replacement."""
     if n <= 1000:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from siftwell.functions.scores import half_open_band
 from siftwell.functions.text import contains_any, matches_language_rules, score_texts_by_join, wanted_not_unwanted
 from siftwell.operators import filters, joins, profiles
-from siftwell.operators.sampling import take_random
+from siftwell.operators.sampling import shuffled_positions, take_random
 from siftwell.plans import tables as t
 from siftwell.plans.registry import query, view
 from siftwell.schemas import CRITERIA_IDS
@@ -408,16 +408,7 @@ def f09(spark, sf):
 
 @query("f10_shuffle", "SELECT uid, row_number() OVER (ORDER BY md5('42:' || uid)) AS position FROM pool")
 def f10(spark, sf):
-    from pyspark.sql import Window
-    from siftwell.operators.ordering import running_totals
-    from siftwell.operators.sampling import draw_key
-
-    slot = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
-    keyed = t.pool(spark, sf).select("uid", draw_key(F.col("uid")).alias("key")).withColumn("slot", slot)
-    counts = keyed.groupBy("slot").agg(F.count("*").alias("n"))
-    starts = running_totals(counts, "slot", ["n"]).select("slot", (F.col("cum_n") - F.col("n")).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("slot").orderBy("key", "uid"))
-    return keyed.join(starts, "slot").select("uid", (inside + F.col("before")).alias("position"))
+    return shuffled_positions(t.pool(spark, sf).select("uid"))
 
 
 @query("f13_last_runs", "SELECT id, step, items_processed FROM runs ORDER BY id DESC LIMIT 5")

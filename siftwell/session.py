@@ -44,6 +44,16 @@ def scratch_dir(spark: SparkSession, name: str = "run") -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
+    """Redistribute a frame read in fewer pieces than the session has cores.
+
+    Parquet cannot be split below a row group, so a small input would leave cores idle in a stage of
+    heavy expressions.  A large input has more pieces than that and is returned as it is, unshuffled.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism * per_core
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write a frame once to shared storage and read it back, cutting its lineage."""
     path = scratch_dir(df.sparkSession, name)
