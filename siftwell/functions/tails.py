@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -76,7 +76,7 @@ def _two_args(fn):
     def apply(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None or x != x or y != y else fn(float(x), float(y))
                           for x, y in zip(a, b)], dtype="float64")
-    return F.pandas_udf(apply, "double")
+    return F.pandas_udf(apply, T.DoubleType())
 
 
 student_p = _two_args(student_two_sided)

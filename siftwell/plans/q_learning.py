@@ -7,8 +7,11 @@ from siftwell.plans import tables as t
 from siftwell.plans.registry import query
 
 DIM = 64
-# The registered runs use fewer trees and rounds than the defaults, so that a check stays short.
-MODELS = learning.estimators(trees=20, depth=8, rounds=10, boost_depth=4)
+
+
+def models():
+    """Fewer trees and rounds than the defaults, so that a registered run stays short."""
+    return learning.estimators(trees=20, depth=8, rounds=10, boost_depth=4)
 
 
 def _splits(spark, sf):
@@ -57,7 +60,7 @@ def i04(spark, sf):
 def _one(name, smote=False):
     def run(spark, sf):
         train, test = _splits(spark, sf)
-        return learning.compare(train, test, DIM, [(name, smote)], MODELS)
+        return learning.compare(train, test, DIM, [(name, smote)], models())
 
     return run
 
@@ -74,7 +77,7 @@ query("i08_rbf_kernel")(_one("SVM_RBF"))
 def i09(spark, sf):
     train, test = _splits(spark, sf)
     runs = [("LogisticRegression", False), ("LogisticRegression", True), ("RandomForest", False), ("SVM_RBF", False)]
-    results = learning.compare(train, test, DIM, runs, MODELS)
+    results = learning.compare(train, test, DIM, runs, models())
     return results.orderBy(F.desc("f1"), "model")
 
 
@@ -119,8 +122,8 @@ def i13(spark, sf):
     half = sampling.stratified_split(train, 0.5)
     first, more = (half.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
     runs = [("LogisticRegression", False)]
-    before = learning.compare(first, test, DIM, runs, MODELS).withColumn("iteration", F.lit(0))
-    after = learning.compare(sets.extend_training(first, more), test, DIM, runs, MODELS).withColumn("iteration", F.lit(1))
+    before = learning.compare(first, test, DIM, runs, models()).withColumn("iteration", F.lit(0))
+    after = learning.compare(sets.extend_training(first, more), test, DIM, runs, models()).withColumn("iteration", F.lit(1))
     return before.unionByName(after)
 
 
