@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siftwell.operators.ordering import per_value, running_totals
+from siftwell.operators.ordering import attach_row, per_value, running_totals
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -77,15 +77,19 @@ def best_threshold(df: DataFrame, label: str = "label", proba: str = "pred_proba
 
 def evaluate(df: DataFrame, label: str = "label", proba: str = "pred_proba", groups: list[str] = ()) -> DataFrame:
     """All metrics at 0.5 and at the optimal threshold, one row per group (one row without groups)."""
-    if not groups:
-        return evaluate(df.withColumn("_all", F.lit(1)), label, proba, ["_all"]).drop("_all")
-    base = confusion(df, label, proba, 0.5, groups)
+    groups = list(groups)
+
+    def add(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.join(right, groups) if groups else attach_row(left, right)
+
     best = best_threshold(df, label, proba, groups)
-    tuned = confusion(df.join(best, groups), label, proba, F.col("optimal_threshold"), groups)
+    tuned = confusion(add(df, best), label, proba, F.col("optimal_threshold"), groups)
     tuned = tuned.select(*groups, *[F.col(c).alias(f"optimal_{c}") for c in ("tp", "fp", "tn", "fn", "precision",
                                                                             "recall", "accuracy", "specificity")])
-    return (base.join(roc_auc(df, label, proba, groups), groups)
-            .join(average_precision(df, label, proba, groups), groups).join(best, groups).join(tuned, groups))
+    out = confusion(df, label, proba, 0.5, groups)
+    for part in (roc_auc(df, label, proba, groups), average_precision(df, label, proba, groups), best, tuned):
+        out = add(out, part)
+    return out
 
 
 def class_balance(df: DataFrame, label: str = "label") -> DataFrame:

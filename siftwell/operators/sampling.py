@@ -35,8 +35,23 @@ def take_random(df: DataFrame, n: int, uid: str = "uid", seed: int = 42) -> Data
     """Exactly min(n, rows) rows without replacement."""
     if n <= 1000:
         return shuffled(df, uid, seed).limit(n)
-    quotas = df.groupBy().agg(F.lit("all").alias("_all"), F.lit(n).cast("long").alias("quota"))
-    return quota_sample(df.withColumn("_all", F.lit("all")), "_all", quotas, uid, seed).drop("_all")
+    return _first_in_hash_order(df, F.lit(n), uid, seed)
+
+
+def _first_in_hash_order(df: DataFrame, quota: Column, uid: str, seed: int) -> DataFrame:
+    """The first ``quota`` rows in hash order, by the cut described at quota_sample."""
+    keyed = df.withColumn("_key", draw_key(F.col(uid), seed)).withColumn("_slot", F.substring("_key", 1, HEX))
+    histogram = keyed.groupBy("_slot").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy("_slot"))  # over at most 16**HEX rows
+    cut = (histogram.withColumn("_before", upto - F.col("n")).withColumn("_quota", quota)
+           .filter((F.col("_before") < F.col("_quota")) & (F.col("_before") + F.col("n") >= F.col("_quota")))
+           .agg(F.max(F.struct(F.col("_slot").alias("slot"), (F.col("_quota") - F.col("_before")).alias("left"))).alias("c")))
+    placed = keyed.withColumn("_c", cut.scalar()).filter(quota > 0)
+    below = placed.filter(F.col("_c").isNull() | (F.col("_slot") < F.col("_c.slot")))
+    inside = Window.partitionBy("_slot").orderBy("_key", uid)
+    edge = (placed.filter(F.col("_slot") == F.col("_c.slot"))
+            .withColumn("_rn", F.row_number().over(inside)).filter(F.col("_rn") <= F.col("_c.left")))
+    return below.select(*df.columns).unionAll(edge.select(*df.columns))
 
 
 def quota_sample(df: DataFrame, group: str, quotas: DataFrame, uid: str = "uid", seed: int = 42) -> DataFrame:
@@ -100,10 +115,9 @@ def minimum_per_bin_sample(df: DataFrame, target: int, minimum: int, bin_col: st
     """At least ``minimum`` rows per bin (all if fewer), topped up at random to ``target``."""
     bins = df.groupBy(bin_col).agg(F.lit(minimum).cast("long").alias("quota"))
     base = quota_sample(df, bin_col, bins, uid, seed)
-    rest = df.join(base.select(uid), uid, "left_anti").withColumn("_all", F.lit("all"))
-    need = base.groupBy().agg(F.lit("all").alias("_all"), (F.lit(target) - F.count("*")).alias("quota"))
-    more = quota_sample(rest, "_all", need, uid, seed)
-    return base.unionByName(more.select(*df.columns))
+    rest = df.join(base.select(uid), uid, "left_anti")
+    need = base.agg((F.lit(target) - F.count("*")).alias("quota")).scalar()
+    return base.unionByName(_first_in_hash_order(rest, need, uid, seed))
 
 
 def bin_quotas(df: DataFrame, target: int, done: DataFrame, bin_col: str = "score_bin") -> DataFrame:
