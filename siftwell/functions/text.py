@@ -6,7 +6,9 @@ import re
 from collections import defaultdict
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from siftwell.session import broadcast_if_small, materialise
 
 ALNUM = r"\p{L}\p{N}"
 WORD = f"[{ALNUM}]+"
@@ -154,15 +156,18 @@ def score_texts(docs: DataFrame, phrases: PhraseSet, text: str = "text") -> Data
     """Add score, pos_keys and neg_keys without a shuffle: the dictionary is part of the expression.
 
     Each distinct phrase counts once, so the score is the number of hits per score class times its value.
+    The three columns come out of a one-row generator: a filter on the score then runs on its output,
+    where a plain column would be computed again inside the filter.
     """
-    found = docs.withColumn("_found", matched_phrases(F.col(text), phrases))
-    score = F.lit(0.0)
-    for value, members in phrases.score_classes().items():
-        score = score + F.size(F.filter("_found", _in(members))) * F.lit(value)
-    return found.select(
-        *docs.columns, score.alias("score"),
-        F.filter("_found", _in(phrases.of_polarity("pos"))).alias("pos_keys"),
-        F.filter("_found", _in(phrases.of_polarity("neg"))).alias("neg_keys"))
+
+    def result(found):
+        score = F.lit(0.0)
+        for value, members in phrases.score_classes().items():
+            score = score + F.size(F.filter(found, _in(members))) * F.lit(value)
+        return F.struct(score.alias("score"), F.filter(found, _in(phrases.of_polarity("pos"))).alias("pos_keys"),
+                        F.filter(found, _in(phrases.of_polarity("neg"))).alias("neg_keys"))
+
+    return docs.select(*docs.columns, F.inline(F.transform(F.array(matched_phrases(F.col(text), phrases)), result)))
 
 
 def phrase_matches(docs: DataFrame, dictionary: DataFrame, uid: str = "uid", text: str = "text",
@@ -179,26 +184,30 @@ def phrase_matches(docs: DataFrame, dictionary: DataFrame, uid: str = "uid", tex
 
 
 def score_texts_by_join(docs: DataFrame, dictionary: DataFrame, uid: str = "uid", text: str = "text",
-                        width: int = 3) -> DataFrame:
-    """Same result as score_texts for a dictionary too large to inline."""
+                        width: int = 3, keep: list[str] = ()) -> DataFrame:
+    """Scores as score_texts gives them, for a dictionary too large to inline.
+
+    Only uid, hits and the columns in ``keep`` are shuffled, never the text.
+    """
     hits = phrase_matches(docs, dictionary, uid, text, width)
     per_doc = hits.groupBy(uid).agg(
         F.sum("score").alias("score"), F.array_sort(F.collect_list(F.struct("at", "phrase", "polarity"))).alias("hits"))
     keys = lambda kind: F.transform(F.filter("hits", lambda h: h["polarity"] == kind), lambda h: h["phrase"])
     empty = F.array().cast("array<string>")
     slim = per_doc.select(uid, "score", keys("pos").alias("pos_keys"), keys("neg").alias("neg_keys"))
-    return docs.join(slim, uid, "left").select(
-        *docs.columns, F.coalesce("score", F.lit(0.0)).alias("score"),
+    return docs.select(uid, *keep).join(slim, uid, "left").select(
+        uid, *keep, F.coalesce("score", F.lit(0.0)).alias("score"),
         F.coalesce("pos_keys", empty).alias("pos_keys"), F.coalesce("neg_keys", empty).alias("neg_keys"))
 
 
-def score_corpus(docs: DataFrame, dictionary: DataFrame, uid: str = "uid", text: str = "text") -> DataFrame:
-    """Score by expression when the dictionary fits into the plan, by join otherwise."""
+def score_corpus(docs: DataFrame, dictionary: DataFrame, uid: str = "uid", text: str = "text",
+                 keep: list[str] = ()) -> DataFrame:
+    """(uid, kept columns, score, keys): by expression when the dictionary fits into the plan, else by join."""
     phrases = phrase_set(dictionary)
     if phrases is not None:
-        return score_texts(docs, phrases, text)
+        return score_texts(docs.select(uid, *keep, text), phrases, text).drop(text)
     width = dictionary.agg(F.max(F.size(F.regexp_extract_all("phrase", F.lit(WORD), F.lit(0))))).first()[0]
-    return score_texts_by_join(docs, dictionary, uid, text, width or 1)
+    return score_texts_by_join(docs, dictionary, uid, text, width or 1, keep)
 
 
 def joined_keys(keys: Column) -> Column:
@@ -273,19 +282,23 @@ def language_name(code: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), code)
 
 
-def trigrams(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
-    """Trigram counts of the padded words, per combination of the kept columns."""
-    words = (docs.select(*keep, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}+"), F.lit(0)))
-                         .alias("word")).groupBy(*keep, "word").agg(F.count("*").alias("n")))
+def _trigram_rows(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
+    """One row per trigram of each padded word."""
+    words = docs.select(*keep, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+    return _word_trigrams(words, *keep)
+
+
+def _word_trigrams(words: DataFrame, *keep: str) -> DataFrame:
     padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
-    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substr(padded, i, F.lit(3)))
-    return (words.select(*keep, "n", F.explode(grams).alias("gram"))
-            .groupBy(*keep, "gram").agg(F.sum("n").alias("n")))
+    grams = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substr(padded, i, F.lit(3)))
+    return words.select(*keep, F.explode(grams).alias("gram"))
 
 
 def language_profiles(labelled: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
     """Smoothed log-probability of each trigram per language: (lang, gram, weight, floor)."""
-    counts = trigrams(labelled, lang, text=text)
+    words = (labelled.select(lang, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+             .groupBy(lang, "word").agg(F.count("*").alias("n")))
+    counts = _word_trigrams(words, lang, "n").groupBy(lang, "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy(lang).agg(F.sum("n").alias("total"))
     return counts.join(totals, lang).select(
         lang, "gram", F.log((F.col("n") + 1) / (F.col("total") + 1)).alias("weight"),
@@ -293,19 +306,26 @@ def language_profiles(labelled: DataFrame, lang: str = "lang", text: str = "text
 
 
 def identify_language(docs: DataFrame, profiles: DataFrame, uid: str = "uid", text: str = "text",
-                      lang: str = "lang") -> DataFrame:
+                      lang: str = "lang", max_languages: int = 500) -> DataFrame:
     """Most likely language per document: (uid, detected); no letters gives unknown.
 
-    score(lang) = sum n * floor(lang) + sum over known trigrams n * (weight - floor), so only the
-    trigrams a profile knows take part in the join.
+    score(lang) = trigrams * floor(lang) + sum of (weight - floor) over the trigrams the profile knows.
+    The profiles are laid out as one row per trigram with one column per language, so a trigram meets
+    one row.  They are written once; if they are small they are broadcast, and everything up to the
+    sums per document stays in the scan's stage.
     """
-    grams = trigrams(docs, uid, text=text)
-    totals = grams.groupBy(uid).agg(F.sum("n").alias("grams"))
-    gains = (grams.join(profiles, "gram").groupBy(uid, lang)
-             .agg(F.sum(F.col("n") * (F.col("weight") - F.col("floor"))).alias("gain"),
-                  F.first("floor").alias("floor")))
-    best = (gains.join(totals, uid)
-            .withColumn("loglik", F.round(F.col("grams") * F.col("floor") + F.col("gain"), 6))
-            .groupBy(uid).agg(F.min_by(lang, F.struct(-F.col("loglik"), F.col(lang))).alias("detected")))
+    floors = {r[lang]: r["floor"] for r in profiles.groupBy(lang).agg(F.max("floor").alias("floor"))
+              .limit(max_languages + 1).collect()}
+    if len(floors) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    names = sorted(floors)
+    wide = profiles.groupBy("gram").agg(F.lit(1).alias("_known"), *[
+        F.max(F.when(F.col(lang) == n, F.col("weight") - F.col("floor"))).alias(f"_g{i}") for i, n in enumerate(names)])
+    wide = broadcast_if_small(materialise(wide, "profiles"), 64 + 16 * len(names))
+    sums = _trigram_rows(docs, uid, text=text).join(wide, "gram", "left").groupBy(uid).agg(
+        F.count("*").alias("grams"), F.count("_known").alias("known"), *[F.coalesce(F.sum(f"_g{i}"), F.lit(0.0)).alias(f"_s{i}") for i in range(len(names))])
+    ranked = F.array(*[F.struct((-F.round(F.col("grams") * floors[n] + F.col(f"_s{i}"), 6)).alias("cost"), F.lit(n).alias("lang"))
+                       for i, n in enumerate(names)])
+    best = sums.filter("known > 0").select(uid, F.array_min(ranked)["lang"].alias("detected"))
     return docs.select(uid).join(best, uid, "left").select(
         uid, F.coalesce("detected", F.lit("unknown")).alias("detected"))

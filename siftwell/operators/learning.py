@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftwell.functions.scores import direction, percent_change
 from siftwell.operators.metrics import evaluate
+from siftwell.operators.ordering import attach_row
 from siftwell.session import materialise
 
 RESULT_COLUMNS = ["model", "f1", "precision", "recall", "accuracy", "roc_auc", "pr_auc", "optimal_threshold",
@@ -48,9 +49,10 @@ def standardise(df: DataFrame, reference: DataFrame | None = None, embedding: st
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Balanced weight n / (2 n_class) on every row."""
-    counts = df.groupBy(label).agg(F.count("*").alias("_n"))
-    total = df.agg(F.count("*").alias("n")).scalar()
-    return df.join(counts, label).withColumn("weight", total / (2 * F.col("_n"))).drop("_n")
+    sizes = df.agg(F.count_if(F.col(label) == 1).alias("_n1"), F.count_if(F.col(label) == 0).alias("_n0"))
+    n1, n0 = F.col("_n1"), F.col("_n0")
+    weight = (n1 + n0) / (2 * F.when(F.col(label) == 1, n1).otherwise(n0))
+    return attach_row(df, sizes).withColumn("weight", weight).drop("_n1", "_n0")
 
 
 def synthetic_size(n_minority: int, n_majority: int, ratio: float = 0.3) -> int:

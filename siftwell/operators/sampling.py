@@ -35,48 +35,71 @@ def take_random(df: DataFrame, n: int, uid: str = "uid", seed: int = 42) -> Data
     """Exactly min(n, rows) rows without replacement."""
     if n <= 1000:
         return shuffled(df, uid, seed).limit(n)
-    return _first_in_hash_order(df, F.lit(n), uid, seed)
+    return _picked(_mark_first(df, F.lit(n), uid, seed))
 
 
-def _first_in_hash_order(df: DataFrame, quota: Column, uid: str, seed: int) -> DataFrame:
-    """The first ``quota`` rows in hash order, by the cut described at quota_sample."""
-    keyed = df.withColumn("_key", draw_key(F.col(uid), seed)).withColumn("_slot", F.substring("_key", 1, HEX))
-    histogram = keyed.groupBy("_slot").agg(F.count("*").alias("n"))
+def _picked(marked: DataFrame) -> DataFrame:
+    return marked.filter("_pick").drop("_pick")
+
+
+def _keyed(df: DataFrame, uid: str, seed: int) -> DataFrame:
+    return df.withColumn("_key", draw_key(F.col(uid), seed)).withColumn("_slot", F.substring("_key", 1, HEX))
+
+
+def _mark_first(df: DataFrame, quota: Column, uid: str, seed: int) -> DataFrame:
+    """Add ``_pick`` for the first ``quota`` rows in hash order, by the cut described at mark_quotas."""
+    keyed = _keyed(df, uid, seed)
     upto = F.sum("n").over(Window.orderBy("_slot"))  # over at most 16**HEX rows
-    cut = (histogram.withColumn("_before", upto - F.col("n")).withColumn("_quota", quota)
+    cut = (keyed.groupBy("_slot").agg(F.count("*").alias("n"))
+           .withColumn("_before", upto - F.col("n")).withColumn("_quota", quota)
            .filter((F.col("_before") < F.col("_quota")) & (F.col("_before") + F.col("n") >= F.col("_quota")))
            .agg(F.max(F.struct(F.col("_slot").alias("slot"), (F.col("_quota") - F.col("_before")).alias("left"))).alias("c")))
-    placed = keyed.withColumn("_c", cut.scalar()).filter(quota > 0)
-    below = placed.filter(F.col("_c").isNull() | (F.col("_slot") < F.col("_c.slot")))
-    inside = Window.partitionBy("_slot").orderBy("_key", uid)
-    edge = (placed.filter(F.col("_slot") == F.col("_c.slot"))
-            .withColumn("_rn", F.row_number().over(inside)).filter(F.col("_rn") <= F.col("_c.left")))
-    return below.select(*df.columns).unionAll(edge.select(*df.columns))
+    placed = keyed.withColumn("_c", cut.scalar()).select(
+        "*", F.col("_c.slot").alias("_cut"), F.col("_c.left").alias("_left"), (quota > 0).alias("_open"))
+    return _mark(placed, df.columns, [], uid)
 
 
-def quota_sample(df: DataFrame, group: str, quotas: DataFrame, uid: str = "uid", seed: int = 42) -> DataFrame:
-    """Exactly min(quota, rows) rows of each group; groups without a quota give none.
+def _mark(placed: DataFrame, columns: list[str], groups: list[str], uid: str) -> DataFrame:
+    """Rows off the cut slot are decided by comparison; only the rows of the cut slot are ordered."""
+    at_cut = F.coalesce(F.col("_slot") == F.col("_cut"), F.lit(False))
+    before = F.col("_cut").isNull() | (F.col("_slot") < F.col("_cut"))
+    sure = placed.filter(~at_cut).select(*columns, F.coalesce(F.col("_open") & before, F.lit(False)).alias("_pick"))
+    rank = F.row_number().over(Window.partitionBy(*groups, "_slot").orderBy("_key", uid))
+    edge = placed.filter(at_cut).select(*columns, (F.col("_open") & (rank <= F.col("_left"))).alias("_pick"))
+    return sure.unionAll(edge)
+
+
+MAX_BROADCAST_GROUPS = 50_000
 
-    ``quotas`` is (group, quota).  A histogram of hash buckets finds the bucket where each quota ends.
-    Rows before it are kept by a plain filter; only that one bucket is ordered.  No group, however
-    large, is shuffled or sorted as a whole.
+
+def mark_quotas(df: DataFrame, group: str, quotas: DataFrame, uid: str = "uid", seed: int = 42) -> DataFrame:
+    """Add ``_pick``: true for exactly min(quota, rows) random rows of each group, false elsewhere.
+
+    ``quotas`` is (group, quota).  A histogram of hash slots finds the slot where each quota ends; rows
+    before it are picked by comparison and only the rows of that slot are ordered.  No group, however
+    large, is shuffled or sorted as a whole.  The limits are one row per group: broadcast when their
+    number is small enough, joined otherwise.
     """
-    key = draw_key(F.col(uid), seed)
-    keyed = df.withColumn("_key", key).withColumn("_slot", F.substring("_key", 1, HEX))
-    histogram = keyed.groupBy(group, "_slot").agg(F.count("*").alias("n"))
+    known = quotas.select(group, F.col("quota").cast("long").alias("quota")).limit(MAX_BROADCAST_GROUPS + 1).collect()
+    few = len(known) <= MAX_BROADCAST_GROUPS
+    if few:
+        kind = quotas.schema[group].dataType.simpleString()
+        quotas = df.sparkSession.createDataFrame(known, f"`{group}` {kind}, quota long")
+    keyed = _keyed(df, uid, seed)
+    histogram = keyed.join(F.broadcast(quotas) if few else quotas, group).groupBy(group, "quota", "_slot").agg(
+        F.count("*").alias("n"))
     upto = Window.partitionBy(group).orderBy("_slot")
     cuts = (histogram.withColumn("_before", F.sum("n").over(upto) - F.col("n"))
-            .join(quotas.select(group, "quota"), group)
             .filter((F.col("_before") < F.col("quota")) & (F.col("_before") + F.col("n") >= F.col("quota")))
             .select(group, F.col("_slot").alias("_cut"), (F.col("quota") - F.col("_before")).alias("_left")))
-    wanted = quotas.filter(F.col("quota") > 0).select(group)
-    limits = wanted.join(cuts, group, "left")
-    placed = keyed.join(limits, group)
-    below = placed.filter(F.col("_cut").isNull() | (F.col("_slot") < F.col("_cut")))
-    inside = Window.partitionBy(group, "_slot").orderBy("_key", uid)
-    edge = (placed.filter(F.col("_slot") == F.col("_cut"))
-            .withColumn("_rn", F.row_number().over(inside)).filter(F.col("_rn") <= F.col("_left")))
-    return below.select(*df.columns).unionAll(edge.select(*df.columns))
+    limits = quotas.join(cuts, group, "left").select(group, "_cut", "_left", (F.col("quota") > 0).alias("_open"))
+    placed = keyed.join(F.broadcast(limits) if few else limits, group, "left")
+    return _mark(placed, df.columns, [group], uid)
+
+
+def quota_sample(df: DataFrame, group: str, quotas: DataFrame, uid: str = "uid", seed: int = 42) -> DataFrame:
+    """Exactly min(quota, rows) rows of each group; groups without a quota give none."""
+    return _picked(mark_quotas(df, group, quotas, uid, seed))
 
 
 def literal_quotas(df: DataFrame, group: str, quotas: dict[str, int]) -> DataFrame:
@@ -113,11 +136,11 @@ def stratified_sample(df: DataFrame, target: int, strata=STRATA, uid: str = "uid
 def minimum_per_bin_sample(df: DataFrame, target: int, minimum: int, bin_col: str = "score_bin",
                            uid: str = "uid", seed: int = 42) -> DataFrame:
     """At least ``minimum`` rows per bin (all if fewer), topped up at random to ``target``."""
-    bins = df.groupBy(bin_col).agg(F.lit(minimum).cast("long").alias("quota"))
-    base = quota_sample(df, bin_col, bins, uid, seed)
-    rest = df.join(base.select(uid), uid, "left_anti")
-    need = base.agg((F.lit(target) - F.count("*")).alias("quota")).scalar()
-    return base.unionByName(_first_in_hash_order(rest, need, uid, seed))
+    sizes = df.groupBy(bin_col).agg(F.count("*").alias("n"))
+    marked = mark_quotas(df, bin_col, sizes.select(bin_col, F.lit(minimum).alias("quota")), uid, seed)
+    taken = sizes.agg(F.sum(F.least("n", F.lit(minimum))).alias("n")).scalar()
+    more = _mark_first(marked.filter("NOT _pick").drop("_pick"), F.lit(target) - taken, uid, seed)
+    return _picked(marked).unionByName(_picked(more))
 
 
 def bin_quotas(df: DataFrame, target: int, done: DataFrame, bin_col: str = "score_bin") -> DataFrame:
@@ -178,6 +201,5 @@ def stratified_split(df: DataFrame, test_share: float = 0.2, label: str = "label
                      seed: int = 42) -> DataFrame:
     """Add split = train/test; each label gives ceil(share * rows) test rows, the same on every run."""
     quotas = df.groupBy(label).agg(F.ceil(F.count("*") * test_share).cast("long").alias("quota"))
-    test = quota_sample(df, label, quotas, uid, seed)
-    train = df.join(test.select(uid), uid, "left_anti")
-    return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    marked = mark_quotas(df, label, quotas, uid, seed)
+    return marked.withColumn("split", F.when(F.col("_pick"), "test").otherwise("train")).drop("_pick")

@@ -272,27 +272,31 @@ def jackknife_weights(ratings: DataFrame) -> DataFrame:
         F.min_by("respondent", F.struct(-F.col("change"), F.col("respondent"))).alias("most_influential"))
 
 
+CHUNK = 500
+
+
 def multinomial_resamples(groups: DataFrame, iterations: int, seed: int = 42) -> DataFrame:
     """Resampled counts of folded groups: (key, iteration, counts).
 
     ``groups`` is (key long, counts array<long>), the category sizes of the rows to resample.  A
     resample with replacement of N rows falls into the categories as one multinomial draw, so the
-    work is iterations x categories and does not grow with N.
+    work is iterations x categories and does not grow with N.  Each chunk of iterations has its own
+    seed, so a repeated task draws the same numbers.
     """
-    its = groups.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    spread = its.repartition(F.col("key"), F.col("iteration"))
+    chunks = -(-iterations // CHUNK)
+    spread = groups.select("key", "counts", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
 
     def draw(batches):
         for pdf in batches:
-            out = []
-            for key, it, counts in zip(pdf["key"], pdf["iteration"], pdf["counts"]):
+            for key, counts, chunk in zip(pdf["key"], pdf["counts"], pdf["chunk"]):
                 c = np.asarray(counts, dtype="float64")
-                rng = np.random.default_rng([seed, int(key) & 0xFFFFFFFF, int(it)])
-                out.append(rng.multinomial(int(c.sum()), c / c.sum()).astype("int64"))
-            yield pd.DataFrame({"key": pdf["key"], "iteration": pdf["iteration"], "counts": out})
+                rng = np.random.default_rng([seed, int(key) & 0xFFFFFFFF, int(chunk)])
+                first = int(chunk) * CHUNK
+                size = min(CHUNK, iterations - first)
+                drawn = rng.multinomial(int(c.sum()), c / c.sum(), size=size)
+                yield pd.DataFrame({"key": key, "iteration": np.arange(first, first + size, dtype="int32"), "counts": list(drawn)})
 
-    return spread.select("key", "iteration", "counts").mapInPandas(
-        draw, "key long, iteration int, counts array<long>")
+    return spread.repartition("key", "chunk").mapInPandas(draw, "key long, iteration int, counts array<long>")
 
 
 def _interval(values: DataFrame, col: str, groups: list[str]) -> DataFrame:

@@ -139,7 +139,7 @@ def h16(spark, sf):
     return t.people(spark, sf).select("respondent", survey_text.parse_years(F.col("years")).alias("years"))
 
 
-@query("h17_entropy", "SELECT uid, round(uncertainty, 6) AS entropy FROM uncertain")
+@query("h17_entropy", "SELECT uid, round(-(q * log2(q) + (1 - q) * log2(1 - q)), 6) AS entropy FROM uncertain")
 def h17(spark, sf):
     return t.vec(spark, sf).select("uid", t.r(scores.entropy(F.col("pred_proba"))).alias("entropy"))
 
@@ -316,7 +316,7 @@ def h37(spark, sf):
 
 @query("l01_three_column_scoring", "SELECT uid, score, pos_keys, neg_keys FROM scored WHERE lang = 'en'")
 def l01(spark, sf):
-    out = text.score_corpus(t.docs(spark, sf).filter("lang = 'en'").select("uid", "text"), t.dictionary(spark))
+    out = text.score_corpus(t.docs(spark, sf).filter("lang = 'en'"), t.dictionary(spark))
     return out.select("uid", "score", text.joined_keys(F.col("pos_keys")).alias("pos_keys"), text.joined_keys(F.col("neg_keys")).alias("neg_keys"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _local_roots: dict[str, str] = {}
 
@@ -59,3 +59,8 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = 64 << 20) -> DataFrame:
+    """A stored frame with a broadcast hint if its counted rows fit the limit, otherwise as it is."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
