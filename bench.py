@@ -39,7 +39,7 @@ def phrase_join(spark, sf) -> DataFrame:
 
 def language_identification(spark, sf) -> DataFrame:
     d = spread(t.docs(spark, sf))
-    return identify_language(d, language_profiles(d.filter("k % 2 = 0")))
+    return identify_language(d, language_profiles(d))
 
 
 def pool_cleaning(spark, sf) -> DataFrame:

@@ -174,12 +174,14 @@ def phrase_matches(docs: DataFrame, dictionary: DataFrame, uid: str = "uid", tex
                    width: int = 3) -> DataFrame:
     """Phrase-text join for dictionaries of any size: (uid, phrase, score, polarity, at).
 
-    The text itself is never shuffled, only its distinct n-grams, and Spark picks a broadcast or
-    a shuffled join from the dictionary's size.  ``width`` is the longest phrase in words.
+    The text itself is never shuffled.  A dictionary whose counted rows are small enough is broadcast to
+    the n-grams; a larger one is joined by shuffling the distinct n-grams.  ``width`` is the longest
+    phrase in words.
     """
     grams = _let(_pieces(F.col(text)), lambda pieces: _candidates(pieces, width, None))
     grams = docs.select(uid, F.posexplode(F.array_distinct(grams)).alias("at", "phrase"))
-    return grams.filter(F.col("phrase").isNotNull()).join(dictionary, "phrase").select(
+    side = broadcast_if_small(dictionary, 128)
+    return grams.filter(F.col("phrase").isNotNull()).join(side, "phrase").select(
         uid, "phrase", "score", "polarity", "at")
 
 

@@ -26,7 +26,8 @@ def running_totals(values: DataFrame, by: str, sums: list[str], groups: list[str
 
     ``values`` holds one row per (groups, by).  Rows are spread over equal-width value buckets; each
     bucket is ordered in its own task and shifted by the totals of the buckets before it, so neither
-    a large group nor the whole table is ever sorted in one task.
+    a large group nor the whole table is ever sorted in one task.  The totals are at most BUCKETS rows
+    per group.
     """
     groups = list(groups)
     span = values.agg(F.struct(F.min(by).alias("lo"), F.max(by).alias("hi")).alias("span")).scalar()

@@ -187,12 +187,12 @@ def c01(spark, sf):
 
 @query("c02_labelled_embeddings", """
     SELECT a.uid, a.label, CAST(e.embedding[1] AS DOUBLE) AS x0, s.score,
-           (SELECT count(*) FROM ann WHERE uid NOT IN (SELECT CAST(vec_id AS VARCHAR) FROM embeddings WHERE vec_id % 3 <> 0)) AS n_missing
-    FROM ann a JOIN (SELECT * FROM embeddings WHERE vec_id % 3 <> 0) e ON a.uid = CAST(e.vec_id AS VARCHAR)
-    LEFT JOIN (SELECT * FROM binned WHERE k % 2 = 0) s ON a.uid = s.uid""")
+           (SELECT count(*) FROM ann WHERE uid NOT IN (SELECT CAST(vec_id AS VARCHAR) FROM embeddings WHERE label <> 3)) AS n_missing
+    FROM ann a JOIN (SELECT * FROM embeddings WHERE label <> 3) e ON a.uid = CAST(e.vec_id AS VARCHAR)
+    LEFT JOIN (SELECT * FROM binned WHERE lang = 'en') s ON a.uid = s.uid""")
 def c02(spark, sf):
-    e = t.vectors(spark, sf).filter("k % 3 <> 0").select("uid", "embedding")
-    joined = joins.labelled_embeddings(t.ann(spark, sf), e, t.binned(spark, sf).filter("k % 2 = 0"))
+    e = t.table(spark, sf, "embeddings").filter("label <> 3").select(F.col("vec_id").cast("string").alias("uid"), "embedding")
+    joined = joins.labelled_embeddings(t.ann(spark, sf), e, t.binned(spark, sf).filter("lang = 'en'"))
     missing = joins.missing_rows(t.ann(spark, sf), e).scalar()
     return joined.select("uid", "label", F.get("embedding", F.lit(0)).cast("double").alias("x0"), "score",
                          missing.alias("n_missing"))
@@ -218,11 +218,11 @@ def c05(spark, sf):
 
 
 @query("c06_translation", """
-    SELECT p_partkey AS key, p_name, CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS fr
+    SELECT p_partkey AS key, p_name, CASE WHEN s_acctbal >= 4000 THEN s_name END AS fr
     FROM part LEFT JOIN supplier ON p_partkey = s_suppkey""")
 def c06(spark, sf):
     base = t.table(spark, sf, "part").select(F.col("p_partkey").alias("key"), "p_name")
-    tr = t.table(spark, sf, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("fr"))
+    tr = t.table(spark, sf, "supplier").filter("s_acctbal >= 4000").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("fr"))
     return joins.add_translation(base, tr, "fr")
 
 
@@ -236,11 +236,11 @@ def c07(spark, sf):
 
 
 @query("c08_backfill", """
-    SELECT c.uid, COALESCE(CASE WHEN c.k % 2 = 0 THEN c.url END, p.url) AS url
-    FROM cand c LEFT JOIN (SELECT * FROM pool WHERE k % 3 <> 0) p USING (uid)""")
+    SELECT c.uid, COALESCE(CASE WHEN c.pred_proba < 0.5 THEN c.url END, p.url) AS url
+    FROM cand c LEFT JOIN (SELECT * FROM pool WHERE score > 0) p USING (uid)""")
 def c08(spark, sf):
-    holes = t.cand(spark, sf).select("uid", F.when(F.col("k") % 2 == 0, F.col("url")).alias("url"))
-    return joins.backfill(holes, t.pool(spark, sf).filter("k % 3 <> 0"))
+    holes = t.cand(spark, sf).select("uid", F.when(F.col("pred_proba") < 0.5, F.col("url")).alias("url"))
+    return joins.backfill(holes, t.pool(spark, sf).filter("score > 0"))
 
 
 @query("c09_run_counts", """

@@ -25,14 +25,13 @@ def _parts(spark, sf):
 
 
 @query("h02_dictionary_build", """
-    WITH p AS (SELECT DISTINCT lower(p_name) AS phrase FROM part WHERE p_partkey % 4 = 0),
-    n AS (SELECT lower(p_name) AS phrase, max(-CAST(p_size AS DOUBLE)) AS score FROM part WHERE p_partkey % 40 = 1 GROUP BY 1),
-    ps AS (SELECT lower(p_name) AS phrase, max(CAST(p_size AS DOUBLE)) AS score FROM part WHERE p_partkey % 4 = 0 GROUP BY 1)
+    WITH n AS (SELECT lower(p_name) AS phrase, max(-CAST(p_size AS DOUBLE)) AS score FROM part WHERE p_size = 1 GROUP BY 1),
+    ps AS (SELECT lower(p_name) AS phrase, max(CAST(p_size AS DOUBLE)) AS score FROM part WHERE p_size > 1 GROUP BY 1)
     SELECT phrase, score, 'neg' AS polarity FROM n UNION ALL SELECT phrase, score, 'pos' FROM ps WHERE phrase NOT IN (SELECT phrase FROM n)""")
 def h02(spark, sf):
     p = _parts(spark, sf)
     fold = lambda df, sign: df.groupBy("phrase").agg(F.max(F.col("score") * sign).alias("score"))
-    return text.build_dictionary(fold(p.filter("p_partkey % 4 = 0"), 1), fold(p.filter("p_partkey % 40 = 1"), -1))
+    return text.build_dictionary(fold(p.filter("score > 1"), 1), fold(p.filter("score = 1"), -1))
 
 
 @query("h03_flatten_wide", """
@@ -347,7 +346,7 @@ view("tri", r"""
     GROUP BY ALL""")
 view("lang_profile", """
     SELECT lang, gram, ln((n + 1) / (total + 1)) AS weight, ln(1 / (total + 1)) AS floor_w FROM (
-        SELECT lang, gram, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang) AS total FROM tri WHERE k % 2 = 0 GROUP BY 1, 2)""")
+        SELECT lang, gram, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang) AS total FROM tri GROUP BY 1, 2)""")
 
 
 @query("l04_language_identification", """
@@ -357,7 +356,7 @@ view("lang_profile", """
     SELECT docs.uid, COALESCE(detected, 'unknown') AS detected FROM docs LEFT JOIN best USING (k)""")
 def l04(spark, sf):
     d = t.docs(spark, sf)
-    return text.identify_language(d, text.language_profiles(d.filter("k % 2 = 0")))
+    return text.identify_language(d, text.language_profiles(d))
 
 
 @query("l05_text_condition", """

@@ -9,7 +9,7 @@ from siftwell.operators import filters, metrics, profiles, quality, sampling
 from siftwell.plans import tables as t
 from siftwell.plans.registry import query, view
 from siftwell.schemas import CRITERIA_IDS, METHOD_FLAGS, SUBJECT_FLAGS
-from siftwell.sources import readers, writers
+from siftwell.sources import readers
 from siftwell.session import scratch_dir
 
 
@@ -516,17 +516,13 @@ def d57(spark, sf):
     return t.rounded(profiles.extrapolate(sample, 2458.2, 96.0), "output_mb", "hours")
 
 
-@query("d58_missing_files", "SELECT count(*) FILTER (WHERE k % 4 <> 0 OR k >= 40) AS n_missing FROM maps")
+@query("d58_missing_files", "SELECT count(*) FILTER (WHERE ai_map_language = 'es') AS n_missing FROM maps")
 def d58(spark, sf):
     folder = scratch_dir(spark, "files")
-    m = t.map_flags(spark, sf)
-    writers.write_keys(m.filter("k % 4 = 0 AND k < 40").repartitionByRange(10, "k"), folder)
-    listed = readers.file_listing(spark, folder).filter(F.col("path").contains("part-"))
-    spots = listed.select(F.input_file_name().alias("x"), "path")
-    names = spark.read.text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("uid"))
-    stored = names.join(spots.select("path"), "path", "left_semi").select(
-        F.concat(F.lit("img/"), "uid").alias("path"))
-    return profiles.missing_files(m, stored)
+    m = t.map_flags(spark, sf).withColumn("local_path", F.concat(F.lit("lang="), "ai_map_language"))
+    m.filter("ai_map_language <> 'es'").select("uid", F.col("ai_map_language").alias("lang")).write.partitionBy("lang").text(folder)
+    stored = readers.file_listing(spark, folder).select(F.regexp_extract("path", "(lang=[a-z]+)/part-", 1).alias("path"))
+    return profiles.missing_files(m, stored.distinct())
 
 
 @query("d59_class_balance", """

@@ -143,19 +143,19 @@ def a13(spark, sf):
 
 
 @query("a14_insert_ignore", """
-    SELECT count(DISTINCT uid) FILTER (WHERE k % 3 <> 0) AS n_inserted,
-           count(*) - count(DISTINCT uid) FILTER (WHERE k % 3 <> 0) AS n_skipped
-    FROM (SELECT uid, k FROM pool UNION ALL SELECT uid, k FROM pool WHERE k % 2 = 0)""")
+    SELECT count(DISTINCT uid) FILTER (WHERE pred_proba < 0.6) AS n_inserted,
+           count(*) - count(DISTINCT uid) FILTER (WHERE pred_proba < 0.6) AS n_skipped
+    FROM (SELECT uid, pred_proba FROM pool UNION ALL SELECT uid, pred_proba FROM pool WHERE score > 3)""")
 def a14(spark, sf):
     rows = t.pool(spark, sf)
-    return state.insert_counts(rows.filter("k % 3 = 0"), rows.unionByName(rows.filter("k % 2 = 0")))
+    return state.insert_counts(rows.filter("pred_proba >= 0.6"), rows.unionByName(rows.filter("score > 3")))
 
 
 @query("a15_import_selected", """
-    SELECT uid, domain, pred_proba, disq_status FROM maps WHERE k < 60
-    UNION ALL SELECT uid, domain, pred_proba, 'pending' FROM selected WHERE uid NOT IN (SELECT uid FROM maps WHERE k < 60)""")
+    SELECT uid, domain, pred_proba, disq_status FROM maps WHERE ai_map_language = 'en'
+    UNION ALL SELECT uid, domain, pred_proba, 'pending' FROM selected WHERE uid NOT IN (SELECT uid FROM maps WHERE ai_map_language = 'en')""")
 def a15(spark, sf):
-    existing = t.map_flags(spark, sf).filter("k < 60")
+    existing = t.map_flags(spark, sf).filter("ai_map_language = 'en'")
     return state.import_selected(existing, t.selected(spark, sf)).select("uid", "domain", "pred_proba", "disq_status")
 
 

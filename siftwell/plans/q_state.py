@@ -68,20 +68,20 @@ def k04(spark, sf):
 
 
 @query("k05_reset", """
-    SELECT uid, CASE WHEN k % 4 = 0 THEN 'pending' ELSE disq_status END AS disq_status, CASE WHEN k % 4 <> 0 THEN quality_score END AS quality_score,
-           CASE WHEN k % 4 <> 0 THEN disq_A1 END AS disq_A1, human_A1 FROM maps""")
+    SELECT uid, CASE WHEN disq_confidence = 'low' THEN 'pending' ELSE disq_status END AS disq_status, CASE WHEN disq_confidence IS DISTINCT FROM 'low' THEN quality_score END AS quality_score,
+           CASE WHEN disq_confidence IS DISTINCT FROM 'low' THEN disq_A1 END AS disq_A1, human_A1 FROM maps""")
 def k05(spark, sf):
     m = t.maps(spark, sf)
-    out = state.reset_check(m, m.filter("k % 4 = 0"), human=False)
+    out = state.reset_check(m, m.filter("disq_confidence = 'low'"), human=False)
     return out.select("uid", "disq_status", "quality_score", "disq_A1", "human_A1")
 
 
 @query("k05_full_reset", """
-    SELECT uid, CASE WHEN k % 4 = 0 THEN 'pending' ELSE disq_status END AS disq_status, CASE WHEN k % 4 <> 0 THEN violations_count END AS violations_count,
-           CASE WHEN k % 4 <> 0 THEN human_A1 END AS human_A1 FROM maps""")
+    SELECT uid, CASE WHEN disq_confidence = 'low' THEN 'pending' ELSE disq_status END AS disq_status, CASE WHEN disq_confidence IS DISTINCT FROM 'low' THEN violations_count END AS violations_count,
+           CASE WHEN disq_confidence IS DISTINCT FROM 'low' THEN human_A1 END AS human_A1 FROM maps""")
 def k05b(spark, sf):
     m = t.maps(spark, sf)
-    return state.reset_check(m, m.filter("k % 4 = 0")).select("uid", "disq_status", "violations_count", "human_A1")
+    return state.reset_check(m, m.filter("disq_confidence = 'low'")).select("uid", "disq_status", "violations_count", "human_A1")
 
 
 view("overrides", f"""
@@ -139,11 +139,11 @@ def k08b(spark, sf):
 
 
 @query("k09_member_changes", """
-    SELECT uid FROM cand WHERE (uid IN (SELECT uid FROM selected) OR (ai_status = 'pass' AND k % 4 = 1)) AND k % 5 <> 0""")
+    SELECT uid FROM cand WHERE (uid IN (SELECT uid FROM selected) OR (ai_status = 'pass' AND ai_has_graduated_circles)) AND ai_map_language <> 'fr' """)
 def k09(spark, sf):
     c, s = t.cand(spark, sf), t.selected(spark, sf)
-    added = state.add_member(s, c, c.filter("ai_status = 'pass' AND k % 4 = 1"))
-    return state.remove_member(added, c.filter("k % 5 = 0")).select("uid")
+    added = state.add_member(s, c, c.filter("ai_status = 'pass' AND ai_has_graduated_circles"))
+    return state.remove_member(added, c.filter("ai_map_language = 'fr'")).select("uid")
 
 
 @query("k10_run_record", """

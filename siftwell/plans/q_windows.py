@@ -162,15 +162,16 @@ def g06(spark, sf):
 
 
 @query("g07_dictionary_version", """
-    SELECT p_name || ' ' || p_brand AS phrase, max(CAST(p_size AS DOUBLE)) AS score FROM part WHERE p_partkey % 3 = 0
-        AND p_name || ' ' || p_brand NOT IN (SELECT p_name || ' ' || p_brand FROM part WHERE p_partkey % 3 > 0) GROUP BY 1
-    UNION ALL SELECT p_name || ' ' || p_brand, -max(CAST(p_size AS DOUBLE)) FROM part WHERE p_partkey % 3 = 2 GROUP BY 1""")
+    SELECT p_name || ' ' || p_brand AS phrase, max(CAST(p_size AS DOUBLE)) AS score FROM part WHERE p_size < 40
+        AND p_name || ' ' || p_brand NOT IN (SELECT p_name || ' ' || p_brand FROM part WHERE p_size >= 40) GROUP BY 1
+    UNION ALL SELECT p_name || ' ' || p_brand, -max(CAST(p_size AS DOUBLE)) FROM part WHERE p_size >= 45 GROUP BY 1""")
 def g07(spark, sf):
     from siftwell.functions.text import edit_dictionary
 
     part = t.table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("phrase"), F.col("p_size").cast("double").alias("score"))
-    pick = lambda m, sign: part.filter(F.col("p_partkey") % 3 == m).groupBy("phrase").agg((F.max("score") * sign).alias("score"))
-    return edit_dictionary(pick(0, 1), pick(2, -1), pick(1, 1))
+    pick = lambda low, high, sign: part.filter((F.col("score") >= low) & (F.col("score") < high)).groupBy("phrase").agg(
+        (F.max("score") * sign).alias("score"))
+    return edit_dictionary(pick(0, 40, 1), pick(45, 1000, -1), pick(40, 45, 1))
 
 
 @query("i01_stratified_split", """

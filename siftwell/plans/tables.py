@@ -124,11 +124,11 @@ def cand(spark, sf) -> DataFrame:
     return passed.withColumn("ai_status", status).drop("ok", "done")
 
 
-view("selected", "SELECT * FROM cand WHERE ai_status = 'pass' AND k % 3 = 0")
+view("selected", "SELECT * FROM cand WHERE ai_status = 'pass' AND ai_confidence = 'high'")
 
 
 def selected(spark, sf) -> DataFrame:
-    return cand(spark, sf).filter((F.col("ai_status") == "pass") & (F.col("k") % 3 == 0))
+    return cand(spark, sf).filter((F.col("ai_status") == "pass") & (F.col("ai_confidence") == "high"))
 
 
 view("runs", """

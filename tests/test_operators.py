@@ -278,3 +278,64 @@ def test_model_can_be_saved_and_loaded(spark, tmp_path):
     a = [r.pred_proba for r in learning.score_with_model(model, raw).collect()]
     assert a == [r.pred_proba for r in learning.score_with_model(again, raw).collect()]
     assert all((p > 0.5) == bool(i % 2) for i, p in enumerate(a))
+
+
+def test_scratch_dir_follows_the_session(spark, monkeypatch):
+    from siftwell import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.checkpoint.dir": "hdfs://shared/x/"}.get(key, default)
+
+    class Fake:
+        conf = Conf()
+
+    assert session.scratch_dir(Fake(), "a").startswith("hdfs://shared/x/a-")
+
+    class Cluster:
+        master = "yarn"
+
+    class Unset(Fake):
+        sparkContext = Cluster()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(RuntimeError):
+        session.scratch_dir(Unset())
+
+
+def test_spread_leaves_large_inputs_alone(spark):
+    from siftwell.session import spread
+
+    assert spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(100, numPartitions=20)
+    assert spread(many) is many
+
+
+def test_quota_sample_with_many_groups(spark, monkeypatch):
+    rows, df = _random(spark, 800)
+    quotas = df.groupBy("domain").agg(F.lit(3).alias("quota"))
+    small = {r.uid for r in sampling.quota_sample(df, "domain", quotas).collect()}
+    monkeypatch.setattr(sampling, "MAX_BROADCAST_GROUPS", 2)
+    assert {r.uid for r in sampling.quota_sample(df, "domain", quotas).collect()} == small
+    counts = {d: sum(r[1] == d for r in rows) for d in {r[1] for r in rows}}
+    assert len(small) == sum(min(3, c) for c in counts.values())
+
+
+def test_enrich_retries_then_reports(spark):
+    from pyspark.sql import types as T
+
+    seen = {}
+
+    def flaky(row):
+        seen[row["uid"]] = seen.get(row["uid"], 0) + 1
+        if seen[row["uid"]] < 3 or row["uid"] == "bad":
+            raise ValueError("down")
+        return {"status": "alive"}
+
+    df = spark.createDataFrame([("ok",), ("bad",)], "uid string").coalesce(1)
+    out = {r.uid: (r.status, r.error) for r in state.enrich(df, flaky, T.StructType([T.StructField("status", T.StringType())])).collect()}
+    assert out == {"ok": ("alive", None), "bad": ("error", "down")}

@@ -42,5 +42,14 @@ def test_no_cross_joins(spark, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
+def test_filter_on_score_does_not_repeat_the_matching(spark):
+    assert plan(QUERIES["b22_working_corpus"](spark, SF)).count("regexp_extract_all") == 1
+
+
+@pytest.mark.parametrize("name", ["e05_stratified_sample", "i01_stratified_split", "c14_phrase_join", "l04_language_identification"])
+def test_small_sides_are_broadcast(spark, name):
+    assert "BroadcastHashJoin" in plan(QUERIES[name](spark, SF))
+
+
 def test_pushed_filter_reaches_the_scan(spark):
     assert "PushedFilters: [IsNotNull(label), LessThan(label,5)" in plan(QUERIES["a03_pushed_scan"](spark, SF))
