@@ -168,7 +168,7 @@ def chunk_summary(df: DataFrame, chunk: str, threshold: float = 0.5) -> DataFram
     return chunks.agg(
         F.count("*").alias("n_chunks"), F.sum("n_total").alias("n_total"), F.sum("n_saved").alias("n_saved"),
         F.avg(F.col("n_saved") / F.col("n_total")).alias("mean_save_rate"), F.avg("mean_proba").alias("mean_proba"),
-        F.floor(F.round(F.sum("high") * 0.95 + F.sum("medium") * 0.82, 6)).alias("expected_true"))
+        F.floor(F.sum("high") * 0.95 + F.sum("medium") * 0.82).alias("expected_true"))
 
 
 def extrapolate(sample: DataFrame, rows_per_second: float, bytes_per_row: float, target: int = 50_000_000) -> DataFrame:
@@ -277,7 +277,7 @@ def sampling_scenarios(df: DataFrame, scenarios=SCENARIOS) -> DataFrame:
 
 
 def _yield(capped: DataFrame) -> DataFrame:
-    step = lambda c, rate: F.floor(F.round(F.col(c) * rate, 6)).cast("long")
+    step = lambda c, rate: F.floor(F.col(c) * rate).cast("long")
     return (capped.withColumn("n_alive", step("n_candidates", URL_ALIVE_RATE))
             .withColumn("n_downloaded", step("n_alive", DOWNLOAD_RATE))
             .withColumn("n_pass", step("n_downloaded", PASS_RATE))

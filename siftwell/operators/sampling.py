@@ -197,9 +197,23 @@ def samples_of_top_groups(df: DataFrame, group: str, top: int, k: int, uid: str
     return top_per_group(df.join(largest, group), [group], k, draw_key(F.col(uid), seed), F.col(uid))
 
 
+def proportional_quotas(df: DataFrame, group: str, share: float) -> DataFrame:
+    """(group, quota) that sum to ceil(share * rows)."""
+    everything = Window.partitionBy()  # one row per group
+    sizes = df.groupBy(group).agg(F.count("*").alias("n")).withColumn("_all", F.sum("n").over(everything))
+    wanted = F.ceil(F.col("_all") * share)
+    exact = sizes.withColumn("_want", wanted).withColumn("_exact", F.col("_want") * F.col("n") / F.col("_all"))
+    based = exact.withColumn("_base", F.floor("_exact")).withColumn("_rest", F.col("_want") - F.sum("_base").over(everything))
+    rank = F.row_number().over(Window.orderBy(F.round(F.col("_base") - F.col("_exact"), 9), group))
+    return based.select(group, (F.col("_base") + F.when(rank <= F.col("_rest"), 1).otherwise(0)).cast("long").alias("quota"))
+
+
 def stratified_split(df: DataFrame, test_share: float = 0.2, label: str = "label", uid: str = "uid",
                      seed: int = 42) -> DataFrame:
-    """Add split = train/test; each label gives ceil(share * rows) test rows, the same on every run."""
-    quotas = df.groupBy(label).agg(F.ceil(F.count("*") * test_share).cast("long").alias("quota"))
-    marked = mark_quotas(df, label, quotas, uid, seed)
+    """Add split = train/test, the same on every run.
+
+    ceil(share * rows) test rows in all, spread over the labels in proportion, the largest remainders
+    first.
+    """
+    marked = mark_quotas(df, label, proportional_quotas(df, label, test_share), uid, seed)
     return marked.withColumn("split", F.when(F.col("_pick"), "test").otherwise("train")).drop("_pick")

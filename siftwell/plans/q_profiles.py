@@ -211,7 +211,7 @@ def d20(spark, sf):
 
 @query("d21_chunk_summary", """
     SELECT count(*) AS n_chunks, CAST(sum(n) AS BIGINT) AS n_total, CAST(sum(s) AS BIGINT) AS n_saved, round(avg(s / n), 6) AS mean_save_rate,
-           round(avg(m), 6) AS mean_proba, CAST(floor(round(sum(h) * 0.95 + sum(md) * 0.82, 6)) AS BIGINT) AS expected_true
+           round(avg(m), 6) AS mean_proba, CAST(floor(sum(h) * 0.95::DOUBLE + sum(md) * 0.82::DOUBLE) AS BIGINT) AS expected_true
     FROM (SELECT k % 7 AS c, count(*) AS n, count(*) FILTER (WHERE pred_proba > 0.5) AS s, avg(pred_proba) AS m,
                  count(*) FILTER (WHERE pred_proba >= 0.8) AS h, count(*) FILTER (WHERE pred_proba >= 0.6 AND pred_proba < 0.8) AS md
           FROM vec GROUP BY 1)""")
@@ -277,10 +277,10 @@ _SCENARIOS = [("A", 0.7, 2), ("B", 0.7, 3), ("C", 0.6, 3), ("D", 0.5, 5), ("H",
 
 def _yield_sql(cells: str) -> str:
     return f"""
-    SELECT *, CAST(floor(round(n_downloaded * 0.75, 6)) AS BIGINT) AS n_pass, round(n_downloaded * 0.002::DOUBLE, 6) AS cost,
+    SELECT *, CAST(floor(n_downloaded * 0.75::DOUBLE) AS BIGINT) AS n_pass, round(n_downloaded * 0.002::DOUBLE, 6) AS cost,
            round(n_downloaded * 0.002::DOUBLE / 1800 * 100, 6) AS budget_pct
-    FROM (SELECT *, CAST(floor(round(n_alive * 0.97, 6)) AS BIGINT) AS n_downloaded
-          FROM (SELECT *, CAST(floor(round(n_candidates * 0.65, 6)) AS BIGINT) AS n_alive FROM ({cells})))"""
+    FROM (SELECT *, CAST(floor(n_alive * 0.97::DOUBLE) AS BIGINT) AS n_downloaded
+          FROM (SELECT *, CAST(floor(n_candidates * 0.65::DOUBLE) AS BIGINT) AS n_alive FROM ({cells})))"""
 
 
 def _capped_sql(name, p, cap) -> str:

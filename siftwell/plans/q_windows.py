@@ -175,8 +175,11 @@ def g07(spark, sf):
 
 
 @query("i01_stratified_split", """
-    SELECT uid, label, CASE WHEN rn <= ceil(n * 0.2) THEN 'test' ELSE 'train' END AS split
-    FROM (SELECT uid, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || uid), uid) AS rn, count(*) OVER (PARTITION BY label) AS n FROM lab)""")
+    WITH c AS (SELECT label, count(*) AS n, (SELECT ceil(count(*) * 0.2::DOUBLE) FROM lab) AS want, (SELECT count(*) FROM lab) AS total FROM lab GROUP BY 1),
+    q AS (SELECT label, floor(want * n / total) AS base, row_number() OVER (ORDER BY round(floor(want * n / total) - want * n / total, 9), label) AS r,
+                 want - sum(floor(want * n / total)) OVER () AS rest FROM c)
+    SELECT uid, label, CASE WHEN rn <= base + CASE WHEN r <= rest THEN 1 ELSE 0 END THEN 'test' ELSE 'train' END AS split
+    FROM (SELECT uid, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || uid), uid) AS rn FROM lab) JOIN q USING (label)""")
 def i01(spark, sf):
     return sampling.stratified_split(t.lab(spark, sf).select("uid", "label"))
 

@@ -110,7 +110,15 @@ def test_split_is_disjoint_complete_and_frozen(spark):
     assert split.select("uid").distinct().count() == len(rows) == split.count()
     assert {r.uid for r in sampling.stratified_split(df.repartition(2)).filter("split = 'test'").collect()} == test
     positive = sum(r[3] for r in rows)
-    assert sum(1 for r in rows if r[3] and r[0] in test) == math.ceil(positive * 0.2)
+    assert len(test) == math.ceil(len(rows) * 0.2)
+    assert abs(sum(1 for r in rows if r[3] and r[0] in test) - positive * 0.2) < 1
+
+
+@pytest.mark.parametrize("sizes, quotas", [((739, 3263), (148, 653)), ((7, 8), (1, 2)), ((1, 4), (0, 1))])
+def test_split_sizes(spark, sizes, quotas):
+    df = spark.createDataFrame([(str(i), int(i >= sizes[0])) for i in range(sum(sizes))], "uid string, label int")
+    got = {r.label: r.quota for r in sampling.proportional_quotas(df, "label", 0.2).collect()}
+    assert (got[0], got[1]) == quotas
 
 
 def test_dedup_keeps_the_maximum(spark):
