@@ -38,9 +38,9 @@ def dimension_statistics(df: DataFrame, embedding: str = "embedding") -> DataFra
             .agg(F.avg(F.col("x").cast("double")).alias("mean"), F.stddev_pop(F.col("x").cast("double")).alias("sd")))
 
 
-def standardise(df: DataFrame, reference: DataFrame | None = None, embedding: str = "embedding") -> DataFrame:
-    """Centre and scale by the reference's population statistics; a constant dimension is only centred."""
-    stats = dimension_statistics(reference if reference is not None else df, embedding)
+def standardise(df: DataFrame, fitted_on: DataFrame | None = None, embedding: str = "embedding") -> DataFrame:
+    """Centre and scale by the population statistics of ``fitted_on`` (default the rows themselves); a constant dimension is only centred."""
+    stats = dimension_statistics(fitted_on if fitted_on is not None else df, embedding)
     packed = stats.agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "sd"))).alias("s")).scalar()
     z = F.zip_with(F.col(embedding), F.col("_s"), lambda x, s: (x.cast("double") - s["mean"])
                    / F.when(s["sd"] > 0, s["sd"]).otherwise(1.0))
