@@ -6,7 +6,7 @@ import importlib
 
 from siftwell.llm.common import Query
 
-MODULES = ["bpe"]
+MODULES = ["bpe", "chat", "decontaminate", "language", "topk"]
 
 
 def queries() -> dict[str, Query]:

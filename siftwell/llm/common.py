@@ -24,6 +24,12 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in new])
 
 
+def bounded_batches(spark: SparkSession, limit: int = 32 << 20) -> None:
+    """Let Arrow batches end at a size too, so that long texts do not fill a worker; a set value stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, str(2**31 - 1)):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text modulo 3; remainder 1 is held out from learning."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
@@ -53,6 +59,7 @@ def add_columns(
 
     ``make`` runs once per task: it takes the batches of the text column and yields the new arrays of each.
     """
+    bounded_batches(df.sparkSession)
     kept = without(df, new.names) if keep is None else df.select(*[F.col(f"`{c}`") for c in keep])
     names = kept.columns
     source = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("__text"))
