@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from siftwell.llm.common import add_columns, slices, table
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 120_000
 """Bound of each worker's memo of encoded pieces; it is emptied when full, results never depend on it."""
 
 
@@ -299,7 +299,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
         encoder = Encoder(shared.value[0], pattern, shared.value[1])
         for batch in texts:
             parts, sizes = [np.zeros(0, np.int32)], [0]
-            for some in slices(batch):
+            for some in slices(batch, 2 << 20):
                 for ids in encoder.encode([value or "" for value in some.to_pylist()]):
                     parts.append(np.array(ids, np.int32))
                     sizes.append(len(ids))
