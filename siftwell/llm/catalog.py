@@ -6,7 +6,7 @@ import importlib
 
 from siftwell.llm.common import Query
 
-MODULES = ["bpe", "chat", "decontaminate", "language", "tokencount", "topk"]
+MODULES = ["bpe", "chat", "decontaminate", "jaccard", "language", "tokencount", "topk"]
 
 
 def queries() -> dict[str, Query]:
