@@ -6,7 +6,7 @@ import importlib
 
 from siftwell.llm.common import Query
 
-MODULES = ["bpe", "chat", "decontaminate", "jaccard", "language", "lines", "tokencount", "topk"]
+MODULES = ["bpe", "chat", "decontaminate", "jaccard", "language", "lines", "tokencount", "topk", "toxicity"]
 
 
 def queries() -> dict[str, Query]:
