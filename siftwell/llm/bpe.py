@@ -15,6 +15,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from siftwell.llm.common import add_columns, slices, table
@@ -217,6 +218,22 @@ class BatchMerger:
         return [tuple(ids[s:e]) for s, e in zip(bounds, bounds[1:], strict=False)]
 
 
+class _Pieces(dict):
+    """The ids of each piece; a new one gets an empty list that is filled later, an unusual one gets None."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[tuple[str, list[int]]] = []
+
+    def __missing__(self, piece: str) -> list[int] | None:
+        cell: list[int] | None = None
+        if piece and not piece[0].isspace() and not piece[-1].isspace():
+            cell = []
+            self.new.append((piece, cell))
+        self[piece] = cell
+        return cell
+
+
 class Encoder:
     """Encodes batches of texts; remembers the ids of pieces between single spaces.
 
@@ -232,7 +249,7 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         self.ranks, self.single = ranks, Merger(ranks)
         self.many = BatchMerger(ranks, pairs or pair_table(ranks))
-        self.pieces: dict[str, tuple[int, ...] | None] = {}
+        self.pieces = _Pieces()
         #: Only a pattern with the optional space before each kind of run allows the split.
         self.splits = all(x in pattern for x in (r" ?\p{L}+", r" ?\p{N}+", r" ?[^\s\p{L}\p{N}]+"))
 
@@ -241,33 +258,29 @@ class Encoder:
             return [piece]
         return self.find(piece)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.pieces) >= CACHE_ENTRIES:
-            self.pieces.clear()
-        known, split, every = self.pieces, [], set()
+            self.pieces = _Pieces()
+        known, split = self.pieces, []
         for text in texts:
             first, *rest = text.split(" ") if self.splits else [text]
             if first and first[-1].isspace():
                 first, rest = text, []
-            split.append((self.find(first), rest))
-            every.update(rest)
-        wanted: dict[str, list[str]] = {}  # a piece and its matches
-        for piece in every.difference(known):
-            if not piece or piece[0].isspace() or piece[-1].isspace():
-                known[piece] = None  # texts with such a piece are matched as a whole
-            else:
-                wanted[piece] = self._tokens(f" {piece}")
-        ids = self._ids({t for tokens in chain(wanted.values(), (s[0] for s in split)) for t in tokens})
-        for piece, tokens in wanted.items():
-            known[piece] = ids[tokens[0]] if len(tokens) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, tokens)))
+            split.append((self.find(first), [*map(known.__getitem__, rest)]))
+        wanted = [(cell, self._tokens(f" {piece}")) for piece, cell in known.new]
+        known.new = []
+        ids = self._ids({t for tokens in chain((w[1] for w in wanted), (s[0] for s in split)) for t in tokens})
+        for cell, tokens in wanted:
+            for token in tokens:
+                cell += ids[token]
         out = []
-        for text, (head, rest) in zip(texts, split, strict=True):
+        for text, (head, cells) in zip(texts, split, strict=True):
             try:
-                out.append([*chain.from_iterable(map(ids.__getitem__, head)), *chain.from_iterable(map(known.__getitem__, rest))])
-            except TypeError:
+                out.append(np.fromiter(chain(chain.from_iterable(map(ids.__getitem__, head)), chain.from_iterable(cells)), np.int32))
+            except TypeError:  # a space beside white space: the text is matched as a whole
                 tokens = self.find(text)
                 some = self._ids({*tokens})
-                out.append([*chain.from_iterable(map(some.__getitem__, tokens))])
+                out.append(np.fromiter(chain.from_iterable(map(some.__getitem__, tokens)), np.int32))
         return out
 
     def _ids(self, tokens: set[str]) -> dict[str, tuple[int, ...]]:
@@ -301,7 +314,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
             parts, sizes = [np.zeros(0, np.int32)], [0]
             for some in slices(batch, 2 << 20):
                 for ids in encoder.encode([value or "" for value in some.to_pylist()]):
-                    parts.append(np.array(ids, np.int32))
+                    parts.append(ids)
                     sizes.append(len(ids))
             yield [pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(np.concatenate(parts)))]
 
@@ -310,12 +323,27 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", into: str = "decoded", keep: Sequence[str] | None = None) -> DataFrame:
     """Add the bytes that the token ids stand for; null ids give empty bytes, an unknown id is an error."""
-    shared = df.sparkSession.sparkContext.broadcast({i: token for token, i in ranks.items()})
+    tokens = [b""] * (max(ranks.values(), default=0) + 1)
+    for token, i in ranks.items():
+        tokens[i] = token
+    shared = df.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(tokens), np.uint8), np.cumsum([0, *map(len, tokens)])))
 
     def make(lists: Iterator[pa.Array]) -> Iterator[list[pa.Array]]:
-        token = shared.value.__getitem__
+        data, bounds = shared.value
         for batch in lists:
-            yield [pa.array([b"".join(map(token, v.values.to_numpy(zero_copy_only=False).tolist())) if v.is_valid else b"" for v in batch], pa.binary())]
+            batch = pc.fill_null(batch, []) if batch.null_count else batch
+            flat, sizes = batch.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(batch).to_numpy(zero_copy_only=False)
+            if len(flat) and (flat.min() < 0 or flat.max() >= len(bounds) - 1 or (bounds[flat + 1] == bounds[flat]).any()):
+                raise ValueError("an id is not in the vocabulary")
+            parts = [np.zeros(0, np.uint8)]
+            for at in range(0, len(flat), 1 << 18):  # gather the bytes of many tokens at once
+                some = flat[at : at + (1 << 18)]
+                size = bounds[some + 1] - bounds[some]
+                ends = np.cumsum(size)
+                parts.append(data[np.repeat(bounds[some] - ends + size, size) + np.arange(ends[-1])])
+            sums = np.concatenate(([0], np.cumsum(bounds[flat + 1] - bounds[flat])))
+            offsets = sums[np.concatenate(([0], np.cumsum(sizes)))].astype(np.int32)
+            yield [pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.concatenate(parts).tobytes())])]
 
     return add_columns(df, ids, T.StructType([T.StructField(into, T.BinaryType())]), make, keep)
 

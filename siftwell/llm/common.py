@@ -40,6 +40,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id) == 1, F.lit(True))
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that the frame does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def slices(batch: pa.Array, limit: int = 8 << 20) -> Iterator[pa.Array]:
     """Cut a text array into runs of rows of at most ``limit`` bytes, or of one longer row."""
     start, total = 0, 0
@@ -62,7 +70,7 @@ def add_columns(
     bounded_batches(df.sparkSession)
     kept = without(df, new.names) if keep is None else df.select(*[F.col(f"`{c}`") for c in keep])
     names = kept.columns
-    source = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("__text"))
+    source = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(fresh(kept, "text_of_row")))
     schema = T.StructType(kept.schema.fields + new.fields)
     arrow_names = schema.names
 

@@ -10,7 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from siftwell.llm.common import add_columns, held_out, slices, table
+from siftwell.llm.common import add_columns, held_out, materialise, slices, table
+from siftwell.session import broadcast_if_small
 
 LEARN_DOCUMENTS = 2_000
 """About how many documents of each language the profiles are fitted on; the sample follows a hash of the row."""
@@ -66,6 +67,7 @@ def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", key:
     key = F.col(f"`{text}`") if key is None else key
     source = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"), F.pmod(F.xxhash64(key), F.lit(1 << 30)).alias("h")).where("lang IS NOT NULL")
     sizes = source.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = broadcast_if_small(materialise(sizes, "sizes"), 64)
     sample = source.join(sizes, "lang").where(F.col("h") * F.col("n") <= F.lit(float(per_language * (1 << 30)))).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

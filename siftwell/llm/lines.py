@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from siftwell.llm.common import materialise, table, without
+from siftwell.llm.common import fresh, materialise, table, without
 from siftwell.llm.components import components
 from siftwell.session import broadcast_if_small
 
@@ -55,7 +55,7 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     """
     width = 2 * edits + 1
     mask = (1 << width) - 1
-    chars_a, chars_b = F.split(a, ""), F.split(b, "")
+    chars_a, chars_b = (F.filter(F.split(x, ""), lambda c: c != "") for x in (a, b))  # an empty line has no character
     start = F.struct(F.lit(0).alias("j"), *[F.lit(sum(1 << (edits + x) for x in range(k + 1))).alias(f"r{k}") for k in range(edits + 1)])
 
     def step(state: Column, c: Column) -> Column:
@@ -120,25 +120,26 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits:
 
     See :func:`repeated_lines`.  All other columns stay; columns of the new names are replaced; null texts stay null.
     """
-    removed = materialise(repeated_lines(docs, key, text, edits, shortest), "removed").withColumnRenamed("rid", "__rid")
-    numbered = without(docs, ["n_lines", "n_removed", "removed", "__rid"]).withColumn("__rid", F.monotonically_increasing_id())
-    joined = numbered.join(removed, "__rid", "left")
-    column, gone = F.col(f"`{text}`"), F.coalesce("removed", F.array().cast("array<int>"))
-    kept = F.array_join(F.filter(_split(column), lambda x, i: ~F.array_contains(F.col("removed"), i)), "\n")
-    counts = {"n_lines": F.coalesce(F.size(_split(column)), F.lit(0)).cast("long"), "n_removed": F.size(gone).cast("long")}
-    return joined.withColumns(counts).withColumn(text, F.when(F.col("removed").isNull(), column).otherwise(kept)).drop("__rid", "removed")
+    rid, gone = fresh(docs, "rid"), fresh(docs, "removed")
+    removed = materialise(repeated_lines(docs, key, text, edits, shortest), "removed").select(F.col("rid").alias(rid), F.col("removed").alias(gone))
+    numbered = without(docs, ["n_lines", "n_removed"]).withColumn(rid, F.monotonically_increasing_id())
+    joined = numbered.join(removed, rid, "left")
+    column = F.col(f"`{text}`")
+    kept = F.array_join(F.filter(_split(column), lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
+    counts = {"n_lines": F.when(column.isNull(), 0).otherwise(F.size(_split(column))).cast("long"), "n_removed": F.coalesce(F.size(gone), F.lit(0)).cast("long")}
+    return joined.withColumns(counts).withColumn(text, F.when(F.col(gone).isNull(), column).otherwise(kept)).drop(rid, gone)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's lines against all lines of all documents."""
     out = dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
-    return out.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).alias("n_lines"), "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents without repeated lines; one that had nothing else goes."""
     out = dedup_lines(docs)
-    return out.where("n_removed < n_lines OR n_lines = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.where("n_removed < n_lines OR n_removed = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 QUERIES = {"op10_line_dedup": op10_line_dedup}

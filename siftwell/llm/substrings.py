@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftwell.llm.common import bounded_batches, materialise, slices, table, without
+from siftwell.llm.common import bounded_batches, fresh, materialise, slices, table, without
 from siftwell.llm.wordhash import _BYTES, _DOWN, _UP, mix
 from siftwell.session import broadcast_if_small
 
@@ -335,11 +335,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: Sequence[str] | No
     Null and short texts have nothing removed (null: no bytes).  Repeated rows repeat each other, so all
     their long texts go.  Columns of these names are replaced.
     """
-    new = ["kept", "n_bytes", "n_removed", "spans", "__rid", "__low", "__high"]
-    ranges = repeated_ranges(docs, text).groupBy("rid").agg(F.collect_list("low").alias("__low"), F.collect_list("high").alias("__high")).withColumnRenamed("rid", "__rid")
+    new = ["kept", "n_bytes", "n_removed", "spans"]
+    rid, whole, low, high = (fresh(docs, c) for c in ("rid", "text_of_row", "low", "high"))
+    ranges = repeated_ranges(docs, text).groupBy(F.col("rid").alias(rid)).agg(F.collect_list("low").alias(low), F.collect_list("high").alias(high))
     kept = without(docs, new).columns if keep is None else list(keep)
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"), F.monotonically_increasing_id().alias("__rid"))
-    joined = source.join(broadcast_if_small(materialise(ranges, "ranges"), 80), "__rid", "left").select(*[F.col(f"`{c}`") for c in kept], "__text", "__low", "__high")
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(whole), F.monotonically_increasing_id().alias(rid))
+    joined = source.join(broadcast_if_small(materialise(ranges, "ranges"), 80), rid, "left").select(*[F.col(f"`{c}`") for c in kept], whole, low, high)
     n = len(kept)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,7 +358,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: Sequence[str] | No
                 edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).view(np.int8)))
                 out.append((np.frombuffer(raw, np.uint8)[~gone].tobytes(), len(raw), int(gone.sum()), edges.tolist()))
             kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array([o[i] for o in out], t) for i, t in enumerate(kinds))], names=[*kept, *new[:4]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array([o[i] for o in out], t) for i, t in enumerate(kinds))], names=[*kept, *new])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:n])
     return joined.mapInArrow(cut, f"{fields}{', ' * (n > 0)}kept binary, n_bytes long, n_removed long, spans array<long>")
