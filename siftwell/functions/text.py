@@ -12,7 +12,7 @@ from siftwell.session import broadcast_if_small, materialise
 
 ALNUM = r"\p{L}\p{N}"
 WORD = f"[{ALNUM}]+"
-# Above this many phrases the dictionary is joined instead of being inlined into the plan.
+# Above this many phrases the dictionary is joined instead of being inlined into the plan; the rows are the same.
 INLINE_PHRASES = 20_000
 
 
@@ -170,34 +170,77 @@ def score_texts(docs: DataFrame, phrases: PhraseSet, text: str = "text") -> Data
     return docs.select(*docs.columns, F.inline(F.transform(F.array(matched_phrases(F.col(text), phrases)), result)))
 
 
-def phrase_matches(docs: DataFrame, dictionary: DataFrame, uid: str = "uid", text: str = "text",
-                   width: int = 3) -> DataFrame:
-    """Phrase-text join for dictionaries of any size: (uid, phrase, score, polarity, at).
+def dictionary_width(dictionary: DataFrame) -> int:
+    """The number of words of the longest phrase."""
+    return dictionary.agg(F.max(F.size(F.regexp_extract_all("phrase", F.lit(WORD), F.lit(0))))).first()[0] or 1
+
+
+def _placed_grams(text: Column, width: int) -> Column:
+    """Every n-gram up to ``width`` words with the separators around it, its end word and its length in words.
 
-    The text itself is never shuffled.  A dictionary whose counted rows are small enough is broadcast to
-    the n-grams; a larger one is joined by shuffling the distinct n-grams.  ``width`` is the longest
-    phrase in words.
+    A separator is NULL at the beginning or end of the text.
+    """
+    lower = F.lower(text)
+    lead = F.nullif(F.regexp_extract(lower, f"^[^{ALNUM}]+", 0), F.lit(""))
+    count = lambda p: F.floor((F.size(p) + 1) / 2).cast("int")
+
+    def of(p):
+        def gram(end, words):
+            start = 2 * (end - (words - 1))
+            before = F.when(start > 0, F.get(p, start - 1)).otherwise(lead)
+            first, last = start == 0, 2 * end + 2 >= F.size(p)
+            return F.when(start >= 0, F.struct(
+                F.array_join(F.slice(p, start + 1, F.lit(2 * words - 1)), "").alias("core"), before.alias("before"),
+                F.get(p, 2 * end + 1).alias("after"), first.alias("first"), last.alias("last"), end.alias("end")))
+
+        ends = lambda end: F.array(*[gram(end, words) for words in range(width, 0, -1)])
+        rows = F.flatten(F.transform(F.sequence(F.lit(0), count(p) - 1), ends))
+        return F.when(count(p) > 0, F.filter(rows, lambda r: r.isNotNull()))
+
+    return _let(_pieces(text), of)
+
+
+def phrase_matches(docs: DataFrame, dictionary: DataFrame, uid: str = "uid", text: str = "text",
+                   width: int | None = None) -> DataFrame:
+    """Phrase-text join for dictionaries of any size: (uid, phrase, score, polarity, at), once per uid and phrase.
+
+    A phrase is joined by its core, the part from its first to its last word; symbols at its edges are then
+    compared with the separators around the n-gram.  The text itself is never shuffled.  A dictionary whose
+    counted rows are small enough is broadcast to the n-grams; a larger one is joined by shuffling them.
+    ``width`` is the longest phrase in words, read from the dictionary if not given; ``at`` orders matches by
+    their end, longer ones first.  Phrases without a letter or digit never match.
     """
-    grams = _let(_pieces(F.col(text)), lambda pieces: _candidates(pieces, width, None))
-    grams = docs.select(uid, F.posexplode(F.array_distinct(grams)).alias("at", "phrase"))
-    side = broadcast_if_small(dictionary, 128)
-    return grams.filter(F.col("phrase").isNotNull()).join(side, "phrase").select(
-        uid, "phrase", "score", "polarity", "at")
+    width = width or dictionary_width(dictionary)
+    inner = f"[{ALNUM}](?:.*[{ALNUM}])?"
+    cored = dictionary.withColumn("core", F.regexp_extract("phrase", f"(?s){inner}", 0)).filter("core <> ''").select(
+        "phrase", "score", "polarity", "core",
+        F.regexp_extract("phrase", f"(?s)^[^{ALNUM}]*", 0).alias("left"), F.regexp_extract("phrase", f"(?s)[^{ALNUM}]*$", 0).alias("right"))
+    grams = docs.select(uid, F.explode(_placed_grams(F.col(text), width)).alias("g")).select(uid, "g.*")
+    side = broadcast_if_small(cored, 160)
+    before, after = F.coalesce("before", F.lit("")), F.coalesce("after", F.lit(""))
+    # beyond the edge symbols there must be no letter or digit: more of the separator, or an end of the text
+    fits = (F.endswith(before, F.col("left")) & ((F.length("left") == 0) | (F.length("left") < F.length(before)) | F.col("first"))
+            & F.startswith(after, F.col("right")) & ((F.length("right") == 0) | (F.length("right") < F.length(after)) | F.col("last")))
+    at = F.struct("end", F.length("right").alias("beyond"), (-F.length("phrase")).alias("shorter"))
+    return (grams.join(side, "core").filter(fits).groupBy(uid, "phrase")
+            .agg(F.first("score").alias("score"), F.first("polarity").alias("polarity"), F.min(at).alias("at")))
 
 
 def score_texts_by_join(docs: DataFrame, dictionary: DataFrame, uid: str = "uid", text: str = "text",
-                        width: int = 3, keep: list[str] = ()) -> DataFrame:
+                        width: int | None = None, keep: list[str] = ()) -> DataFrame:
     """Scores as score_texts gives them, for a dictionary too large to inline.
 
-    Only uid, hits and the columns in ``keep`` are shuffled, never the text.
+    Every row is scored by itself, also where uids repeat: rows meet by their number in ``docs``, which must
+    give the same rows when read again.  Only numbers, hits and kept columns are shuffled, never the text.
     """
-    hits = phrase_matches(docs, dictionary, uid, text, width)
-    per_doc = hits.groupBy(uid).agg(
+    docs = docs.withColumn("_row", F.monotonically_increasing_id())
+    hits = phrase_matches(docs, dictionary, "_row", text, width)
+    per_doc = hits.groupBy("_row").agg(
         F.sum("score").alias("score"), F.array_sort(F.collect_list(F.struct("at", "phrase", "polarity"))).alias("hits"))
     keys = lambda kind: F.transform(F.filter("hits", lambda h: h["polarity"] == kind), lambda h: h["phrase"])
     empty = F.array().cast("array<string>")
-    slim = per_doc.select(uid, "score", keys("pos").alias("pos_keys"), keys("neg").alias("neg_keys"))
-    return docs.select(uid, *keep).join(slim, uid, "left").select(
+    slim = per_doc.select("_row", "score", keys("pos").alias("pos_keys"), keys("neg").alias("neg_keys"))
+    return docs.select("_row", uid, *keep).join(slim, "_row", "left").select(
         uid, *keep, F.coalesce("score", F.lit(0.0)).alias("score"),
         F.coalesce("pos_keys", empty).alias("pos_keys"), F.coalesce("neg_keys", empty).alias("neg_keys"))
 
@@ -208,8 +251,7 @@ def score_corpus(docs: DataFrame, dictionary: DataFrame, uid: str = "uid", text:
     phrases = phrase_set(dictionary)
     if phrases is not None:
         return score_texts(docs.select(uid, *keep, text), phrases, text).drop(text)
-    width = dictionary.agg(F.max(F.size(F.regexp_extract_all("phrase", F.lit(WORD), F.lit(0))))).first()[0]
-    return score_texts_by_join(docs, dictionary, uid, text, width or 1, keep)
+    return score_texts_by_join(docs, dictionary, uid, text, None, keep)
 
 
 def joined_keys(keys: Column) -> Column:
@@ -224,7 +266,9 @@ def alternation(keywords: list[str]) -> str:
 
 
 def contains_any(text: Column, keywords: list[str]) -> Column:
-    """Any keyword is a substring of the lower-cased text; NULL text is false."""
+    """Any keyword is a substring of the lower-cased text; NULL text and an empty list are false."""
+    if not keywords:
+        return F.lit(False)
     return F.coalesce(F.lower(text).rlike(alternation(keywords)), F.lit(False))
 
 
@@ -237,15 +281,14 @@ def matches_language_rules(text: Column, lang: Column, wanted: dict[str, list[st
     """Rules of the row's language united with the fallback's; unknown languages use the fallback."""
 
     def rule(words):
-        branch = F.lit(alternation(words[fallback]))
-        expr = None
+        # one literal pattern per language, compiled once
+        branch, expr = contains_any(text, words[fallback]), None
         for code in sorted(words):
-            pattern = F.lit(alternation(sorted(set(words[code]) | set(words[fallback]))))
-            expr = F.when(lang == code, pattern) if expr is None else expr.when(lang == code, pattern)
-        return F.coalesce(expr.otherwise(branch), branch)
+            found = contains_any(text, sorted(set(words[code]) | set(words[fallback])))
+            expr = F.when(lang == code, found) if expr is None else expr.when(lang == code, found)
+        return branch if expr is None else expr.otherwise(branch)
 
-    lower = F.coalesce(F.lower(text), F.lit(""))
-    return F.rlike(lower, rule(wanted)) & ~F.rlike(lower, rule(unwanted))
+    return rule(wanted) & ~rule(unwanted)
 
 
 def keyword_row_counts(docs: DataFrame, keywords: list[str], uid: str = "uid", text: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
@@ -216,6 +217,7 @@ def linear_proba(weights: list[float], bias: float, embedding: str = "embedding"
     """Sigmoid of a fixed linear model, inside the scan stage: no vector conversion and no shuffle.
 
     Short embeddings are summed in the JVM; wide ones go through Arrow as one matrix product per batch.
+    An embedding that is NULL, of another length or with a NULL element gives NULL on either way.
     """
     if len(weights) > WIDE:
         return _matrix_proba(weights, bias)(F.col(embedding))
@@ -229,10 +231,12 @@ def _matrix_proba(weights: list[float], bias: float):
 
     @F.arrow_udf("double")
     def proba(e: pa.Array) -> pa.Array:
-        known = e.is_valid().to_numpy(zero_copy_only=False)
+        known = pc.fill_null(pc.equal(pc.list_value_length(e), len(w)), False).to_numpy(zero_copy_only=False)
+        if e.flatten().null_count:
+            known &= np.array([v.is_valid and v.values.null_count == 0 for v in e])
         out = np.full(len(e), np.nan)
         if known.any():
-            x = e.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(w)).astype("float64")
+            x = e.filter(pa.array(known)).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(w)).astype("float64")
             out[known] = 1 / (1 + np.exp(-(x @ w + bias)))
         return pa.array(out, mask=~known)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKETS = 1 << 20
+BUCKETS = 256
 
 
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -24,18 +24,16 @@ def running_totals(values: DataFrame, by: str, sums: list[str], groups: list[str
                    descending: bool = False) -> DataFrame:
     """Add ``cum_<s>`` (inclusive running sum ordered by ``by``) and ``all_<s>`` (group total).
 
-    ``values`` holds one row per (groups, by).  Rows are spread over equal-width value buckets; each
-    bucket is ordered in its own task and shifted by the totals of the buckets before it, so neither
-    a large group nor the whole table is ever sorted in one task.  The totals are at most BUCKETS rows
-    per group.
+    ``values`` holds one row per (groups, by).  Rows are spread over value buckets that hold about as many
+    values each, whatever their distribution (their bounds are percentiles of the values); each bucket is
+    ordered in its own task and shifted by the totals of the buckets before it, so neither a large group nor
+    the whole table is ever sorted in one task.  The totals are at most BUCKETS rows per group.
     """
     groups = list(groups)
-    span = values.agg(F.struct(F.min(by).alias("lo"), F.max(by).alias("hi")).alias("span")).scalar()
-    spanned = values.withColumn("_span", span)
-    width = F.nullif(F.col("_span.hi") - F.col("_span.lo"), F.lit(0.0))
-    place = F.coalesce((F.col(by) - F.col("_span.lo")) / width * BUCKETS, F.lit(0.0))
+    bounds = values.agg(F.percentile_approx(by, [i / BUCKETS for i in range(1, BUCKETS)], 10 * BUCKETS).alias("bounds")).scalar()
     sign = -1 if descending else 1
-    placed = spanned.withColumn("_bucket", sign * F.floor(place).cast("long")).drop("_span")
+    below = F.size(F.filter(F.coalesce("_bounds", F.array(F.col(by))), lambda b: b <= F.col(by)))
+    placed = values.withColumn("_bounds", bounds).withColumn("_bucket", (sign * below).cast("long")).drop("_bounds")
     order = F.col(by).desc() if descending else F.col(by).asc()
     inside = Window.partitionBy(*groups, "_bucket").orderBy(order)
     upto = Window.partitionBy(*groups).orderBy("_bucket")

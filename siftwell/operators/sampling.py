@@ -86,14 +86,16 @@ def mark_quotas(df: DataFrame, group: str, quotas: DataFrame, uid: str = "uid",
         kind = quotas.schema[group].dataType.simpleString()
         quotas = df.sparkSession.createDataFrame(known, f"`{group}` {kind}, quota long")
     keyed = _keyed(df, uid, seed)
-    histogram = keyed.join(F.broadcast(quotas) if few else quotas, group).groupBy(group, "quota", "_slot").agg(
+    quotas = quotas.select(F.col(group).alias("_group"), "quota")
+    same = F.col(group).eqNullSafe(F.col("_group"))  # a NULL group is a group
+    histogram = keyed.join(F.broadcast(quotas) if few else quotas, same).groupBy("_group", "quota", "_slot").agg(
         F.count("*").alias("n"))
-    upto = Window.partitionBy(group).orderBy("_slot")
+    upto = Window.partitionBy("_group").orderBy("_slot")
     cuts = (histogram.withColumn("_before", F.sum("n").over(upto) - F.col("n"))
             .filter((F.col("_before") < F.col("quota")) & (F.col("_before") + F.col("n") >= F.col("quota")))
-            .select(group, F.col("_slot").alias("_cut"), (F.col("quota") - F.col("_before")).alias("_left")))
-    limits = quotas.join(cuts, group, "left").select(group, "_cut", "_left", (F.col("quota") > 0).alias("_open"))
-    placed = keyed.join(F.broadcast(limits) if few else limits, group, "left")
+            .select(F.col("_group").alias("_of"), F.col("_slot").alias("_cut"), (F.col("quota") - F.col("_before")).alias("_left")))
+    limits = quotas.join(cuts, F.col("_group").eqNullSafe(F.col("_of")), "left").select("_group", "_cut", "_left", (F.col("quota") > 0).alias("_open"))
+    placed = keyed.join(F.broadcast(limits) if few else limits, same, "left").drop("_group")
     return _mark(placed, df.columns, [group], uid)
 
 

@@ -9,7 +9,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from siftwell.functions.scores import label_code
 from siftwell.operators.filters import EXCLUDED_DOMAINS, builder_filter, exclude_domains
@@ -47,9 +47,13 @@ def pending(state: DataFrame, step: str) -> DataFrame:
     return state.filter(condition).select(*columns)
 
 
-def upsert(state: DataFrame, changes: DataFrame, key: str = "uid") -> DataFrame:
-    """Replace the named columns of the changed keys; other rows and columns stay."""
+def upsert(state: DataFrame, changes: DataFrame, key: str = "uid", order: list[Column] | None = None) -> DataFrame:
+    """Replace the named columns of the changed keys; other rows and columns stay.
+
+    Of several changes for one key the first in ``order`` counts (by default in the order of their columns).
+    """
     columns = [c for c in changes.columns if c != key]
+    changes = first_per_key(changes, [key], *(order or [F.col(c).asc_nulls_last() for c in columns]))
     renamed = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_hit"))
     joined = state.join(renamed, key, "left")
     return joined.select(*[F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)

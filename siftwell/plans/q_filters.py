@@ -303,7 +303,7 @@ def c13(spark, sf):
 
 @query("c14_phrase_join", "SELECT uid, score, pos_keys, neg_keys FROM scored")
 def c14(spark, sf):
-    out = score_texts_by_join(t.docs(spark, sf).select("uid", "text"), t.dictionary(spark), width=2)
+    out = score_texts_by_join(t.docs(spark, sf).select("uid", "text"), t.dictionary(spark))
     return out.select("uid", "score", F.array_join("pos_keys", "|").alias("pos_keys"), F.array_join("neg_keys", "|").alias("neg_keys"))
 
 
@@ -356,7 +356,8 @@ def f02(spark, sf):
 
 
 _ORDERS = {"status": "CASE ai_status WHEN 'pass' THEN 0 WHEN 'fail' THEN 1 ELSE 2 END, pred_proba DESC",
-           "res_desc": "image_width * image_height DESC", "domain": "domain, pred_proba DESC",
+           "proba_desc": "pred_proba DESC", "proba_asc": "pred_proba ASC NULLS FIRST",
+           "res_desc": "image_width * image_height DESC", "res_asc": "image_width * image_height ASC NULLS FIRST", "domain": "domain, pred_proba DESC",
            "lang": "ai_map_language ASC NULLS FIRST, pred_proba DESC"}
 
 

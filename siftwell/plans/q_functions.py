@@ -313,9 +313,9 @@ def h37(spark, sf):
 
 # ---------------------------------------------------------------- row-function replacements
 
-@query("l01_three_column_scoring", "SELECT uid, score, pos_keys, neg_keys FROM scored WHERE lang = 'en'")
+@query("l01_three_column_scoring", "SELECT uid, score, pos_keys, neg_keys FROM scored")
 def l01(spark, sf):
-    out = text.score_corpus(t.docs(spark, sf).filter("lang = 'en'"), t.dictionary(spark))
+    out = text.score_corpus(t.docs(spark, sf), t.dictionary(spark))
     return out.select("uid", "score", text.joined_keys(F.col("pos_keys")).alias("pos_keys"), text.joined_keys(F.col("neg_keys")).alias("neg_keys"))
 
 

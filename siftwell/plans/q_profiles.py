@@ -352,9 +352,9 @@ _FACETS = {"status": "ai_status", "language": "ai_map_language", "confidence": "
 _DOWNLOADED = "(SELECT * FROM cand WHERE download_status = 'success')"
 
 
-@query("d33_facets", _facet_sql(_DOWNLOADED, _FACETS, {"domain": 12}))
+@query("d33_facets", _facet_sql(_DOWNLOADED, _FACETS, {"domain": 50}))
 def d33(spark, sf):
-    return profiles.facets(filters.candidate_filter(t.cand(spark, sf), {}), _FACETS, {"domain": 12})
+    return profiles.facets(filters.candidate_filter(t.cand(spark, sf), {}), _FACETS, {"domain": 50})
 
 
 _EN = "(SELECT * FROM cand WHERE download_status = 'success' AND ai_map_language = 'en')"

@@ -272,7 +272,8 @@ def j11(spark, sf):
     WITH q AS (SELECT scenario, weight_set, 60 * (1 - sum(weight) / any_value(total)) AS q
         FROM scenario_rows JOIN school_weights USING (criterion) JOIN (SELECT weight_set, sum(weight) AS total FROM school_weights GROUP BY 1) USING (weight_set) GROUP BY 1, 2)
     SELECT scenario, round(max(q) FILTER (WHERE weight_set = 'UK'), 6) AS "UK", round(max(q) FILTER (WHERE weight_set = 'CZ'), 6) AS "CZ",
-           round(max(q) FILTER (WHERE weight_set = 'Other'), 6) AS "Other", round(max(q) - min(q), 6) AS "range" FROM q WHERE weight_set <> 'DE-speak' GROUP BY 1""")
+           round(max(q) FILTER (WHERE weight_set = 'Other'), 6) AS "Other", round(max(q) FILTER (WHERE weight_set = 'DE-speak'), 6) AS "DE-speak",
+           round(max(q) - min(q), 6) AS "range" FROM q GROUP BY 1""")
 def j12(spark, sf):
-    sets = ["UK", "CZ", "Other"]
+    sets = ["UK", "CZ", "Other", "DE-speak"]
     return t.rounded(survey.sensitivity(scenario_rows(spark, sf), school_weights(spark, sf), sets), *sets, "range")

@@ -149,9 +149,9 @@ def g04(spark, sf):
 
 
 @query("g05_keyword_union", r"""
-    SELECT DISTINCT lower(w) AS word FROM (SELECT lang, unnest(regexp_extract_all(text, '\p{L}{9,}')) AS w FROM documents) WHERE lang IN ('fr', 'en')""")
+    SELECT DISTINCT lower(w) AS word FROM (SELECT lang, unnest(regexp_extract_all(text, '\p{L}+')) AS w FROM documents) WHERE lang IN ('fr', 'en')""")
 def g05(spark, sf):
-    words = t.table(spark, sf, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}{9,}"), F.lit(0))).alias("w"))
+    words = t.table(spark, sf, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
     return sets.keyword_union(words.select("lang", F.lower("w").alias("word")), "fr")
 
 
