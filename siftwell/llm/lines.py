@@ -47,31 +47,57 @@ def _keys(line: Column, length: Column, edits: int) -> Column:
     return F.array(*found)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _shared(a: Column, b: Column) -> Column:
+    """Number of equal elements at the beginning of two arrays."""
+    differs = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
+    return F.when(differs > 0, differs - 1).otherwise(F.least(F.size(a), F.size(b))).cast("int")
+
+
 def within_edits(a: Column, b: Column, edits: int) -> Column:
     """Whether two lines are at most ``edits`` insertions, deletions and substitutions apart.
 
-    Bit d of state k after j characters of ``b`` says that the first j + d - edits characters of ``a`` are at most k
-    edits from them: a band of 2 edits + 1 diagonals in one word, for all of which a step is a few bit operations.
+    What they share at beginning and end is left out.  On the rest, bit d of state k after j characters of ``b``
+    says that the first j + d - edits characters of ``a`` are at most k edits from them: a band of 2 edits + 1
+    diagonals in one word, for all of which a step is a few bit operations.  An empty state stays empty.
     """
     width = 2 * edits + 1
     mask = (1 << width) - 1
-    chars_a, chars_b = (F.filter(F.split(x, ""), lambda c: c != "") for x in (a, b))  # an empty line has no character
-    start = F.struct(F.lit(0).alias("j"), *[F.lit(sum(1 << (edits + x) for x in range(k + 1))).alias(f"r{k}") for k in range(edits + 1)])
-
-    def step(state: Column, c: Column) -> Column:
-        equal = reduce(lambda x, y: x.bitwiseOR(y), [F.when(F.get(chars_a, state["j"] + (d - edits)) == c, 1 << d).otherwise(0) for d in range(width)])
-        rows: list[Column] = []
-        for k in range(edits + 1):
-            now = state[f"r{k}"].bitwiseAND(equal)
-            if k:
-                before = state[f"r{k - 1}"]
-                now = now.bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(rows[k - 1], 1)).bitwiseAND(F.lit(mask))
-            rows.append(now)
-        return F.struct((state["j"] + 1).alias("j"), *[r.alias(f"r{k}") for k, r in enumerate(rows)])
-
-    gap = F.length(a) - F.length(b)
-    end = F.aggregate(chars_b, start, step, lambda s: s[f"r{edits}"])
-    return (F.abs(gap) <= edits) & (F.get(F.array(*[end.bitwiseAND(F.lit(1 << d)) for d in range(width)]), gap + edits) != 0)
+
+    def chars(x: Column) -> Column:
+        return F.filter(F.split(x, ""), lambda c: c != "")  # an empty line has no character
+
+    def step(own: Column):
+        def of(state: Column, c: Column) -> Column:
+            equal = reduce(lambda x, y: x.bitwiseOR(y), [F.when(F.get(own, state["j"] + (d - edits)) == c, 1 << d).otherwise(0) for d in range(width)])
+            rows: list[Column] = []
+            for k in range(edits + 1):
+                now = state[f"r{k}"].bitwiseAND(equal)
+                if k:
+                    before = state[f"r{k - 1}"]
+                    now = now.bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(rows[k - 1], 1)).bitwiseAND(F.lit(mask))
+                rows.append(now)
+            return F.when(state[f"r{edits}"] == 0, state).otherwise(F.struct((state["j"] + 1).alias("j"), *[r.alias(f"r{k}") for k, r in enumerate(rows)]))
+
+        return of
+
+    def automaton(core: Column) -> Column:
+        start = F.struct(F.lit(0).alias("j"), *[F.lit(sum(1 << (edits + x) for x in range(k + 1))).alias(f"r{k}") for k in range(edits + 1)])
+        gap = F.size(core["a"]) - F.size(core["b"])
+        end = F.aggregate(core["b"], start, step(core["a"]), lambda s: s[f"r{edits}"])
+        return (F.abs(gap) <= edits) & (F.get(F.array(*[F.lit(1 << d) for d in range(width)]), gap + edits).bitwiseAND(end) != 0)
+
+    def cut(x: Column) -> Column:
+        q = F.least(x["q"], F.least(F.size(x["a"]), F.size(x["b"])) - x["p"])
+        return F.struct(*[F.slice(x[c], x["p"] + 1, F.size(x[c]) - x["p"] - q).alias(c) for c in "ab"])
+
+    both = F.struct(chars(a).alias("a"), chars(b).alias("b"))
+    ends = lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), _shared(x["a"], x["b"]).alias("p"), _shared(F.reverse(x["a"]), F.reverse(x["b"])).alias("q"))
+    return F.coalesce(_let(both, lambda x: _let(ends(x), lambda y: _let(cut(y), automaton))), F.lit(False))
 
 
 def _lines(rows: DataFrame, shortest: int) -> DataFrame:
