@@ -17,6 +17,7 @@ from siftwell.functions.scores import direction, percent_change
 from siftwell.operators.metrics import evaluate
 from siftwell.operators.ordering import attach_row
 from siftwell.session import materialise
+from siftwell.sources.readers import path_exists
 
 RESULT_COLUMNS = ["model", "f1", "precision", "recall", "accuracy", "roc_auc", "pr_auc", "optimal_threshold",
                   "optimal_f1"]
@@ -266,6 +267,23 @@ def scaled_pipeline(estimator) -> Pipeline:
     return Pipeline(stages=[scaler, estimator.copy({estimator.featuresCol: "scaled"})])
 
 
+def fit_pipeline(train: DataFrame, name: str = "LogisticRegression") -> PipelineModel:
+    """A saveable model on class-weighted labelled rows: scaling and estimator in one."""
+    return scaled_pipeline(estimators()[name][0]).fit(with_features(class_weights(train)))
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().save(path)
+
+
+def load_latest_model(spark, paths: list[str]) -> tuple[str, PipelineModel]:
+    """The first of several places, latest iteration first and baseline last, that holds a model."""
+    for path in paths:
+        if path_exists(spark, f"{path.rstrip('/')}/metadata"):
+            return path, PipelineModel.load(path)
+    raise FileNotFoundError(f"no model in {paths}")
+
+
 # ---------------------------------------------------------------- iterations
 
 def model_trends(history: DataFrame) -> DataFrame:

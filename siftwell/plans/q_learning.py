@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from siftwell.operators import learning, metrics, sampling, sets
 from siftwell.plans import tables as t
 from siftwell.plans.registry import query
+from siftwell.session import scratch_dir
 
 DIM = 64
 
@@ -15,7 +16,9 @@ def models():
 
 
 def _splits(spark, sf):
-    rows = sampling.stratified_split(t.vectors(spark, sf).select("uid", "label", "embedding"))
+    """Train and test rows with a rare label that the vectors determine, so that a fitted model can be judged."""
+    label = (F.col("embedding")[0] > 0.1).cast("int").alias("label")
+    rows = sampling.stratified_split(t.vectors(spark, sf).select("uid", label, "embedding"))
     return rows.filter("split = 'train'").drop("split"), rows.filter("split = 'test'").drop("split")
 
 
@@ -57,28 +60,53 @@ def i04(spark, sf):
     return learning.oversample(_rare(spark, sf)).groupBy("label").agg(F.count("*").alias("n"))
 
 
+def judged(results, test):
+    """What must hold for any fitted model: (model, test rows, F1 above calling every row positive, ranking above chance)."""
+    share = test.agg(F.avg("label").alias("p")).scalar()
+    rows = test.agg(F.count("*").alias("n")).scalar()
+    return results.select(
+        "model", rows.alias("n_test"), (F.col("f1") > 2 * share / (1 + share)).alias("beats_majority"),
+        F.col("roc_auc").between(0.5, 1).alias("ranks"), (F.col("optimal_f1") >= F.col("f1") - 1e-9).alias("optimum_holds"))
+
+
+def judged_sql(*models: str, more: str = "") -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{m}' AS model, CAST(ceil(0.2::DOUBLE * count(*)) AS BIGINT) AS n_test, TRUE AS beats_majority, TRUE AS ranks, TRUE AS optimum_holds{more} FROM embeddings"
+        for m in models)
+
+
 def _one(name, smote=False):
     def run(spark, sf):
         train, test = _splits(spark, sf)
-        return learning.compare(train, test, DIM, [(name, smote)], models())
+        return judged(learning.compare(train, test, DIM, [(name, smote)], models()), test)
 
     return run
 
 
-query("i05_logistic_regression")(_one("LogisticRegression"))
-query("i05_logistic_regression_l1")(_one("LogisticRegression_L1"))
-query("i06_random_forest")(_one("RandomForest"))
-query("i06_random_forest_subsample")(_one("RandomForest_Subsample"))
-query("i07_gradient_boosting")(_one("GradientBoosting"))
-query("i08_rbf_kernel")(_one("SVM_RBF"))
+for _query, _model in (("i05_logistic_regression", "LogisticRegression"), ("i05_logistic_regression_l1", "LogisticRegression_L1"),
+                       ("i06_random_forest", "RandomForest"), ("i06_random_forest_subsample", "RandomForest_Subsample"),
+                       ("i07_gradient_boosting", "GradientBoosting"), ("i08_rbf_kernel", "SVM_RBF")):
+    query(_query, judged_sql(_model))(_one(_model))
+
 
+RUNS = [(name, smote) for name in learning.estimators() for smote in (False, True) if not (smote and name == "SVM_RBF")]
 
-@query("i09_model_comparison")
+
+@query("i09_model_comparison", judged_sql(*[name + (" + SMOTE" if smote else "") for name, smote in RUNS]))
 def i09(spark, sf):
     train, test = _splits(spark, sf)
-    runs = [("LogisticRegression", False), ("LogisticRegression", True), ("RandomForest", False), ("SVM_RBF", False)]
+    return judged(learning.compare(train, test, DIM, RUNS, models()), test)
+
+
+@query("i09_best_model", "SELECT 1 AS n, TRUE AS known, TRUE AS best")
+def i09b(spark, sf):
+    """The model that is picked has the largest F1 of all runs."""
+    train, test = _splits(spark, sf)
+    runs = [("LogisticRegression", False), ("LogisticRegression_L1", False), ("SVM_RBF", False)]
     results = learning.compare(train, test, DIM, runs, models())
-    return results.orderBy(F.desc("f1"), "model")
+    top = results.agg(F.max("f1").alias("f1")).scalar()
+    return learning.best_model(results).agg(
+        F.count("*").cast("int").alias("n"), F.bool_and(F.col("model").isin(*[r[0] for r in runs])).alias("known"), F.bool_and(F.col("f1") == top).alias("best"))
 
 
 _METRICS = """
@@ -116,14 +144,34 @@ def i12(spark, sf):
     return learning.score_and_keep(t.vectors(spark, sf), p)
 
 
-@query("i13_retrained")
+@query("i12_fitted_model_scoring", """
+    SELECT count(*) AS n, TRUE AS in_range, TRUE AS separates, TRUE AS latest_wins, TRUE AS baseline_serves FROM embeddings""")
+def i12f(spark, sf):
+    """Fit, save, load the latest model or else the baseline, and score the whole table with it."""
+    train, _ = _splits(spark, sf)
+    root = scratch_dir(spark, "models")
+    places = [f"{root}/iteration_2", f"{root}/iteration_1", f"{root}/baseline"]
+    half = sampling.stratified_split(train, 0.5).filter("split = 'train'").drop("split")
+    learning.save_model(learning.fit_pipeline(half), places[2])
+    first = learning.load_latest_model(spark, places)[0]
+    learning.save_model(learning.fit_pipeline(train), places[1])
+    used, model = learning.load_latest_model(spark, places)
+    scored = learning.score_with_model(model, t.vectors(spark, sf).select("uid", (F.col("embedding")[0] > 0.1).cast("int").alias("label"), "embedding"))
+    p = F.col("pred_proba")
+    return scored.agg(
+        F.count("*").alias("n"), F.bool_and(p.between(0, 1)).alias("in_range"),
+        (F.avg(F.when(F.col("label") == 1, p)) > F.avg(F.when(F.col("label") == 0, p))).alias("separates"),
+        F.lit(used == places[1]).alias("latest_wins"), F.lit(first == places[2]).alias("baseline_serves"))
+
+
+@query("i13_retrained", judged_sql("LogisticRegression", more=", 0 AS iteration") + " UNION ALL " + judged_sql("LogisticRegression", more=", 1 AS iteration"))
 def i13(spark, sf):
     train, test = _splits(spark, sf)
     half = sampling.stratified_split(train, 0.5)
     first, more = (half.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
     runs = [("LogisticRegression", False)]
-    before = learning.compare(first, test, DIM, runs, models()).withColumn("iteration", F.lit(0))
-    after = learning.compare(sets.extend_training(first, more), test, DIM, runs, models()).withColumn("iteration", F.lit(1))
+    before = judged(learning.compare(first, test, DIM, runs, models()), test).withColumn("iteration", F.lit(0))
+    after = judged(learning.compare(sets.extend_training(first, more), test, DIM, runs, models()), test).withColumn("iteration", F.lit(1))
     return before.unionByName(after)
 
 

@@ -93,17 +93,18 @@ _WORDS = r"""
 @query("a09_dictionary_file", f"""
     SELECT phrase, CASE WHEN n % 2 = 0 THEN (n % 10) / 2.0 ELSE -(n % 10) / 2.0 END AS score,
            CASE WHEN n % 2 = 0 THEN 'pos' ELSE 'neg' END AS polarity
-    FROM ({_WORDS}) WHERE n >= 0.02::DOUBLE * (SELECT count(*) FROM documents)""")
+    FROM ({_WORDS})""")
 def a09(spark, sf):
     words = (t.table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all(
         F.lower("text"), F.lit(WORD), F.lit(0))).alias("phrase"))
         .groupBy("phrase").agg(F.count_distinct("doc_id").alias("n")))
-    # Words of at least 2 % of the documents: their number does not grow with the corpus.
-    words = words.filter(F.col("n") >= 0.02 * t.table(spark, sf, "documents").agg(F.count("*").alias("n")).scalar())
-    root = scratch_dir(spark, "dictionary")
+    root, size = scratch_dir(spark, "dictionary"), words.agg(F.count("*").alias("n")).scalar()
     for name, parity, sign in (("positive", 0, 1), ("negative", 1, -1)):
         part = words.filter(F.col("n") % 2 == parity).select("phrase", (F.col("n") % 10 / 2 * sign).alias("score"))
-        part.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("phrase", "score"))))).write.text(f"{root}/{name}")
+        # one JSON object of a few hundred phrases per line, so no row holds the whole dictionary
+        lines = part.groupBy(F.pmod(F.xxhash64("phrase"), F.greatest(F.lit(1), F.ceil(size / 500))).alias("line")).agg(
+            F.to_json(F.map_from_entries(F.collect_list(F.struct("phrase", "score")))).alias("value"))
+        lines.select("value").write.text(f"{root}/{name}")
     return readers.read_dictionary(spark, f"{root}/positive", f"{root}/negative")
 
 

@@ -253,19 +253,37 @@ def j08p(spark, sf):
     return survey.wilcoxon(t.ratings(spark, sf))
 
 
-@query("j09_bootstrap_weights")
+@query("j09_bootstrap_weights", """
+    SELECT criterion, round((avg(rating) - 1) / 4, 6) AS weight, TRUE AS mean_close, TRUE AS se_close FROM ratings GROUP BY 1""")
 def j09(spark, sf):
-    return survey.bootstrap_weights(t.ratings(spark, sf), 10_000)
+    ratings = t.ratings(spark, sf)
+    # the standard error that resampling approaches: that of a mean, on the scale of the weights
+    exact = ratings.groupBy("criterion").agg((F.stddev_pop("rating") / F.sqrt(F.count("rating")) / 4).alias("exact"))
+    out = survey.bootstrap_weights(ratings, 10_000).join(exact, "criterion")
+    slack = 1e-12
+    return t.rounded(out.select(
+        "criterion", "weight", (F.abs(F.col("boot_mean") - F.col("weight")) <= 0.05 * F.col("exact") + slack).alias("mean_close"),
+        (F.abs(F.col("se") - F.col("exact")) <= 0.05 * F.col("exact") + slack).alias("se_close")), "weight")
 
 
-@query("j10_bootstrap_alpha")
+@query("j10_bootstrap_alpha", "SELECT TRUE AS inside, TRUE AS mean_close")
 def j10(spark, sf):
-    return survey.bootstrap_alpha(t.ratings(spark, sf), 1_000)
+    out = survey.bootstrap_alpha(t.ratings(spark, sf), 1_000)
+    return out.select(F.col("alpha").between(F.col("ci_lo"), F.col("ci_hi")).alias("inside"), (F.abs(F.col("boot_mean") - F.col("alpha")) < 2 * F.col("se")).alias("mean_close"))
 
 
-@query("j11_bootstrap_metrics")
+@query("j11_bootstrap_metrics", """
+    SELECT unnest(['f1', 'precision', 'recall']) AS metric, TRUE AS ordered, TRUE AS se_close""")
 def j11(spark, sf):
-    return survey.bootstrap_metrics(t.lab(spark, sf), 1_000)
+    from siftwell.operators.metrics import confusion
+
+    cells = confusion(t.lab(spark, sf), "label", "pred_proba").select(F.struct("tp", "fp", "tn", "fn").alias("c")).scalar()
+    out = survey.bootstrap_metrics(t.lab(spark, sf), 1_000).withColumn("c", cells)
+    # standard error of a share; that of F1 has no such form and is only bounded
+    p = F.col("c.tp") / (F.col("c.tp") + F.when(F.col("metric") == "recall", F.col("c.fn")).otherwise(F.col("c.fp")))
+    n = F.col("c.tp") + F.when(F.col("metric") == "recall", F.col("c.fn")).otherwise(F.col("c.fp"))
+    close = F.when(F.col("metric") == "f1", F.col("se") < 0.5).otherwise(F.abs(F.col("se") - F.sqrt(p * (1 - p) / n)) < 0.15 * F.col("se") + 0.01)
+    return out.select("metric", ((F.col("ci_lo") <= F.col("boot_mean")) & (F.col("boot_mean") <= F.col("ci_hi"))).alias("ordered"), close.alias("se_close"))
 
 
 @query("j12_sensitivity", """

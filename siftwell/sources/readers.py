@@ -32,8 +32,9 @@ def read_parts(spark: SparkSession, folder: str, schema: T.StructType | None = N
     return (reader.schema(schema) if schema else reader).parquet(folder)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
+    """CSV with a header.  Files with line breaks inside quotes need ``multi_line`` and are then read whole by one task each."""
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -63,10 +64,12 @@ def read_first_existing(spark: SparkSession, paths: list[str], schema: T.StructT
 
 
 def read_phrases(spark: SparkSession, path: str) -> DataFrame:
-    """A flat JSON object phrase -> score as rows."""
-    text = spark.read.text(path, wholetext=True)
+    """Flat JSON objects phrase -> score as rows: one object in a file over several lines, or one per line."""
+    lines = spark.read.text(path).withColumn("whole", F.col("value").startswith("{") & F.rtrim("value").endswith("}"))
     pairs = F.from_json("value", T.MapType(T.StringType(), T.DoubleType()))
-    return text.select(F.explode(pairs).alias("phrase", "score"))
+    if lines.filter("NOT whole AND trim(value) <> ''").limit(1).count():
+        lines = spark.read.text(path, wholetext=True)
+    return lines.select(F.explode(pairs).alias("phrase", "score"))
 
 
 def read_dictionary(spark: SparkSession, positive_path: str, negative_path: str) -> DataFrame:
