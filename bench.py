@@ -8,10 +8,9 @@ import time
 
 from pyspark.sql import DataFrame, functions as F
 
-from siftwell.functions.text import PhraseSet, identify_language, language_profiles, score_texts, score_texts_by_join
 from siftwell.operators import learning
 from siftwell.plans import catalog, tables as t
-from siftwell.session import local_session, spread
+from siftwell.session import local_session
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -23,40 +22,31 @@ HEADLINE = [
     "i01_stratified_split", "i10_metrics_at_both_thresholds", "j01_krippendorff_alpha", "j09_bootstrap_weights", "k06_human_overrides",
 ]
 
-
 def phrase_scoring(spark, sf) -> DataFrame:
-    return score_texts(spread(t.docs(spark, sf)), PhraseSet(t._entries())).drop("text")
-
+    return catalog.queries()["h01_phrase_score"](spark, sf)
 
 def linear_scoring(spark, sf) -> DataFrame:
     p = F.round(learning.linear_proba(t.LINEAR, t.BIAS), 9)
     return learning.score_and_keep(t.vectors(spark, sf), p)
 
-
 def phrase_join(spark, sf) -> DataFrame:
-    return score_texts_by_join(spread(t.docs(spark, sf)), t.dictionary(spark), width=2)
-
+    return catalog.queries()["c14_phrase_join"](spark, sf)
 
 def language_identification(spark, sf) -> DataFrame:
-    d = spread(t.docs(spark, sf))
-    return identify_language(d, language_profiles(d))
-
+    return catalog.queries()["l04_language_identification"](spark, sf)
 
 def pool_cleaning(spark, sf) -> DataFrame:
     return catalog.queries()["e03_domain_cap"](spark, sf)
 
-
 RATES = {"phrase_scoring": (phrase_scoring, "documents"), "phrase_join": (phrase_join, "documents"),
          "language_identification": (language_identification, "documents"), "linear_scoring": (linear_scoring, "embeddings"),
          "pool_cleaning": (pool_cleaning, "pages")}
 
-
 def seconds(fn, spark) -> float:
     start = time.perf_counter()
     fn(spark, SF).write.format("noop").mode("overwrite").save()
     return time.perf_counter() - start
 
-
 def main() -> None:
     spark = local_session(CPUS, spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("OFF")
@@ -70,6 +60,5 @@ def main() -> None:
     print(json.dumps({"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
                       "rows_per_second": rates, "sf": SF.rsplit("sf", 1)[-1].strip("/")}))
 
-
 if __name__ == "__main__":
     main()

@@ -327,13 +327,8 @@ def language_name(code: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), code)
 
 
-def _trigram_rows(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
-    """One row per trigram of each padded word."""
-    words = docs.select(*keep, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    return _word_trigrams(words, *keep)
-
-
 def _word_trigrams(words: DataFrame, *keep: str) -> DataFrame:
+    """One row per trigram of each padded word."""
     padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
     grams = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substr(padded, i, F.lit(3)))
     return words.select(*keep, F.explode(grams).alias("gram"))
@@ -351,26 +346,29 @@ def language_profiles(labelled: DataFrame, lang: str = "lang", text: str = "text
 
 
 def identify_language(docs: DataFrame, profiles: DataFrame, uid: str = "uid", text: str = "text",
-                      lang: str = "lang", max_languages: int = 500) -> DataFrame:
-    """Most likely language per document: (uid, detected); no letters gives unknown.
+                      lang: str = "lang") -> DataFrame:
+    """Most likely language per document: (uid, detected); no letters, or no known trigram, gives unknown.
 
-    score(lang) = trigrams * floor(lang) + sum of (weight - floor) over the trigrams the profile knows.
-    The profiles are laid out as one row per trigram with one column per language, so a trigram meets
-    one row.  They are written once; if they are small they are broadcast, and everything up to the
-    sums per document stays in the scan's stage.
+    score(lang) = trigrams * floor(lang) + sum of (weight - floor) over the trigrams the profile knows.  Each
+    distinct word is scored once, for any number of languages; documents then meet their words, counted, and
+    not their trigrams.  Every row is detected by itself: rows meet by their number in ``docs``, which must
+    give the same rows when read again.
     """
-    floors = {r[lang]: r["floor"] for r in profiles.groupBy(lang).agg(F.max("floor").alias("floor"))
-              .limit(max_languages + 1).collect()}
-    if len(floors) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-    names = sorted(floors)
-    wide = profiles.groupBy("gram").agg(F.lit(1).alias("_known"), *[
-        F.max(F.when(F.col(lang) == n, F.col("weight") - F.col("floor"))).alias(f"_g{i}") for i, n in enumerate(names)])
-    wide = broadcast_if_small(materialise(wide, "profiles"), 64 + 16 * len(names))
-    sums = _trigram_rows(docs, uid, text=text).join(wide, "gram", "left").groupBy(uid).agg(
-        F.count("*").alias("grams"), F.count("_known").alias("known"), *[F.coalesce(F.sum(f"_g{i}"), F.lit(0.0)).alias(f"_s{i}") for i in range(len(names))])
-    ranked = F.array(*[F.struct((-F.round(F.col("grams") * floors[n] + F.col(f"_s{i}"), 6)).alias("cost"), F.lit(n).alias("lang"))
-                       for i, n in enumerate(names)])
-    best = sums.filter("known > 0").select(uid, F.array_min(ranked)["lang"].alias("detected"))
-    return docs.select(uid).join(best, uid, "left").select(
+    docs = docs.withColumn("_row", F.monotonically_increasing_id())
+    found = F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}+"), F.lit(0)))
+    words = docs.select("_row", found.alias("word")).groupBy("_row", "word").agg(F.count("*").alias("n"))
+    gain = F.struct(F.col(lang).alias("lang"), (F.col("weight") - F.col("floor")).alias("gain"))
+    grams = broadcast_if_small(materialise(profiles.groupBy("gram").agg(F.collect_list(gain).alias("gains")), "profiles"), 256)
+    gains = _word_trigrams(words.select("word").distinct(), "word").join(grams, "gram").select("word", F.explode("gains").alias("g"))
+    gains = gains.groupBy("word", F.col("g.lang").alias("lang")).agg(F.sum("g.gain").alias("gain"))
+    by_word = gains.groupBy("word").agg(F.collect_list(F.struct("lang", "gain")).alias("gains"))
+    by_word = broadcast_if_small(materialise(by_word, "words"), 256)
+    sums = (words.join(by_word, "word").select("_row", "n", F.explode("gains").alias("g"))
+            .groupBy("_row", F.col("g.lang").alias("lang")).agg(F.sum(F.col("n") * F.col("g.gain")).alias("gain")))
+    sizes = words.groupBy("_row").agg(F.sum(F.col("n") * F.length("word")).alias("grams"))
+    floors = profiles.groupBy(F.col(lang).alias("lang")).agg(F.max("floor").alias("floor"))
+    cost = -F.round(F.col("grams") * F.col("floor") + F.col("gain"), 6)
+    best = (sums.join(sizes, "_row").join(floors, "lang").groupBy("_row")
+            .agg(F.min(F.struct(cost.alias("cost"), "lang"))["lang"].alias("detected")))
+    return docs.select("_row", uid).join(best, "_row", "left").select(
         uid, F.coalesce("detected", F.lit("unknown")).alias("detected"))
