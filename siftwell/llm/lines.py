@@ -149,7 +149,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits:
     rid, gone = fresh(docs, "rid"), fresh(docs, "removed")
     removed = materialise(repeated_lines(docs, key, text, edits, shortest), "removed").select(F.col("rid").alias(rid), F.col("removed").alias(gone))
     numbered = without(docs, ["n_lines", "n_removed"]).withColumn(rid, F.monotonically_increasing_id())
-    joined = numbered.join(removed, rid, "left")
+    joined = numbered.join(broadcast_if_small(removed, 100), rid, "left")
     column = F.col(f"`{text}`")
     kept = F.array_join(F.filter(_split(column), lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
     counts = {"n_lines": F.when(column.isNull(), 0).otherwise(F.size(_split(column))).cast("long"), "n_removed": F.coalesce(F.size(gone), F.lit(0)).cast("long")}
