@@ -157,6 +157,9 @@ def fourier_features(df: DataFrame, dim: int, n_features: int = 256, gamma: floa
     return df.withColumn(embedding, lift(embedding))
 
 
+MODEL_NAMES = ["LogisticRegression", "LogisticRegression_L1", "RandomForest", "RandomForest_Subsample", "GradientBoosting", "SVM_RBF"]
+
+
 def estimators(trees: int = 200, depth: int = 20, rounds: int = 200, boost_depth: int = 8, seed: int = 42) -> dict:
     """name -> (estimator, scaled input).  All use the balanced ``weight`` column."""
     common = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}

@@ -89,7 +89,7 @@ for _query, _model in (("i05_logistic_regression", "LogisticRegression"), ("i05_
     query(_query, judged_sql(_model))(_one(_model))
 
 
-RUNS = [(name, smote) for name in learning.estimators() for smote in (False, True) if not (smote and name == "SVM_RBF")]
+RUNS = [(name, smote) for name in learning.MODEL_NAMES for smote in (False, True) if not (smote and name == "SVM_RBF")]
 
 
 @query("i09_model_comparison", judged_sql(*[name + (" + SMOTE" if smote else "") for name, smote in RUNS]))
