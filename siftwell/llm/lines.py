@@ -8,6 +8,7 @@ hashes; only the texts of candidate lines are fetched.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -19,6 +20,8 @@ from siftwell.session import broadcast_if_small
 EDITS = 1
 SHORTEST = 20
 """Code points from which a line takes part; shorter ones repeat by nature and are never removed."""
+BY_LENGTH = ((20, 1), (40, 3), (80, 4))
+"""``(code points from which, edits)``: what the pipeline uses, so that a changed word in a long line is found as well."""
 
 
 def _split(text: Column) -> Column:
@@ -33,18 +36,34 @@ def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     return base * i + longer, base + (F.lit(i) >= F.lit(parts) - more).cast("int")
 
 
-def _keys(line: Column, length: Column, edits: int) -> Column:
-    """``array<struct<key, own>>``: own segments, and the other substrings by which this line finds shorter or equal ones."""
-    found = []
-    for delta in range(edits + 1):
-        for i in range(edits + 1):
-            start, size = _segment(length - delta, i, edits)
-            low, high = max(-i, delta - (edits - i)), min(i, delta + (edits - i))
-            for shift in range(low, high + 1):
-                piece = F.substr(line, (start + shift + 1).cast("int"), size.cast("int"))
-                key = F.xxhash64((length - delta).cast("int"), F.lit(i), piece)
-                found.append(F.struct(key.alias("key"), F.lit(delta == 0 and shift == 0).alias("own")))
-    return F.array(*found)
+def _bands(edits: int | Sequence[tuple[int, int]], shortest: int) -> list[tuple[int, int | None, int]]:
+    """``(from, to, edits)``: the lengths that share a number of edits; the last band has no end."""
+    steps = [(shortest, edits)] if isinstance(edits, int) else sorted(edits)
+    return [(low, high, n) for (low, n), (high, _) in zip(steps, [*steps[1:], (None, 0)], strict=True)]
+
+
+def _within(length: Column, low: int, high: int | None) -> Column:
+    return (length >= low) if high is None else (length >= low) & (length < high)
+
+
+def _keys(line: Column, length: Column, bands: list[tuple[int, int | None, int]]) -> Column:
+    """``array<struct<key, own>>``: own segments, and the other substrings by which this line finds shorter or equal ones.
+
+    The number of edits is that of the shorter line, so each length a line may meet has the segments of its own band.
+    """
+    found, none = [], F.array().cast("array<struct<key: bigint, own: boolean>>")
+    for least, most, edits in bands:
+        for delta in range(edits + 1):
+            keys = []
+            for i in range(edits + 1):
+                start, size = _segment(length - delta, i, edits)
+                low, high = max(-i, delta - (edits - i)), min(i, delta + (edits - i))
+                for shift in range(low, high + 1):
+                    piece = F.substr(line, (start + shift + 1).cast("int"), size.cast("int"))
+                    key = F.xxhash64((length - delta).cast("int"), F.lit(i), piece)
+                    keys.append(F.struct(key.alias("key"), F.lit(delta == 0 and shift == 0).alias("own")))
+            found.append(F.when(_within(length - delta, least, most), F.array(*keys)).otherwise(none))
+    return F.concat(*found)
 
 
 def _let(value: Column, body) -> Column:
@@ -100,29 +119,34 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     return F.coalesce(_let(both, lambda x: _let(ends(x), lambda y: _let(cut(y), automaton))), F.lit(False))
 
 
-def _lines(rows: DataFrame, shortest: int) -> DataFrame:
+def _lines(rows: DataFrame, shortest: int, short_repeats: bool) -> DataFrame:
     """Each line that takes part: ``rid, id, pos, line, length, h, h2``."""
-    line = rows.select("rid", "id", F.posexplode(_split(F.col("text"))).alias("pos", "line")).withColumn("length", F.length("line")).where(F.col("length") >= shortest)
+    takes_part = F.col("line").rlike(r"(?U)\S") | (F.col("length") >= shortest) if short_repeats else F.col("length") >= shortest
+    line = rows.select("rid", "id", F.posexplode(_split(F.col("text"))).alias("pos", "line")).withColumn("length", F.length("line")).where(takes_part)
     return line.withColumns({"h": F.xxhash64("line"), "h2": F.xxhash64("line", F.lit(1))})
 
 
-def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
+def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int | Sequence[tuple[int, int]] = EDITS, shortest: int = SHORTEST, short_repeats: bool = False) -> DataFrame:
     """``rid, removed``: for each row with lines to remove, its row number and their positions (from 0).
 
     Lines are what ``\\n`` separates.  Those of at least ``shortest`` code points that are equal, or linked by
     steps of at most ``edits`` edits, form a group; its first occurrence (by key, row, position; null keys first)
-    stays and all others go.  Null texts have no lines.  The frame must give the same rows in the same order
+    stays and all others go.  ``edits`` may also be ``(code points from which, edits)`` steps, the shorter line of two
+    deciding; they replace ``shortest`` for near copies.  With ``short_repeats``, lines below ``shortest`` that are not
+    blank take part as well, as exact repeats only.  Null texts have no lines.  The frame must give the same rows in the same order
     when read again, as a table does: ``rid`` is ``monotonically_increasing_id`` over it.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    lines = _lines(rows, shortest)
+    bands = _bands(edits, shortest)
+    lines = _lines(rows, min(shortest, bands[0][0]), short_repeats)
     # one row per distinct line, combined per task first: a line in a third of all rows is no hot key
     first = F.struct("id", "rid", "pos")
-    distinct = materialise(lines.groupBy("h", "h2", "length").agg(F.count("*").alias("n"), F.min(first).alias("first"), F.first(_keys(F.col("line"), F.col("length"), edits)).alias("keys")), "lines")
+    distinct = materialise(lines.groupBy("h", "h2", "length").agg(F.count("*").alias("n"), F.min(first).alias("first"), F.first(_keys(F.col("line"), F.col("length"), bands)).alias("keys")), "lines")
     keyed = distinct.select("h", "h2", "length", F.explode("keys").alias("k")).select("h", "h2", "length", "k.key", "k.own")
     own = keyed.where("own").select("key", F.col("h").alias("a"), F.col("h2").alias("a2"), F.col("length").alias("a_length"))
     probe = keyed.select("key", F.col("h").alias("b"), F.col("h2").alias("b2"), F.col("length").alias("b_length"))
-    near = F.col("b_length").between(F.col("a_length"), F.col("a_length") + edits) & ((F.col("b_length") > F.col("a_length")) | (F.col("a") < F.col("b")))
+    allowed = reduce(lambda other, band: F.when(_within(F.col("a_length"), *band[:2]), band[2]).otherwise(other), bands, F.lit(-1))
+    near = F.col("b_length").between(F.col("a_length"), F.col("a_length") + allowed) & ((F.col("b_length") > F.col("a_length")) | (F.col("a") < F.col("b")))
     pairs = materialise(own.join(probe, "key").where(near).select("a", "a2", "b", "b2").distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("h"), F.col("a2").alias("h2")).union(pairs.select("b", "b2")).distinct()
     places = materialise(distinct.join(wanted, ["h", "h2"]).select("h", "h2", F.col("first.rid").alias("rid"), F.col("first.pos").alias("pos")), "places")
@@ -130,7 +154,9 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edi
     texts = materialise(texts, "texts")
     left = texts.select(F.col("h").alias("a"), F.col("h2").alias("a2"), F.col("line").alias("a_line"))
     right = texts.select(F.col("h").alias("b"), F.col("h2").alias("b2"), F.col("line").alias("b_line"))
-    links = pairs.join(left, ["a", "a2"]).join(right, ["b", "b2"]).where(within_edits(F.col("a_line"), F.col("b_line"), edits))
+    shorter = F.least(F.length("a_line"), F.length("b_line"))
+    close = [_within(shorter, *band[:2]) & within_edits(F.col("a_line"), F.col("b_line"), band[2]) for band in bands]
+    links = pairs.join(left, ["a", "a2"]).join(right, ["b", "b2"]).where(reduce(lambda x, y: x | y, close))
     # groups of linked lines by the first hash: lines that share it are linked to the same group only if it collides
     group = components(materialise(links.select("a", "b"), "links")).select(F.col("node").alias("h"), "root")
     some = distinct.select("h", "h2", "length", "n", "first").join(group, "h", "left").where("n > 1 OR root IS NOT NULL")
@@ -141,13 +167,13 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edi
     return gone.groupBy("rid").agg(F.array_sort(F.collect_list("pos")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int | Sequence[tuple[int, int]] = EDITS, shortest: int = SHORTEST, short_repeats: bool = False) -> DataFrame:
     """The documents with repeated lines removed from ``text``, and ``n_lines`` and ``n_removed`` before it.
 
     See :func:`repeated_lines`.  All other columns stay; columns of the new names are replaced; null texts stay null.
     """
     rid, gone = fresh(docs, "rid"), fresh(docs, "removed")
-    removed = materialise(repeated_lines(docs, key, text, edits, shortest), "removed").select(F.col("rid").alias(rid), F.col("removed").alias(gone))
+    removed = materialise(repeated_lines(docs, key, text, edits, shortest, short_repeats), "removed").select(F.col("rid").alias(rid), F.col("removed").alias(gone))
     numbered = without(docs, ["n_lines", "n_removed"]).withColumn(rid, F.monotonically_increasing_id())
     joined = numbered.join(broadcast_if_small(removed, 100), rid, "left")
     column = F.col(f"`{text}`")
@@ -163,8 +189,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents without repeated lines; one that had nothing else goes."""
-    out = dedup_lines(docs)
+    """Pipeline stage: the documents without repeated lines, short ones too; one that had nothing else goes."""
+    out = dedup_lines(docs, edits=BY_LENGTH, short_repeats=True)
     return out.where("n_removed < n_lines OR n_removed = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

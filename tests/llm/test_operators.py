@@ -396,6 +396,41 @@ def test_lines(spark, messy, edits, tmp_path):
     assert sorted_rows((r.doc_id, r.text) for r in got) == sorted_rows(want)
 
 
+def test_lines_in_the_pipeline(spark, tmp_path):
+    """The number of edits follows the length, and short lines go where they repeat exactly; blank ones stay."""
+    random.seed(3)
+    texts = ["短い文です。\n \n\n", "\u3000\n短い文です。\n}\n \n", "}\nab", "ac"]
+    for length in (19, 20, 22, 38, 39, 40, 41, 43, 60, 78, 79, 80, 81, 84, 110):
+        line = [random.choice("abcdefg ") for _ in range(length)]
+        for n in (0, 1, 2, 3, 4, 5):
+            own = list(line)
+            for at in random.sample(range(length), n):
+                own[at] = random.choice(["X", "YZ", ""])
+            texts.append("\n".join(["".join(own), f"own line {length} {n}"]))
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    places = [(k, i, x) for k, text in enumerate(texts) for i, x in enumerate(text.split("\n")) if x.strip()]
+    group = {x: x for x in {p[2] for p in places}}
+
+    def allowed(n):
+        return max((edits for least, edits in lines.BY_LENGTH if n >= least), default=0)
+
+    for a in sorted(group):
+        for b in sorted(group):
+            n = allowed(min(len(a), len(b)))
+            if a < b and group[a] != group[b] and abs(len(a) - len(b)) <= n and edit_distance(a, b) <= n:
+                old = group[a]
+                group = {x: group[b] if g == old else g for x, g in group.items()}
+    head = {}
+    for p in places:
+        head.setdefault(group[p[2]], p)
+    stay = ["\n".join(x for i, x in enumerate(text.split("\n")) if not x.strip() or head[group[x]] == (k, i, x)) for k, text in enumerate(texts)]
+    gone = {k for k, text in enumerate(texts) if all(x.strip() and head[group[x]] != (k, i, x) for i, x in enumerate(text.split("\n")))}
+    got = lines.remove_repeated_lines(spark, spark.read.parquet(path), "").collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(k, x) for k, x in enumerate(stay) if k not in gone]
+    assert max(edit_distance(a, b) for a in group for b in group if group[a] == group[b]) >= 4
+
+
 # tables without rows, and extra columns
 
 
