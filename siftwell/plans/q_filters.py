@@ -333,6 +333,29 @@ def c15(spark, sf):
         F.sum("weight").alias("n"), (F.sum(F.col("rating") * F.col("weight")) / F.sum("weight")).alias("mean")), "mean")
 
 
+view("draws_10000", """
+    SELECT b AS iteration, CAST('0x' || substr(md5('42:' || b || ':' || idx), 1, 12) AS BIGINT) % (SELECT count(*) FROM indexed) AS idx
+    FROM indexed, (SELECT unnest(range(10000)) AS b)""")
+
+
+@query("c15_resample_join_10000", """
+    SELECT d.iteration, r.criterion, count(*) AS n, round(avg(r.rating), 6) AS mean
+    FROM draws_10000 d JOIN indexed USING (idx) JOIN ratings r USING (respondent) GROUP BY ALL""")
+def c15_10000(spark, sf):
+    per = resampled_totals(spark, sf, 10_000)
+    return t.rounded(per.select("iteration", "criterion", F.col("weight").alias("n"), (F.col("total") / F.col("weight")).alias("mean")), "mean")
+
+
+def resampled_totals(spark, sf, iterations):
+    """Draws and sum of ratings of each (iteration, criterion): a draw meets its respondent's ratings as one folded row and is summed up at once."""
+    rows = indexed_respondents(spark, sf)
+    size = rows.agg(F.count("*").alias("n")).scalar()
+    folded = rows.join(t.ratings(spark, sf), "respondent").groupBy("idx").agg(F.collect_list(F.struct("criterion", "rating")).alias("own"))
+    drawn = joins.hashed_draws(spark, iterations, size, rows).join(folded, "idx")
+    each = drawn.select("iteration", F.inline("own"))
+    return each.groupBy("iteration", "criterion").agg(F.count("rating").alias("weight"), F.sum("rating").alias("total"))
+
+
 @query("c16_group_pairs", "SELECT a.lang AS a, b.lang AS b FROM (SELECT DISTINCT lang FROM documents) a JOIN (SELECT DISTINCT lang FROM documents) b ON a.lang < b.lang")
 def c16(spark, sf):
     return joins.unordered_pairs(t.table(spark, sf, "documents"), "lang")

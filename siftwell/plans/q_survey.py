@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from siftwell.functions.survey_text import parse_years
 from siftwell.operators import joins, profiles, survey
 from siftwell.plans import tables as t
-from siftwell.plans.q_filters import indexed_respondents
+from siftwell.plans.q_filters import indexed_respondents, resampled_totals
 from siftwell.plans.q_functions import scenario_rows, school_weights
 from siftwell.plans.registry import query, view
 
@@ -111,6 +111,14 @@ def e15(spark, sf):
     return t.rounded(survey.resampled_weights(drawn), "boot_mean", "se", "ci_lo", "ci_hi")
 
 
+@query("e15_percentile_interval_10000", """
+    SELECT criterion, round(avg(w), 9) AS boot_mean, round(stddev_pop(w), 9) AS se, round(quantile_cont(w, 0.025), 9) AS ci_lo, round(quantile_cont(w, 0.975), 9) AS ci_hi
+    FROM (SELECT d.iteration, r.criterion, (avg(r.rating) - 1) / 4 AS w FROM draws_10000 d JOIN indexed USING (idx) JOIN ratings r USING (respondent) GROUP BY ALL) GROUP BY 1""")
+def e15_10000(spark, sf):
+    per = resampled_totals(spark, sf, 10_000).select("iteration", "criterion", (F.col("total") / F.col("weight")).alias("rating"), "weight")
+    return t.rounded(survey.resampled_weights(per), "boot_mean", "se", "ci_lo", "ci_hi", digits=9)
+
+
 # ---------------------------------------------------------------- agreement and tests
 
 view("pairable", """
