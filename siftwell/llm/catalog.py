@@ -6,7 +6,7 @@ import importlib
 
 from siftwell.llm.common import Query
 
-MODULES = ["bpe", "chat", "decontaminate", "jaccard", "language", "lines", "merkle", "quality", "substrings", "tokencount", "topk", "toxicity"]
+MODULES = ["bpe", "chat", "convtrie", "decontaminate", "jaccard", "language", "lines", "merkle", "quality", "substrings", "tokencount", "topk", "toxicity"]
 
 
 def queries() -> dict[str, Query]:
