@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siftwell.session import broadcast_if_small, materialise
+from siftwell.session import fits, materialise
 
 ALNUM = r"\p{L}\p{N}"
 WORD = f"[{ALNUM}]+"
@@ -175,55 +175,118 @@ def dictionary_width(dictionary: DataFrame) -> int:
     return dictionary.agg(F.max(F.size(F.regexp_extract_all("phrase", F.lit(WORD), F.lit(0))))).first()[0] or 1
 
 
-def _placed_grams(text: Column, width: int) -> Column:
-    """Every n-gram up to ``width`` words with the separators around it, its end word and its length in words.
+# Words of 64 bits in the filter of n-grams: 32 bits for each entry, between these bounds.
+FEWEST_WORDS, MOST_WORDS = 64, 1 << 20
+HEAVY_SHARE = 1000
+"""A core with more than one in so many of the n-grams that passed the filter is joined by itself."""
 
-    A separator is NULL at the beginning or end of the text.
+
+def _cores(dictionary: DataFrame) -> DataFrame:
+    """Phrases with their core, from first to last word, and the symbols at its edges; none without a word."""
+    inner = f"[{ALNUM}](?:.*[{ALNUM}])?"
+    return dictionary.withColumn("core", F.regexp_extract("phrase", f"(?s){inner}", 0)).filter("core <> ''").select(
+        "phrase", "score", "polarity", "core",
+        F.regexp_extract("phrase", f"(?s)^[^{ALNUM}]*", 0).alias("left"), F.regexp_extract("phrase", f"(?s)[^{ALNUM}]*$", 0).alias("right"))
+
+
+def _core_hash(core: Column) -> Column:
+    return F.xxhash64(core)
+
+
+def _opener_hash(word: Column, words) -> Column:
+    """Hash of a first word with the number of words of its phrase; 0 stands for any number."""
+    return F.xxhash64(word, F.lit(words) if isinstance(words, int) else words)
+
+
+def core_filter(cores: DataFrame) -> tuple[DataFrame, int]:
+    """A Bloom filter of cores and of first words, as one row of 64-bit words, and how many words it has."""
+    found = F.regexp_extract_all("core", F.lit(WORD), F.lit(0))
+    named = cores.select("core", F.get(found, F.lit(0)).alias("first"), F.size(found).alias("words"))
+    wanted = 3 * 32 * named.count() // 64
+    size = FEWEST_WORDS
+    while size < min(wanted, MOST_WORDS):
+        size *= 2
+    several = F.when(F.col("words") > 1, _opener_hash(F.col("first"), F.col("words")))
+    entries = named.select(F.explode(F.array(_core_hash(F.col("core")), _opener_hash(F.col("first"), 0), several)).alias("h"))
+    slots = entries.filter("h IS NOT NULL").select(_filter_word(F.col("h"), size).alias("at"), F.expr("shiftleft(1L, CAST(h & 63 AS INT))").alias("bit"))
+    slots = slots.groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    every = cores.sparkSession.range(size).select(F.col("id").cast("int").alias("at")).join(slots, "at", "left")
+    pairs = F.sort_array(F.collect_list(F.struct("at", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    return every.agg(F.transform(pairs, lambda p: p["bits"]).alias("bits")), size
+
+
+def _filter_word(h: Column, size: int) -> Column:
+    return F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(size - 1).cast("long")).cast("int")
+
+
+def _placed_grams(text: Column, width: int, bits: Column, size: int) -> Column:
+    """The n-grams up to ``width`` words that pass the filter, with the separators around, their end word and their text.
+
+    Each word is looked up once, as the first of a phrase; an n-gram is put together only if its first word opens a
+    phrase of its length, and kept only if it may be a core.  A separator is NULL at the beginning or end of the text.
     """
     lower = F.lower(text)
     lead = F.nullif(F.regexp_extract(lower, f"^[^{ALNUM}]+", 0), F.lit(""))
     count = lambda p: F.floor((F.size(p) + 1) / 2).cast("int")
 
-    def of(p):
-        def gram(end, words):
-            start = 2 * (end - (words - 1))
-            before = F.when(start > 0, F.get(p, start - 1)).otherwise(lead)
-            first, last = start == 0, 2 * end + 2 >= F.size(p)
-            return F.when(start >= 0, F.struct(
-                F.array_join(F.slice(p, start + 1, F.lit(2 * words - 1)), "").alias("core"), before.alias("before"),
-                F.get(p, 2 * end + 1).alias("after"), first.alias("first"), last.alias("last"), end.alias("end")))
-
-        ends = lambda end: F.array(*[gram(end, words) for words in range(width, 0, -1)])
-        rows = F.flatten(F.transform(F.sequence(F.lit(0), count(p) - 1), ends))
+    def of(v):
+        p, filter_ = v["p"], v["bits"]
+
+        def known(h):
+            return F.getbit(F.get(filter_, _filter_word(h, size)), h.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
+
+        def gram(start, words):
+            core = F.get(p, 2 * start) if words == 1 else F.array_join(F.slice(p, 2 * start + 1, F.lit(2 * words - 1)), "")
+            end, after = start + (words - 1), 2 * (start + (words - 1)) + 1
+            before = F.when(start > 0, F.get(p, 2 * start - 1)).otherwise(v["lead"])
+            row = F.struct(core.alias("core"), before.alias("before"), F.get(p, after).alias("after"), (start == 0).alias("first"),
+                           (after + 1 >= F.size(p)).alias("last"), end.alias("end"))
+            possible = end < count(p)
+            if words > 1:
+                possible = possible & known(_opener_hash(F.get(p, 2 * start), words))
+            return F.when(possible & known(_core_hash(core)), row)
+
+        opens = F.transform(F.sequence(F.lit(0), count(p) - 1), lambda s: _opener_hash(F.get(p, 2 * s), 0))
+        starts = _let(opens, lambda hashes: F.array_compact(F.transform(hashes, lambda h, s: F.when(known(h), s))))
+        rows = F.flatten(F.transform(starts, lambda s: F.array(*[gram(s, words) for words in range(1, width + 1)])))
         return F.when(count(p) > 0, F.filter(rows, lambda r: r.isNotNull()))
 
-    return _let(_pieces(text), of)
+    return _let(F.struct(_pieces(text).alias("p"), lead.alias("lead"), bits.alias("bits")), of)
 
 
 def phrase_matches(docs: DataFrame, dictionary: DataFrame, uid: str = "uid", text: str = "text",
-                   width: int | None = None) -> DataFrame:
+                   width: int | None = None, limit: int = 64 << 20) -> DataFrame:
     """Phrase-text join for dictionaries of any size: (uid, phrase, score, polarity, at), once per uid and phrase.
 
     A phrase is joined by its core, the part from its first to its last word; symbols at its edges are then
-    compared with the separators around the n-gram.  The text itself is never shuffled.  A dictionary whose
-    counted rows are small enough is broadcast to the n-grams; a larger one is joined by shuffling them.
+    compared with the separators around the n-gram.  The text itself is never shuffled, and a filter of the cores
+    drops nearly all n-grams before a row is made of them.  A dictionary of at most ``limit`` bytes is broadcast to the
+    n-grams.  With a larger one the n-grams are stored; the few cores that many of them have meet a broadcast of
+    their phrases where they are, and the others are shuffled.
     ``width`` is the longest phrase in words, read from the dictionary if not given; ``at`` orders matches by
     their end, longer ones first.  Phrases without a letter or digit never match.
     """
     width = width or dictionary_width(dictionary)
-    inner = f"[{ALNUM}](?:.*[{ALNUM}])?"
-    cored = dictionary.withColumn("core", F.regexp_extract("phrase", f"(?s){inner}", 0)).filter("core <> ''").select(
-        "phrase", "score", "polarity", "core",
-        F.regexp_extract("phrase", f"(?s)^[^{ALNUM}]*", 0).alias("left"), F.regexp_extract("phrase", f"(?s)[^{ALNUM}]*$", 0).alias("right"))
-    grams = docs.select(uid, F.explode(_placed_grams(F.col(text), width)).alias("g")).select(uid, "g.*")
-    side = broadcast_if_small(cored, 160)
+    cored = materialise(_cores(dictionary), "cores")
+    bits, size = core_filter(cored)
+    placed = docs.select(uid, text).withColumn("_bits", bits.scalar()).select(uid, _placed_grams(F.col(text), width, F.col("_bits"), size).alias("_g"))
+    # outer: an inner explode would put a filter on the array below, which finds all n-grams once more
+    grams = placed.select(uid, F.explode_outer("_g").alias("g")).filter("g IS NOT NULL").select(uid, "g.*")
+    if fits(cored, limit):
+        met = grams.join(F.broadcast(cored), "core")
+    else:
+        grams = materialise(grams, "grams")
+        counts = materialise(grams.groupBy("core").agg(F.count("*").alias("n")), "counts")
+        least = (counts.agg(F.sum("n")).first()[0] or 0) // HEAVY_SHARE
+        heavy = F.broadcast(counts.filter(F.col("n") > least).select("core"))  # fewer than HEAVY_SHARE cores
+        few = F.broadcast(cored.join(heavy, "core", "left_semi"))
+        met = grams.join(few, "core").unionByName(grams.join(heavy, "core", "left_anti").join(cored.join(heavy, "core", "left_anti"), "core"))
     before, after = F.coalesce("before", F.lit("")), F.coalesce("after", F.lit(""))
     # beyond the edge symbols there must be no letter or digit: more of the separator, or an end of the text
-    fits = (F.endswith(before, F.col("left")) & ((F.length("left") == 0) | (F.length("left") < F.length(before)) | F.col("first"))
+    ends = (F.endswith(before, F.col("left")) & ((F.length("left") == 0) | (F.length("left") < F.length(before)) | F.col("first"))
             & F.startswith(after, F.col("right")) & ((F.length("right") == 0) | (F.length("right") < F.length(after)) | F.col("last")))
     at = F.struct("end", F.length("right").alias("beyond"), (-F.length("phrase")).alias("shorter"))
-    return (grams.join(side, "core").filter(fits).groupBy(uid, "phrase")
-            .agg(F.first("score").alias("score"), F.first("polarity").alias("polarity"), F.min(at).alias("at")))
+    return met.filter(ends).groupBy(uid, "phrase").agg(F.first("score").alias("score"), F.first("polarity").alias("polarity"), F.min(at).alias("at"))
 
 
 def score_texts_by_join(docs: DataFrame, dictionary: DataFrame, uid: str = "uid", text: str = "text",
@@ -345,30 +408,56 @@ def language_profiles(labelled: DataFrame, lang: str = "lang", text: str = "text
         F.log(1 / (F.col("total") + 1)).alias("floor"))
 
 
+FREQUENT_SHARE = 100_000
+"""A word with more than one in so many of all words counts as frequent."""
+
+
+def word_gains(words: DataFrame, profiles: DataFrame, languages: list[str], lang: str = "lang") -> DataFrame:
+    """What one occurrence of each word adds in each language: columns ``g0``, ``g1``, ... in the order of the languages.
+
+    A gain is the sum of (weight - floor) over the word's trigrams that the language knows, NULL if it knows none.
+    """
+    gain = F.col("weight") - F.col("floor")
+    pivoted = profiles.groupBy("gram").agg(*[F.max(F.when(F.col(lang).eqNullSafe(F.lit(name)), gain)).alias(f"g{i}") for i, name in enumerate(languages)])
+    grams = materialise(pivoted, "profiles")
+    if fits(grams):
+        grams = F.broadcast(grams)
+    keep = [c for c in words.columns if c != "word"]
+    sums = [F.sum(f"g{i}").alias(f"g{i}") for i in range(len(languages))]
+    return _word_trigrams(words, "word", *keep).join(grams, "gram").groupBy("word", *keep).agg(*sums)
+
+
 def identify_language(docs: DataFrame, profiles: DataFrame, uid: str = "uid", text: str = "text",
-                      lang: str = "lang") -> DataFrame:
+                      lang: str = "lang", limit: int = 64 << 20) -> DataFrame:
     """Most likely language per document: (uid, detected); no letters, or no known trigram, gives unknown.
 
-    score(lang) = trigrams * floor(lang) + sum of (weight - floor) over the trigrams the profile knows.  Each
-    distinct word is scored once, for any number of languages; documents then meet their words, counted, and
-    not their trigrams.  Every row is detected by itself: rows meet by their number in ``docs``, which must
-    give the same rows when read again.
+    score(lang) = trigrams * floor(lang) + sum of (weight - floor) over the trigrams the profile knows, for each
+    language that knows one.  Each distinct word is scored once, with a column per language, and a document sums up its
+    words' columns.  Up to ``limit`` bytes of words are broadcast.  Beyond, frequent words (fewer than
+    FREQUENT_SHARE) are still broadcast, so that only occurrences of rare words are shuffled to them.  Every row is
+    detected by itself: rows meet by their number in ``docs``, which must give the same rows when read again.
     """
+    profiles = materialise(profiles, "profile")
+    floors = {r[lang]: r["floor"] for r in profiles.groupBy(lang).agg(F.max("floor").alias("floor")).collect()}  # one row per language
+    languages = sorted(floors, key=lambda name: (name is not None, name))
     docs = docs.withColumn("_row", F.monotonically_increasing_id())
-    found = F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}+"), F.lit(0)))
-    words = docs.select("_row", found.alias("word")).groupBy("_row", "word").agg(F.count("*").alias("n"))
-    gain = F.struct(F.col(lang).alias("lang"), (F.col("weight") - F.col("floor")).alias("gain"))
-    grams = broadcast_if_small(materialise(profiles.groupBy("gram").agg(F.collect_list(gain).alias("gains")), "profiles"), 256)
-    gains = _word_trigrams(words.select("word").distinct(), "word").join(grams, "gram").select("word", F.explode("gains").alias("g"))
-    gains = gains.groupBy("word", F.col("g.lang").alias("lang")).agg(F.sum("g.gain").alias("gain"))
-    by_word = gains.groupBy("word").agg(F.collect_list(F.struct("lang", "gain")).alias("gains"))
-    by_word = broadcast_if_small(materialise(by_word, "words"), 256)
-    sums = (words.join(by_word, "word").select("_row", "n", F.explode("gains").alias("g"))
-            .groupBy("_row", F.col("g.lang").alias("lang")).agg(F.sum(F.col("n") * F.col("g.gain")).alias("gain")))
-    sizes = words.groupBy("_row").agg(F.sum(F.col("n") * F.length("word")).alias("grams"))
-    floors = profiles.groupBy(F.col(lang).alias("lang")).agg(F.max("floor").alias("floor"))
-    cost = -F.round(F.col("grams") * F.col("floor") + F.col("gain"), 6)
-    best = (sums.join(sizes, "_row").join(floors, "lang").groupBy("_row")
-            .agg(F.min(F.struct(cost.alias("cost"), "lang"))["lang"].alias("detected")))
-    return docs.select("_row", uid).join(best, "_row", "left").select(
+    # outer: an inner explode would put a filter on the array below, which splits every text once more
+    words = docs.select("_row", F.explode_outer(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).filter("word IS NOT NULL")
+    counts = words.groupBy("word").agg(F.count("*").alias("n"))
+    by_word = materialise(word_gains(counts, profiles, languages, lang), "words")
+    gains = [f"g{i}" for i in range(len(languages))]
+    if fits(by_word, limit):
+        met = words.join(F.broadcast(by_word.drop("n")), "word", "left")
+    else:
+        least = (by_word.agg(F.sum("n")).first()[0] or 0) // FREQUENT_SHARE
+        frequent = F.broadcast(by_word.filter(F.col("n") > least).withColumn("_known", F.lit(True)).drop("n"))
+        placed = words.join(frequent, "word", "left")
+        rare = by_word.filter(F.col("n") <= least).drop("n")
+        met = placed.filter("_known").drop("_known").unionByName(placed.filter("_known IS NULL").select("_row", "word").join(rare, "word", "left"))
+    sums = met.groupBy("_row").agg(F.sum(F.length("word")).alias("grams"), *[F.sum(g).alias(g) for g in gains])
+    costs = [F.when(F.col(g).isNotNull(), F.struct((-F.round(F.col("grams") * F.lit(floors[name]) + F.col(g), 6)).alias("cost"), F.lit(name).alias("lang")))
+             for g, name in zip(gains, languages, strict=True)]
+    best = F.array_min(F.filter(F.array(*costs), lambda c: c.isNotNull()))["lang"] if costs else F.lit(None).cast("string")
+    slim = sums.select("_row", best.alias("detected"))
+    return docs.select("_row", uid).join(slim, "_row", "left").select(
         uid, F.coalesce("detected", F.lit("unknown")).alias("detected"))

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftwell.functions.scores import direction, percent_change
+from siftwell.operators.kernel import RbfSvm
 from siftwell.operators.metrics import evaluate
 from siftwell.operators.ordering import attach_row
 from siftwell.session import materialise
@@ -35,17 +39,20 @@ def fixed_length(df: DataFrame, dim: int, embedding: str = "embedding") -> DataF
 # ---------------------------------------------------------------- scaling and weights
 
 def dimension_statistics(df: DataFrame, embedding: str = "embedding") -> DataFrame:
-    """Mean and population SD per dimension: (dim, mean, sd)."""
-    return (df.select(F.posexplode(embedding).alias("dim", "x")).groupBy("dim")
-            .agg(F.avg(F.col("x").cast("double")).alias("mean"), F.stddev_pop(F.col("x").cast("double")).alias("sd")))
+    """One row: mean and population SD of every dimension, as arrays, in one aggregate of vectors."""
+    rows = with_features(df.filter(F.col(embedding).isNotNull()).select(embedding), embedding)
+    moments = rows.agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("features")).alias("m"))
+    share = F.when(F.col("m.count") > 1, (F.col("m.count") - 1) / F.col("m.count")).otherwise(0.0)
+    sd = F.transform(vector_to_array("m.variance"), lambda v: F.sqrt(v * share))
+    return moments.select(vector_to_array("m.mean").alias("mean"), sd.alias("sd"))
 
 
 def standardise(df: DataFrame, fitted_on: DataFrame | None = None, embedding: str = "embedding") -> DataFrame:
     """Centre and scale by the population statistics of ``fitted_on`` (default the rows themselves); a constant dimension is only centred."""
     stats = dimension_statistics(fitted_on if fitted_on is not None else df, embedding)
-    packed = stats.agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "sd"))).alias("s")).scalar()
-    z = F.zip_with(F.col(embedding), F.col("_s"), lambda x, s: (x.cast("double") - s["mean"])
-                   / F.when(s["sd"] > 0, s["sd"]).otherwise(1.0))
+    packed = stats.select(F.struct("mean", "sd").alias("s")).scalar()
+    z = F.transform(embedding, lambda x, i: (x.cast("double") - F.get(F.col("_s.mean"), i))
+                    / F.when(F.get(F.col("_s.sd"), i) > 0, F.get(F.col("_s.sd"), i)).otherwise(1.0))
     return df.withColumn("_s", packed).withColumn(embedding, z).drop("_s")
 
 
@@ -137,75 +144,91 @@ def oversample(df: DataFrame, ratio: float = 0.3, k: int = 3, label: str = "labe
 
 # ---------------------------------------------------------------- models
 
-def fourier_features(df: DataFrame, dim: int, n_features: int = 256, gamma: float | None = None, seed: int = 42,
-                     embedding: str = "embedding") -> DataFrame:
-    """Random Fourier features of an RBF kernel (published approximation) as the embedding column.
-
-    ``gamma`` defaults to 1/dim, right for standardised input.
-    """
-    rng = np.random.default_rng(seed)
-    gamma = gamma or 1.0 / dim
-    w = rng.normal(0.0, np.sqrt(2 * gamma), (dim, n_features))
-    b = rng.uniform(0.0, 2 * np.pi, n_features)
-
-    @F.pandas_udf("array<double>")
-    def lift(e: pd.Series) -> pd.Series:
-        if e.empty:
-            return e
-        return pd.Series(list(np.sqrt(2.0 / n_features) * np.cos(np.stack(e.to_numpy()) @ w + b)), index=e.index)
-
-    return df.withColumn(embedding, lift(embedding))
-
-
+# Model names and sizes.
 MODEL_NAMES = ["LogisticRegression", "LogisticRegression_L1", "RandomForest", "RandomForest_Subsample", "GradientBoosting", "SVM_RBF"]
+TREES, DEPTH, ROUNDS, BOOST_DEPTH = 200, 20, 200, 8
+
 
+def estimators(trees: int = TREES, depth: int = DEPTH, rounds: int = ROUNDS, boost_depth: int = BOOST_DEPTH, seed: int = 42) -> dict:
+    """name -> (estimator, scaled input).  All use the balanced ``weight`` column.
 
-def estimators(trees: int = 200, depth: int = 20, rounds: int = 200, boost_depth: int = 8, seed: int = 42) -> dict:
-    """name -> (estimator, scaled input).  All use the balanced ``weight`` column."""
+    The penalty of the linear models is the usual C = 1, which depends on the rows; ``penalised`` sets it.
+    """
     common = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
-    forest = dict(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=seed, **common)
+    forest = dict(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=seed, maxMemoryInMB=512, **common)
     return {
-        "LogisticRegression": (LogisticRegression(maxIter=1000, regParam=0.001, elasticNetParam=0.0,
-                                                  standardization=False, **common), True),
-        "LogisticRegression_L1": (LogisticRegression(maxIter=1000, regParam=0.001, elasticNetParam=1.0,
-                                                     standardization=False, **common), True),
+        "LogisticRegression": (LogisticRegression(maxIter=1000, elasticNetParam=0.0, standardization=False, **common), True),
+        "LogisticRegression_L1": (LogisticRegression(maxIter=1000, elasticNetParam=1.0, standardization=False, **common), True),
         "RandomForest": (RandomForestClassifier(**forest), False),
         "RandomForest_Subsample": (RandomForestClassifier(subsamplingRate=0.8, **forest), False),
-        "GradientBoosting": (GBTClassifier(maxIter=rounds, maxDepth=boost_depth, stepSize=0.1, subsamplingRate=0.8,
+        "GradientBoosting": (GBTClassifier(maxIter=rounds, maxDepth=boost_depth, stepSize=0.1, subsamplingRate=0.8, maxMemoryInMB=512,
                                            featureSubsetStrategy="0.8", seed=seed, **common), False),
-        "SVM_RBF": (LogisticRegression(maxIter=1000, regParam=0.001, standardization=False, **common), True),
+        "SVM_RBF": (RbfSvm(seed=seed), True),
     }
 
 
-def fit_and_score(name: str, train: DataFrame, test: DataFrame, dim: int, smote: bool = False,
-                  models: dict | None = None) -> DataFrame:
-    """Test rows (uid, label, pred_proba) of one model fitted on the training rows."""
-    estimator, scaled = (models or estimators())[name]
-    fit, held = train.select("uid", "label", "embedding"), test.select("uid", "label", "embedding")
-    if scaled:
-        fit, held = standardise(fit, fit), standardise(held, fit)
-    if smote:
-        fit = oversample(fit)
-    if name == "SVM_RBF":
-        fit, held = (fourier_features(x, dim) for x in (fit, held))
-    model = estimator.fit(with_features(class_weights(fit)))
-    return model.transform(with_features(held)).select(
-        "uid", "label", vector_to_array("probability")[1].alias("pred_proba"))
+def penalised(estimator, n: int, C: float = 1.0):
+    """A logistic regression with the penalty that stands against C times the summed loss of n rows; others as they are."""
+    if isinstance(estimator, LogisticRegression):
+        return estimator.copy({estimator.regParam: 1.0 / (C * max(1, n))})
+    return estimator
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A training table, written once in pieces of full size: a small one is one piece, so its many short jobs are one task each."""
+    return materialise(df.hint("rebalance"), name)
+
+
+def training_sets(train: DataFrame, test: DataFrame, kinds: set[tuple[bool, bool]]) -> dict:
+    """(scaled, oversampled) -> stored (training rows with weight, test rows), each made once whatever the number of models."""
+    columns = ("uid", "label", "embedding")
+    train, test = stored(train.select(*columns), "train"), stored(test.select(*columns), "test")
+    plain = {False: (train, test)}
+    if any(scaled for scaled, _ in kinds):
+        plain[True] = (stored(standardise(train, train), "train-scaled"), stored(standardise(test, train), "test-scaled"))
+    made = {}
+    for scaled, smote in sorted(kinds):
+        fit, held = plain[scaled]
+        fit = oversample(fit) if smote else fit
+        made[scaled, smote] = stored(class_weights(fit), "fit"), held
+    return made
+
+
+def predictions(estimator, fit: DataFrame, held: DataFrame) -> DataFrame:
+    """Test rows (uid, label, pred_proba) of one model."""
+    if isinstance(estimator, RbfSvm):
+        return estimator.fit(fit).transform(held).select("uid", "label", "pred_proba")
+    model = penalised(estimator, fit.count()).fit(with_features(fit))
+    return model.transform(with_features(held)).select("uid", "label", vector_to_array("probability")[1].alias("pred_proba"))
+
+
+def run_name(name: str, smote: bool) -> str:
+    return name + (" + SMOTE" if smote else "")
 
 
 def compare(train: DataFrame, test: DataFrame, dim: int, runs: list[tuple[str, bool]],
-            models: dict | None = None) -> DataFrame:
-    """One row of metrics per (model, with oversampling), evaluated in one pass over all predictions.
+            models: dict | None = None, parallel: int = 8) -> DataFrame:
+    """One stored row of metrics per (model, with oversampling).
 
-    Training reads its input many times, so both splits are written once to shared storage first.
+    Scaled and oversampled tables are made once and shared.  Models are fitted at the same time, as a fit of many short
+    jobs leaves most of a cluster idle; each writes its predictions, and all are evaluated in one pass.
     """
-    train, test = materialise(train, "train"), materialise(test, "test")
-    scored = None
-    for name, smote in runs:
-        part = fit_and_score(name, train, test, dim, smote, models).withColumn(
-            "model", F.lit(name + (" + SMOTE" if smote else "")))
-        scored = part if scored is None else scored.unionByName(part)
-    return evaluate(materialise(scored, "scored"), groups=["model"]).select(*RESULT_COLUMNS)
+    models, spark = models or estimators(), train.sparkSession
+    sets = training_sets(fixed_length(train, dim), fixed_length(test, dim), {(models[name][1], smote) for name, smote in runs})
+
+    def one(run: tuple[str, bool]) -> DataFrame:
+        name, smote = run
+        estimator, scaled = models[name]
+        scored = predictions(estimator, *sets[scaled, smote]).withColumn("model", F.lit(run_name(name, smote)))
+        return materialise(scored, "scored")
+
+    slow_first = sorted(runs, key=lambda run: run[0] != "GradientBoosting")
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        parts = list(pool.map(inheritable_thread_target(spark)(one), slow_first))
+    scored = spark.createDataFrame([], parts[0].schema)
+    for part in parts:
+        scored = scored.unionByName(part)
+    return materialise(evaluate(scored, groups=["model"]).select(*RESULT_COLUMNS), "results")
 
 
 def best_model(results: DataFrame) -> DataFrame:
@@ -272,7 +295,7 @@ def scaled_pipeline(estimator) -> Pipeline:
 
 def fit_pipeline(train: DataFrame, name: str = "LogisticRegression") -> PipelineModel:
     """A saveable model on class-weighted labelled rows: scaling and estimator in one."""
-    return scaled_pipeline(estimators()[name][0]).fit(with_features(class_weights(train)))
+    return scaled_pipeline(penalised(estimators()[name][0], train.count())).fit(with_features(class_weights(train)))
 
 
 def save_model(model: PipelineModel, path: str) -> None:

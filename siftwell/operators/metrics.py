@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siftwell.operators.ordering import attach_row, per_value, running_totals
+from siftwell.operators.ordering import per_value, running_totals
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -76,20 +76,34 @@ def best_threshold(df: DataFrame, label: str = "label", proba: str = "pred_proba
 
 
 def evaluate(df: DataFrame, label: str = "label", proba: str = "pred_proba", groups: list[str] = ()) -> DataFrame:
-    """All metrics at 0.5 and at the optimal threshold, one row per group (one row without groups)."""
-    groups = list(groups)
+    """All metrics at 0.5 and at the optimal threshold, one row per group (one row without groups).
 
-    def add(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.join(right, groups) if groups else attach_row(left, right)
-
-    best = best_threshold(df, label, proba, groups)
-    tuned = confusion(add(df, best), label, proba, F.col("optimal_threshold"), groups)
-    tuned = tuned.select(*groups, *[F.col(c).alias(f"optimal_{c}") for c in ("tp", "fp", "tn", "fn", "precision",
-                                                                            "recall", "accuracy", "specificity")])
-    out = confusion(df, label, proba, 0.5, groups)
-    for part in (roc_auc(df, label, proba, groups), average_precision(df, label, proba, groups), best, tuned):
-        out = add(out, part)
-    return out
+    Rows are folded to distinct scores once and their running counts, from the highest score down, hold everything: the
+    counts at a score are the confusion at that threshold, and both areas are sums over them.
+    """
+    groups = list(groups)
+    points = _curve_points(df, label, proba, groups)
+    p, r = F.col("precision"), F.col("recall")
+    pos, neg, all_pos, all_neg = (F.col(c) for c in ("cum_pos", "cum_neg", "all_pos", "all_neg"))
+    f1 = F.round(2 * p * r / (p + r + 1e-10), 12)
+    wins = F.col("pos") * (all_neg - neg + F.col("neg") / 2)
+    area = F.sum(p * _ratio(F.col("pos"), all_pos))
+    zero = F.lit(0).cast("long")
+    whole = points.groupBy(*groups).agg(
+        F.coalesce(F.max("all_pos"), zero).alias("np"), F.coalesce(F.max("all_neg"), zero).alias("nn"),
+        F.coalesce(F.max(F.when(F.col(proba) >= 0.5, pos)), zero).alias("tp"), F.coalesce(F.max(F.when(F.col(proba) >= 0.5, neg)), zero).alias("fp"),
+        F.sum(wins).alias("wins"), area.alias("area"),
+        F.min_by(F.struct(F.col(proba).alias("threshold"), f1.alias("f1"), pos.alias("tp"), neg.alias("fp")), F.struct(-f1, F.col(proba))).alias("b"))
+    n1, n0 = F.col("np"), F.col("nn")
+    found = F.coalesce(F.col("b.f1") > 0, F.lit(False))
+    tp2, fp2 = (F.when(found, F.col(f"b.{c}")).otherwise(F.col(c)) for c in ("tp", "fp"))
+    tp, fp = F.col("tp"), F.col("fp")
+    plain = {"tp": tp, "fp": fp, "tn": n0 - fp, "fn": n1 - tp} | derived_metrics(tp, fp, n0 - fp, n1 - tp)
+    tuned = {"tp": tp2, "fp": fp2, "tn": n0 - fp2, "fn": n1 - tp2} | derived_metrics(tp2, fp2, n0 - fp2, n1 - tp2)
+    return whole.select(
+        *groups, *[e.alias(c) for c, e in plain.items()], _ratio(F.col("wins"), n1 * n0).alias("roc_auc"),
+        F.when((n1 > 0) & (n0 > 0), F.col("area")).otherwise(0.0).alias("pr_auc"), F.when(found, F.col("b.threshold")).otherwise(0.5).alias("optimal_threshold"),
+        F.col("b.f1").alias("optimal_f1"), *[e.alias(f"optimal_{c}") for c, e in tuned.items() if c != "f1"])
 
 
 def class_balance(df: DataFrame, label: str = "label") -> DataFrame:

@@ -30,7 +30,9 @@ def running_totals(values: DataFrame, by: str, sums: list[str], groups: list[str
     the whole table is ever sorted in one task.  The totals are at most BUCKETS rows per group.
     """
     groups = list(groups)
-    bounds = values.agg(F.percentile_approx(by, [i / BUCKETS for i in range(1, BUCKETS)], 10 * BUCKETS).alias("bounds")).scalar()
+    # the filter names every column, so that the values are folded once and their exchange serves the bounds too
+    known = values.where(F.xxhash64(*groups, *sums) != 0) if groups or sums else values
+    bounds = known.agg(F.percentile_approx(by, [i / BUCKETS for i in range(1, BUCKETS)], 10 * BUCKETS).alias("bounds")).scalar()
     sign = -1 if descending else 1
     below = F.size(F.filter(F.coalesce("_bounds", F.array(F.col(by))), lambda b: b <= F.col(by)))
     placed = values.withColumn("_bounds", bounds).withColumn("_bucket", (sign * below).cast("long")).drop("_bounds")
@@ -38,12 +40,13 @@ def running_totals(values: DataFrame, by: str, sums: list[str], groups: list[str
     inside = Window.partitionBy(*groups, "_bucket").orderBy(order)
     upto = Window.partitionBy(*groups).orderBy("_bucket")
     whole = Window.partitionBy(*groups)
-    totals = placed.groupBy(*groups, "_bucket").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    local = placed.select("*", *[F.sum(s).over(inside).alias(f"_cum_{s}") for s in sums])
+    last = F.row_number().over(Window.partitionBy(*groups, "_bucket").orderBy(F.col(by).asc() if descending else F.col(by).desc())) == 1
+    totals = local.withColumn("_last", last).filter("_last").select(*groups, "_bucket", *[F.col(f"_cum_{s}").alias(f"_t_{s}") for s in sums])
     totals = totals.select(
         *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_bucket").alias("_b"),
         *[(F.sum(f"_t_{s}").over(upto) - F.col(f"_t_{s}")).alias(f"_before_{s}") for s in sums],
         *[F.sum(f"_t_{s}").over(whole).alias(f"all_{s}") for s in sums])
-    local = placed.select("*", *[F.sum(s).over(inside).alias(f"_cum_{s}") for s in sums])
     match = F.col("_bucket") == F.col("_b")
     for i, g in enumerate(groups):
         match = match & F.col(g).eqNullSafe(F.col(f"_g{i}"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from siftwell.functions.scores import (
     confidence_tier, half_open_band, label_code, right_closed_band, tenth)
@@ -151,12 +152,24 @@ def part_stats(df: DataFrame, part: str, threshold: float = 0.5) -> DataFrame:
             .withColumn(part, F.coalesce(part, F.lit("TOTAL"))))
 
 
-def run_throughput(stats: DataFrame, elapsed_seconds: float) -> DataFrame:
-    """Run totals with rows per second and files per minute."""
-    return stats.agg(F.count("*").alias("n_files"), F.sum("n_total").alias("n_total"),
-                     F.sum("n_positive").alias("n_positive"),
-                     (F.sum("n_total") / elapsed_seconds).alias("rows_per_second"),
-                     (F.count("*") / elapsed_seconds * 60).alias("files_per_minute"))
+def scored_run(scored: DataFrame, path: str, threshold: float = 0.5, part: Column | None = None) -> DataFrame:
+    """Write scored rows and return the run's numbers, observed while they were written: one row
+    ``n_files, n_total, n_positive, positive_rate, seconds, rows_per_second, files_per_minute``.
+
+    Files are those of the scan, or the distinct values of ``part`` (approximate beyond some thousand); no pass over the
+    rows is added.
+    """
+    seen, name = Observation("run"), (F.col("_metadata.file_path") if part is None else part)
+    rows = scored.withColumn("_part", name)
+    observed = rows.observe(seen, F.count("*").alias("n"), F.count_if(F.col("pred_proba") >= threshold).alias("positive"),
+                            F.approx_count_distinct("_part", 0.01).alias("files")).drop("_part")
+    start = time.monotonic()
+    observed.write.parquet(path)
+    seconds, got = max(time.monotonic() - start, 1e-9), seen.get
+    n, positive, files = got["n"], got["positive"], got["files"]
+    row = (files, n, positive, positive / n if n else 0.0, seconds, n / seconds, files / seconds * 60)
+    return scored.sparkSession.createDataFrame(
+        [row], "n_files long, n_total long, n_positive long, positive_rate double, seconds double, rows_per_second double, files_per_minute double")
 
 
 def chunk_summary(df: DataFrame, chunk: str, threshold: float = 0.5) -> DataFrame:

@@ -10,6 +10,7 @@ from siftwell.functions.scores import cohen_d, effect_label, severity_weight, st
 from siftwell.functions.tails import chi2_p, normal_p, student_p
 from siftwell.operators.joins import unordered_pairs
 from siftwell.operators.ordering import average_rank_within, average_ranks, first_per_key, per_value, quantile_columns
+from siftwell.session import materialise
 
 LEVELS = [1, 2, 3, 4, 5]
 
@@ -238,6 +239,12 @@ def alpha_from_patterns(patterns: DataFrame, level: str, values: list[int] = LEV
     sums = usable.groupBy(*groups).agg(
         *[F.sum(cell(a, b)).alias(f"o_{a}_{b}") for a, b in pairs],
         *[F.sum(F.col("units") * c[v]).alias(f"m_{v}") for v in values])
+    return alpha_of_sums(sums, level, values, groups)
+
+
+def alpha_of_sums(sums: DataFrame, level: str, values: list[int] = LEVELS, groups: list[str] = ()) -> DataFrame:
+    """Alpha from coincidences (columns o_<a>_<b>) and marginals (m_<value>)."""
+    pairs = [(a, b) for a in values for b in values]
     marg = {v: F.col(f"m_{v}") for v in values}
     total = sum(marg.values(), F.lit(0.0))
     observed = sum((F.col(f"o_{a}_{b}") * _delta(level, a, b, marg, values) for a, b in pairs), F.lit(0.0))
@@ -319,18 +326,49 @@ def bootstrap_weights(ratings: DataFrame, iterations: int = 10_000, seed: int =
     return _interval(drawn, "w", ["key"]).join(point, "key").drop("key")
 
 
+BLOCK_PATTERNS = 1_000
+"""Patterns whose weights are drawn together."""
+
+
 def bootstrap_alpha(ratings: DataFrame, iterations: int = 1_000, seed: int = 42, level: str = "ordinal",
-                    unit: str = "respondent") -> DataFrame:
-    """Bootstrap of alpha over units; there are few distinct value-count vectors, so those are resampled."""
+                    unit: str = "respondent", block_patterns: int = BLOCK_PATTERNS) -> DataFrame:
+    """Bootstrap of alpha over units, folded to distinct value-count vectors (patterns), which stay distributed.
+
+    Patterns are cut into blocks.  The units of a resample fall into the blocks as one multinomial draw, and those of a
+    block into its patterns as another.  Coincidences are linear in a pattern's units, so a block turns its matrix of
+    weights (iterations x patterns) into partial sums per iteration, which are then added up.  A row holds one block's
+    patterns at most, or the blocks' sizes.
+    """
     cols = [f"c{v}" for v in LEVELS]
-    patterns = _unit_patterns(ratings, unit, LEVELS)
-    folded = patterns.agg(F.array_sort(F.collect_list(F.struct(*cols, "units"))).alias("p"))
-    keyed = folded.select(F.lit(0).cast("long").alias("key"), F.transform("p", lambda x: x["units"]).alias("counts"))
-    drawn = multinomial_resamples(keyed, iterations, seed).withColumn("p", folded.select("p").scalar())
-    rows = (drawn.select("iteration", F.explode(F.arrays_zip("counts", "p")).alias("z"))
-            .select("iteration", F.col("z.counts").alias("units"), *[F.col(f"z.p.{c}").alias(c) for c in cols])
-            .filter(F.col("units") > 0))
-    alphas = alpha_from_patterns(rows, level, LEVELS, ["iteration"]).filter(F.col("alpha").isNotNull())
+    patterns = materialise(_unit_patterns(ratings, unit, LEVELS), "patterns")
+    blocks = max(1, -(-patterns.count() // block_patterns))
+    placed = patterns.withColumn("block", F.pmod(F.xxhash64(*cols), F.lit(blocks)))
+    sizes = placed.groupBy("block").agg(F.sum("units").alias("units"))
+    packed = sizes.agg(F.array_sort(F.collect_list(F.struct("block", "units"))).alias("b"))
+    drawn = multinomial_resamples(packed.select(F.lit(0).cast("long").alias("key"), F.transform("b", lambda x: x["units"]).alias("counts")), iterations, seed)
+    shares = drawn.withColumn("b", packed.scalar()).select("iteration", F.explode(F.arrays_zip("counts", "b")).alias("z")).select(
+        F.col("z.b.block").alias("block"), F.floor(F.col("iteration") / CHUNK).alias("chunk"), "iteration", F.col("z.counts").alias("n"))
+    chunks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-(-iterations // CHUNK) - 1).cast("long")))
+    weighed = shares.groupBy("block", "chunk").cogroup(placed.select("*", chunks.alias("chunk")).groupBy("block", "chunk"))
+    names = [*[f"o_{a}_{b}" for a in LEVELS for b in LEVELS], *[f"m_{v}" for v in LEVELS]]
+
+    def block_sums(draws: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if draws.empty or rows.empty:
+            return pd.DataFrame({c: [] for c in ["iteration", *names]})
+        draws, rows = draws.sort_values("iteration"), rows.sort_values(cols)
+        counts, units = rows[cols].to_numpy("float64"), rows["units"].to_numpy("float64")
+        rng = np.random.default_rng([seed, int(rows["block"].iat[0]), int(draws["chunk"].iat[0]), 1])
+        weights = rng.multinomial(draws["n"].to_numpy("int64"), units / units.sum())
+        m = counts.sum(1)
+        usable = m >= 2
+        pairs = counts[:, :, None] * (counts[:, None, :] - np.eye(len(cols)))
+        pairs = np.where(usable[:, None, None], pairs / np.maximum(m - 1, 1)[:, None, None], 0)
+        sums = weights @ np.concatenate((pairs.reshape(len(rows), -1), np.where(usable[:, None], counts, 0)), axis=1)
+        return pd.DataFrame(sums, columns=names).assign(iteration=draws["iteration"].to_numpy())[["iteration", *names]]
+
+    partial = weighed.applyInPandas(block_sums, "iteration int, " + ", ".join(f"{c} double" for c in names))
+    sums = partial.groupBy("iteration").agg(*[F.sum(c).alias(c) for c in names])
+    alphas = alpha_of_sums(sums, level, LEVELS, ["iteration"]).filter(F.col("alpha").isNotNull())
     out = _interval(alphas.withColumn("g", F.lit(0)), "alpha", ["g"]).drop("g")
     return out.withColumn("alpha", alpha_from_patterns(patterns, level).scalar())
 

@@ -9,6 +9,7 @@ from siftwell.operators.sampling import shuffled_positions, take_random
 from siftwell.plans import tables as t
 from siftwell.plans.registry import query, view
 from siftwell.schemas import CRITERIA_IDS
+from siftwell.session import spread
 
 
 @query("b01_present_columns", "SELECT doc_id, lang, n_chars FROM documents")
@@ -303,7 +304,7 @@ def c13(spark, sf):
 
 @query("c14_phrase_join", "SELECT uid, score, pos_keys, neg_keys FROM scored")
 def c14(spark, sf):
-    out = score_texts_by_join(t.docs(spark, sf).select("uid", "text"), t.dictionary(spark))
+    out = score_texts_by_join(spread(t.docs(spark, sf).select("uid", "text")), t.dictionary(spark))
     return out.select("uid", "score", F.array_join("pos_keys", "|").alias("pos_keys"), F.array_join("neg_keys", "|").alias("neg_keys"))
 
 

@@ -209,6 +209,21 @@ def d20(spark, sf):
     return t.rounded(profiles.part_stats(rows, "part"), "positive_rate")
 
 
+@query("d20_throughput", """
+    SELECT count(DISTINCT k % 4) AS n_files, count(*) AS n_total, count(*) FILTER (WHERE pred_proba >= 0.5) AS n_positive, round(avg((pred_proba >= 0.5)::INT), 6) AS positive_rate,
+           TRUE AS positive, TRUE AS rows_agree, TRUE AS files_agree, TRUE AS all_written FROM vec""")
+def d20_throughput(spark, sf):
+    """A whole scoring run, with its speed: positive, and rows and files per time that agree with the counts and the seconds."""
+    path = scratch_dir(spark, "run")
+    run = profiles.scored_run(t.vec(spark, sf), path, 0.5, F.col("k") % 4)
+    written = spark.read.parquet(path).agg(F.count("*").alias("n")).scalar()
+    close = lambda a, b: F.abs(a - b) <= 1e-6 * b
+    return t.rounded(run, "positive_rate").select(
+        "n_files", "n_total", "n_positive", "positive_rate", ((F.col("rows_per_second") > 0) & (F.col("files_per_minute") > 0)).alias("positive"),
+        close(F.col("rows_per_second") * F.col("seconds"), F.col("n_total")).alias("rows_agree"),
+        close(F.col("files_per_minute") * F.col("seconds") / 60, F.col("n_files")).alias("files_agree"), (written == F.col("n_total")).alias("all_written"))
+
+
 @query("d21_chunk_summary", """
     SELECT count(*) AS n_chunks, CAST(sum(n) AS BIGINT) AS n_total, CAST(sum(s) AS BIGINT) AS n_saved, round(avg(s / n), 6) AS mean_save_rate,
            round(avg(m), 6) AS mean_proba, CAST(floor(sum(h) * 0.95::DOUBLE + sum(md) * 0.82::DOUBLE) AS BIGINT) AS expected_true

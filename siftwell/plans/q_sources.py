@@ -1,7 +1,7 @@
 """Scans, sources and sinks."""
 
 import numpy as np
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from siftwell.functions.text import WORD
 from siftwell.operators import joins, profiles, state
@@ -179,6 +179,28 @@ def a17(spark, sf):
         F.count("*").alias("n"), files.cast("int").alias("n_files"))
 
 
+@query("a17_compacted_inputs", """
+    SELECT 'domain_' || CAST(k % 3 AS VARCHAR) AS input, count(*) AS n, 1 AS n_files, 1 AS n_bounded, TRUE AS in_order FROM pool GROUP BY 1""")
+def a17_inputs(spark, sf):
+    """Three inputs of five parts each: one file per input with a large bound, and at most two parts in a file with a small one."""
+    root, rows = scratch_dir(spark, "inputs"), t.pool(spark, sf).select("uid", "k", "url")
+    for i in range(3):
+        for j in range(5):
+            part = rows.filter((F.col("k") % 3 == i) & (F.col("k") % 5 == j)).withColumn("part", F.lit(j))
+            part.coalesce(1).write.parquet(f"{root}/in/domain_{i}_parts/part_{j:05d}.parquet")
+    plan = writers.compact_inputs(spark, f"{root}/in", f"{root}/out", input_of=r"([^/]*)_parts/")
+    longest = plan.agg(F.max("length")).first()[0]
+    small = writers.compact_inputs(spark, f"{root}/in", f"{root}/small", 2 * longest, r"([^/]*)_parts/")
+    bounded = small.groupBy("input", "bin").agg(F.sum("length").alias("bytes"), F.count("*").alias("parts")).groupBy("input").agg(
+        ((F.max("bytes") <= 2 * longest) & (F.max("parts") > 1)).cast("int").alias("n_bounded"))
+    out = spark.read.parquet(f"{root}/out").withColumn("at", F.col("_metadata.row_index"))
+    ordered = out.groupBy("input", "part").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    before = F.lag("high").over(Window.partitionBy("input").orderBy("part"))
+    in_order = ordered.withColumn("ok", F.coalesce(F.col("low") > before, F.lit(True))).groupBy("input").agg(F.bool_and("ok").alias("in_order"))
+    counts = out.groupBy("input").agg(F.count("*").alias("n"), F.count_distinct(readers.part_name()).cast("int").alias("n_files"))
+    return counts.join(bounded, "input").join(in_order, "input").select("input", "n", "n_files", "n_bounded", "in_order")
+
+
 @query("a18_merge_folders", "SELECT uid, domain, pred_proba FROM pool_norm")
 def a18(spark, sf):
     root, df = scratch_dir(spark, "small"), t.pool_norm(spark, sf).select("uid", "domain", "pred_proba", "k")

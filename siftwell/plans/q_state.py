@@ -7,7 +7,7 @@ from siftwell.plans import tables as t
 from siftwell.plans.registry import query, view
 from siftwell.schemas import CRITERIA_IDS
 from siftwell.session import scratch_dir
-from siftwell.streaming import incremental
+from siftwell.streaming import annotations, incremental
 
 
 @query("k01_resumed_run", "SELECT uid, url_norm, domain FROM pool_norm")
@@ -53,6 +53,38 @@ def k03(spark, sf):
     return incremental.read_latest(spark, f"{root}/out", "uid").select("uid", "label", "event_id")
 
 
+# Targets of annotated rows per class; "valid" counts YES and NO together.
+TARGETS = {"YES": 40, "NO": 400, "INVALID": 5, "valid": 120}
+
+
+@query("k03_annotation_progress", """
+    WITH c AS (SELECT label, count(*) AS n FROM ann GROUP BY 1),
+    w(label, target) AS (VALUES """ + ", ".join(f"('{k}', {n}::BIGINT)" for k, n in TARGETS.items()) + """)
+    SELECT label, CAST(n AS BIGINT) AS n, target, CAST(greatest(target - n, 0) AS BIGINT) AS remaining FROM (
+        SELECT w.label, target, COALESCE(CASE WHEN w.label = 'valid' THEN (SELECT sum(n) FROM c WHERE label IN ('YES', 'NO')) ELSE c.n END, 0) AS n
+        FROM w LEFT JOIN c ON c.label = w.label)""")
+def k03_progress(spark, sf):
+    """The log in three parts: a run, a snapshot, and runs that resume from the checkpoint."""
+    root, log = scratch_dir(spark, "annotations"), t.annlog(spark, sf)
+    for part in range(3):
+        log.filter(F.col("event_id") % 3 == part).write.mode("append").parquet(f"{root}/log")
+        stream = incremental.new_files(spark, f"{root}/log", log.schema)
+        annotations.follow(stream, f"{root}/out", f"{root}/checkpoint")
+        if part == 0:
+            annotations.fold(spark, f"{root}/out", log.schema)
+    return annotations.progress(annotations.class_counts(spark, f"{root}/out", log.schema), TARGETS)
+
+
+@query("k03_folded_log", "SELECT uid, label, event_id FROM ann")
+def k03_folded(spark, sf):
+    root, log = scratch_dir(spark, "annotations"), t.annlog(spark, sf)
+    for part in range(2):
+        log.filter(F.col("event_id") % 2 == part).write.mode("append").parquet(f"{root}/log")
+        annotations.follow(incremental.new_files(spark, f"{root}/log", log.schema), f"{root}/out", f"{root}/checkpoint")
+        annotations.fold(spark, f"{root}/out", log.schema)
+    return annotations.current(spark, f"{root}/out", log.schema).select("uid", "label", "event_id")
+
+
 def _flaky(row: dict) -> dict:
     if int(row["uid"]) % 10 == 0:
         raise ValueError("no answer")

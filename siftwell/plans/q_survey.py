@@ -303,3 +303,29 @@ def j11(spark, sf):
 def j12(spark, sf):
     sets = ["UK", "CZ", "Other", "DE-speak"]
     return t.rounded(survey.sensitivity(scenario_rows(spark, sf), school_weights(spark, sf), sets), *sets, "range")
+
+
+#: Weight sets of the sensitivity table: the point, both ends of the bootstrap interval, and equal weights.
+SURVEY_SETS, EQUAL_WEIGHT = ["point", "ci_lo", "ci_hi", "equal"], 0.7
+
+view("survey_sets", f"""
+    SELECT s.weight_set, criterion, CASE s.weight_set WHEN 'point' THEN point WHEN 'ci_lo' THEN lo WHEN 'ci_hi' THEN hi ELSE {EQUAL_WEIGHT}::DOUBLE END AS weight
+    FROM (SELECT criterion, quantile_cont(w, 0.025) AS lo, quantile_cont(w, 0.975) AS hi
+          FROM (SELECT d.iteration, r.criterion, (avg(r.rating) - 1) / 4 AS w FROM draws_10000 d JOIN indexed USING (idx) JOIN ratings r USING (respondent) GROUP BY ALL) GROUP BY 1)
+    JOIN (SELECT criterion, (avg(rating) - 1) / 4 AS point FROM ratings GROUP BY 1) USING (criterion),
+    (SELECT unnest({SURVEY_SETS}) AS weight_set) s""")
+
+
+@query("j12_sensitivity_survey_sets", """
+    WITH q AS (SELECT scenario, weight_set, 60 * (1 - sum(weight) / any_value(total)) AS q
+        FROM scenario_rows JOIN survey_sets USING (criterion) JOIN (SELECT weight_set, sum(weight) AS total FROM survey_sets GROUP BY 1) USING (weight_set) GROUP BY 1, 2)
+    SELECT scenario, """ + ", ".join(f"round(max(q) FILTER (WHERE weight_set = '{s}'), 6) AS {s}" for s in SURVEY_SETS) + """, round(max(q) - min(q), 6) AS "range"
+    FROM q GROUP BY 1""")
+def j12_survey(spark, sf):
+    """The scenarios under the survey's own weights: point, ends of the interval of 10 000 resamples, and equal weights."""
+    ratings = t.ratings(spark, sf)
+    per = resampled_totals(spark, sf, 10_000).select("iteration", "criterion", (F.col("total") / F.col("weight")).alias("rating"), "weight")
+    point = ratings.groupBy("criterion").agg(((F.avg("rating") - 1) / 4).alias("point"))
+    ends = survey.resampled_weights(per).join(point, "criterion").withColumn("equal", F.lit(EQUAL_WEIGHT))
+    sets = ends.unpivot("criterion", SURVEY_SETS, "weight_set", "weight")
+    return t.rounded(survey.sensitivity(scenario_rows(spark, sf), sets, SURVEY_SETS), *SURVEY_SETS, "range")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 _local_roots: dict[str, str] = {}
 
@@ -64,3 +64,36 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = 64 << 20) -> DataFrame:
     """A stored frame with a broadcast hint if its counted rows fit the limit, otherwise as it is."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
+def _bytes_of(value: Column, kind: T.DataType) -> Column:
+    """About the bytes that a value takes in a row."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return 16 + F.coalesce(F.octet_length(value), F.lit(0))
+    if isinstance(kind, T.StructType):
+        total = F.lit(16)
+        for f in kind.fields:
+            total = total + _bytes_of(value[f.name], f.dataType)
+        return total
+    if isinstance(kind, T.ArrayType):
+        fixed = not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.ArrayType, T.MapType))
+        if fixed:
+            return 16 + 8 * F.coalesce(F.size(value), F.lit(0))
+        sizes = F.transform(value, lambda x: _bytes_of(x, kind.elementType))
+        return 16 + F.coalesce(F.aggregate(sizes, F.lit(0), lambda a, x: a + x), F.lit(0))
+    if isinstance(kind, T.MapType):
+        return 16 + F.coalesce(F.octet_length(F.to_json(value)), F.lit(0))
+    return F.lit(8)
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row with the columns of ``df``."""
+    total = F.lit(16)
+    for f in df.schema.fields:
+        total = total + _bytes_of(F.col(f"`{f.name}`"), f.dataType)
+    return total
+
+
+def fits(df: DataFrame, limit: int = 64 << 20) -> bool:
+    """Whether the rows of a stored frame, measured, take at most ``limit`` bytes."""
+    return (df.agg(F.sum(row_bytes(df).cast("long"))).first()[0] or 0) <= limit

@@ -63,3 +63,37 @@ def test_upsert_keeps_one_row_per_key(spark):
     changes = spark.createDataFrame([("a", "p"), ("a", "q")], "uid string, s string")
     assert sorted(map(tuple, state.upsert(now, changes).collect())) == [("a", "p"), ("b", "y")]
     assert sorted(map(tuple, state.upsert(now, changes, order=[F.desc("s")]).collect())) == [("a", "q"), ("b", "y")]
+
+
+def test_phrases_beyond_the_broadcast(spark, monkeypatch):
+    """Frequent cores are joined by themselves, rare ones by a shuffle; the scores are those of a broadcast dictionary."""
+    entries = [("map", "pos", 1.0), ("old map", "neg", 2.0), ("(map)", "pos", 4.0), ("rare phrase here", "pos", 8.0), ("x", "neg", -1.0)]
+    dictionary = spark.createDataFrame(entries, "phrase string, polarity string, score double")
+    rows = [(str(i), "map " * (i % 5) + ("an old  map, old map" if i % 3 else "(map) x") + (" rare phrase here" if i == 77 else "")) for i in range(200)]
+    docs = spark.createDataFrame(rows, "uid string, text string")
+    want = sorted(map(tuple, text.score_texts_by_join(docs, dictionary).collect()))
+    monkeypatch.setattr(text, "fits", lambda df, limit=0: False)
+    assert sorted(map(tuple, text.score_texts_by_join(docs, dictionary).collect())) == want
+    assert want[0][1] != 0
+
+
+def test_filter_keeps_few_grams_and_every_core(spark):
+    entries = [("old map", "pos", 1.0), ("a b c", "neg", 1.0), ("+", "pos", 1.0)]
+    cores = text._cores(spark.createDataFrame(entries, "phrase string, polarity string, score double"))
+    bits, size = text.core_filter(cores)
+    docs = spark.createDataFrame([("words " * 500 + "old map a b c a b",)], "text string").withColumn("_bits", bits.scalar())
+    grams = docs.select(text._placed_grams(F.col("text"), 3, F.col("_bits"), size).alias("g")).first().g
+    assert {"old map", "a b c"} <= {g.core for g in grams} and len(grams) < 20
+
+
+def test_languages_beyond_the_broadcast(spark, monkeypatch):
+    texts = [("en", "the map of the land"), ("de", "die karte des landes"), ("fr", "la carte du pays"), (None, "xx")]
+    rows = [(str(i), texts[i % 3][1] + f" w{i}" * (i % 7), texts[i % 3][0]) for i in range(90)] + [("none", "123 !!", "en"), ("null", None, "de"), ("odd", "ŧŧŧ", "fr")]
+    docs = spark.createDataFrame(rows, "uid string, text string, lang string").coalesce(1)
+    profiles = text.language_profiles(docs.filter("uid <> 'odd'"))
+    want = sorted(map(tuple, text.identify_language(docs, profiles).collect()))
+    assert dict(want)["none"] == dict(want)["null"] == dict(want)["odd"] == "unknown" and dict(want)["0"] == "en"
+    monkeypatch.setattr(text, "fits", lambda df, limit=0: False)
+    assert sorted(map(tuple, text.identify_language(docs, profiles).collect())) == want
+    monkeypatch.setattr(text, "FREQUENT_SHARE", 20)
+    assert sorted(map(tuple, text.identify_language(docs, profiles).collect())) == want
