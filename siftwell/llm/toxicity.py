@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from siftwell.llm.common import add_columns, held_out, materialise, slices, table
+from siftwell.llm.common import add_columns, fresh, held_out, materialise, slices, table, without
 
 EXAMPLES = 3_000
 """About how many labelled rows of each label the model is fitted on; the sample follows a hash of the row's key."""
@@ -71,8 +71,8 @@ class BlockMaxIndex:
         self.place[used] = np.arange(1, used.sum() + 1)
         self.postings = np.concatenate((np.zeros((1, BLOCK), np.float32), table[used]))
 
-    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine (ties: earlier example), those without a common term left out."""
+    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int, skip: Sequence[int] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of largest cosine (ties: earlier example), those without a common term and those to skip left out."""
         if not len(ids) or not self.n:
             return np.zeros(0, np.int64), np.zeros(0)
         w = weights.astype(np.float32)
@@ -85,7 +85,9 @@ class BlockMaxIndex:
             blocks = blocks[(bound[blocks] + 1e-5 >= low) & (bound[blocks] > 0)]
             score = np.einsum("t,tbx->bx", w, self.postings[places[:, blocks]])
             rows = blocks[:, None] * BLOCK + np.arange(BLOCK)
-            fits = (score > 0) & (score >= low) & (rows != skip)
+            fits = (score > 0) & (score >= low)
+            for row in skip:
+                fits &= rows != row
             found.append(rows[fits])
             scores.append(score[fits])
             all_scores = np.concatenate(scores)
@@ -127,6 +129,15 @@ def calibrate(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray, least:
     return np.array([g[0] for g in groups]), np.array([(g[1] + 0.5) / (g[2] + 1) for g in groups])
 
 
+def rows_of_keys(keys: Sequence[int | None]) -> dict[int, list[int]]:
+    """The examples that belong to each known key."""
+    rows: dict[int, list[int]] = {}
+    for row, key in enumerate(keys):
+        if key is not None:
+            rows.setdefault(key, []).append(row)
+    return rows
+
+
 def fit(examples: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = EXAMPLES, natural: dict[int, int] | None = None) -> Model:
     """Fit on labelled texts: the label must be 0 or 1, other rows teach nothing.
 
@@ -171,7 +182,8 @@ def fit(examples: DataFrame, key: str = "doc_id", text: str = "text", label: str
     labels = np.array([r["label"] for r in kept], np.float64)
     base = float(labels.mean()) if len(labels) else 0.0
     index = BlockMaxIndex(pairs, len(names))
-    votes = np.array([vote(labels, *index.nearest(*v, NEAREST, skip=i), base) for i, v in enumerate(pairs)])
+    own = rows_of_keys([r["key"] for r in kept])
+    votes = np.array([vote(labels, *index.nearest(*v, NEAREST, own.get(r["key"], [i])), base) for i, (v, r) in enumerate(zip(pairs, kept, strict=True))])
     # a label that was sampled more densely than the other counts less in the calibrated share
     whole = natural or sizes
     dense = np.array([whole.get(int(y), 1) / max(1, total.get(int(y), 1)) for y in labels])
@@ -179,10 +191,11 @@ def fit(examples: DataFrame, key: str = "doc_id", text: str = "text", label: str
     return Model(names, idf, [r["key"] for r in kept], labels, pairs, base, steps, shares)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str] | None = None, key: str = "doc_id") -> DataFrame:
     """Add ``score``, and the keys of the nearest examples with their cosines as ``evidence`` and ``closeness``.
 
-    Whole texts are read.  A text without a term of the vocabulary, null and empty ones too, gets the calibrated
+    A document's own label never votes: examples of its key are skipped, as they were when the votes were calibrated.
+    Without a column ``key``, and for a null key, nothing is skipped.  Whole texts are read.  A text without a term of the vocabulary, null and empty ones too, gets the calibrated
     base rate and no evidence; so does every text if nothing was learned (score 0).  Columns of these names are replaced.
     The model is broadcast; its size is bound by ``EXAMPLES`` and the vocabulary.
     """
@@ -190,19 +203,23 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str]
 
     def make(texts: Iterator[pa.Array]) -> Iterator[list[pa.Array]]:
         m = shared.value
-        coder, index = Vectors(m.terms, m.idf), BlockMaxIndex(m.vectors, len(m.terms))
+        coder, index, own = Vectors(m.terms, m.idf), BlockMaxIndex(m.vectors, len(m.terms)), rows_of_keys(m.keys)
 
-        def one(value: str | None) -> tuple[float, list, list]:
-            rows, close = index.nearest(*coder.of(value), NEAREST)
+        def one(value: str | None, of: int | None) -> tuple[float, list, list]:
+            rows, close = index.nearest(*coder.of(value), NEAREST, own.get(of, ()))
             at = np.searchsorted(m.steps, vote(m.labels, rows, close, m.base), side="right") - 1
             return float(m.shares[max(0, at)]), [m.keys[i] for i in rows.tolist()], close.tolist()
 
         for batch in texts:
-            found = [one(v.as_py()) for part in slices(batch) for v in part]
+            whole, keys = batch.field(0), iter(batch.field(1).to_pylist())
+            found = [one(v.as_py(), next(keys)) for part in slices(whole) for v in part]
             yield [pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.list_(pa.float64()))]
 
     new = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.LongType())), T.StructField("closeness", T.ArrayType(T.DoubleType()))])
-    return add_columns(docs, text, new, make, keep)
+    if keep is None:
+        keep = without(docs, new.names).columns
+    both, id_ = fresh(docs, "text_and_key"), F.col(f"`{key}`") if key in docs.columns else F.lit(None)
+    return add_columns(docs.withColumn(both, F.struct(F.col(f"`{text}`").alias("text"), id_.cast("long").alias("key"))), both, new, make, keep)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
