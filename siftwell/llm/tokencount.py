@@ -11,19 +11,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from siftwell.llm.common import add_columns, materialise, scratch_dir, table
 
 BLOCK_BYTES = 4 << 20
 KEY_TOKENS = 5
 """Ids below 2^15 that spell a document's key in front of its tokens; none of them can be the separator."""
+NO_KEY = 1 << 14
+"""Bit of the last of these ids that marks a null key; a key's own bits end below it."""
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str, pattern: str, end_of_document: int, key: str = "doc_id", text: str = "text") -> None:
     """Write each whole text as ``key, token ids, separator`` to flat files of little-endian 16-bit ids.
 
-    Null texts have no tokens; a null key is written as -1.  Spark's text writer puts the bytes and the separator
+    Null texts have no tokens, and a null key is marked as such, so every row has its document, repeated rows and keys
+    too; other columns are not read.  An empty table gives a folder without documents.  Spark's text writer puts the bytes and the separator
     (as its line separator) wherever the folder is, so no file is held in memory and a lost task is redone.
     """
     if not 0x7FFF < end_of_document < 0x10000 or end_of_document & 0xFF == 0 or end_of_document >> 8 == 0:
@@ -38,8 +41,10 @@ def write_token_files(docs: DataFrame, folder: str, path: str, pattern: str, end
         for batch in texts:
             yield [pa.array([coder.encode_to_numpy(v.as_py() or "", disallowed_special=()).astype("<u2").tobytes() for v in batch], pa.binary())]
 
-    coded = add_columns(docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-1)).alias("key"), text), text, T.StructType([T.StructField("ids", T.BinaryType())]), make, ["key"])
-    digit = [F.shiftrightunsigned("key", 15 * i).bitwiseAND(F.lit(0x7FFF)) for i in range(KEY_TOKENS)]
+    coded = add_columns(docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")), "text", T.StructType([T.StructField("ids", T.BinaryType())]), make, ["key"])
+    known = F.coalesce("key", F.lit(0).cast("long"))
+    digit = [F.shiftrightunsigned(known, 15 * i).bitwiseAND(F.lit(0x7FFF)) for i in range(KEY_TOKENS)]
+    digit[-1] = digit[-1].bitwiseOR(F.when(F.col("key").isNull(), NO_KEY).otherwise(0))
     hexed = F.concat(*[F.concat(F.substring(h, 3, 2), F.substring(h, 1, 2)) for h in (F.lpad(F.hex(d), 4, "0") for d in digit)])
     line = F.concat(F.unhex(hexed), F.col("ids")).cast("string")
     separator = end_of_document.to_bytes(2, "little").decode("latin-1")
@@ -98,6 +103,12 @@ def scan_token_files(spark: SparkSession, folder: str, end_of_document: int, wid
     return inside.unionByName(crossing).unionByName(tail)
 
 
+def key_of(head: Column) -> Column:
+    """The key that a document's first ids spell, null if marked so."""
+    key = F.aggregate(F.transform(head, lambda x, i: F.call_function("shiftleft", x.cast("long"), i * 15)), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    return F.when(F.get(head, F.lit(KEY_TOKENS - 1)).bitwiseAND(F.lit(NO_KEY)) == 0, key)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every document to flat token files, then count each one's tokens by scanning them."""
     import public_tokenizers
@@ -105,8 +116,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, end = scratch_dir(spark, "tokens"), 50_256
     write_token_files(table(spark, sf_dir, "documents", "doc_id", "text"), folder, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, end)
     found = scan_token_files(spark, folder, end, head=KEY_TOKENS)
-    key = F.aggregate(F.transform("head", lambda x, i: F.call_function("shiftleft", x.cast("long"), i * 15)), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
-    return found.select(key.alias("doc_id"), (F.col("n_tokens") - KEY_TOKENS).alias("n_tokens"))
+    return found.select(key_of(F.col("head")).alias("doc_id"), (F.col("n_tokens") - KEY_TOKENS).alias("n_tokens"))
 
 
 QUERIES = {"op5_token_counts": op5_token_counts}
