@@ -94,7 +94,7 @@ def top_products(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataF
 
     Both frames are ``vec_id, ints, norm2`` as of :func:`integer_vectors`.  A query is no candidate of its own;
     ties go to the smaller id; shorter vectors are read as padded with zeros.  Repeated ids are repeated
-    candidates.  Empty frames give no rows.  Exact while 64-bit integers hold the products.
+    candidates.  Equal query rows are one query; an id with several vectors is as many queries, each with its list.  Empty frames give no rows.  Exact while 64-bit integers hold the products.
 
     Every query first meets the ``HEAD`` longest vectors, which gives the score it has to beat.  The candidates,
     sorted by length, and the queries are packed; a pair of packs is one row, dropped before the shuffle of its
@@ -102,7 +102,8 @@ def top_products(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataF
     the singular vectors of all candidates, from the sum of their outer products.
     """
     spark = candidates.sparkSession
-    candidates, queries = materialise(candidates, "candidates"), materialise(queries, "queries")
+    candidates = materialise(candidates, "candidates")
+    queries = materialise(queries.dropDuplicates(["vec_id", "ints"]).withColumn("query", F.monotonically_increasing_id()), "queries")
     dim = candidates.select(F.max(F.size("ints"))).union(queries.select(F.max(F.size("ints")))).agg(F.max("max(size(ints))")).first()[0] or 1
     rotation = np.linalg.eigh(_gram(candidates, dim))[1][:, ::-1]
     head = candidates.orderBy(F.desc("norm2"), "vec_id").limit(HEAD).collect()
@@ -116,7 +117,7 @@ def top_products(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataF
             for n, _, score in Search(rotation).best(q_ids, q, low, ids, c, k):
                 if len(score) >= k:
                     low[n] = score[-1]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low)], names=["vec_id", "ints", "norm2", "low"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low)], names=["vec_id", "ints", "norm2", "query", "low"])
 
     def packs(size: int, columns: list[str]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,37 +125,38 @@ def top_products(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataF
                 for at in range(0, len(batch), size):
                     part = batch.slice(at, size)
                     ids, m = part.column(0).to_numpy(zero_copy_only=False), _matrix(part.column(1), dim)
-                    low = part.column(3).to_numpy() if "low" in columns else np.zeros(0)
+                    low = part.column(4).to_numpy() if columns else np.zeros(0)
+                    rows = part.column(3).to_numpy(zero_copy_only=False).astype(np.int64) if columns else np.zeros(0, np.int64)
                     norm = float(part.column(2).to_numpy().max()) ** 0.5
-                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (norm, float(low.min()) if len(low) else 0.0, ids.tobytes(), m.tobytes(), low.tobytes())], names=["norm", "low", "ids", "ints", "lows"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (norm, float(low.min()) if len(low) else 0.0, ids.tobytes(), m.tobytes(), low.tobytes(), rows.tobytes())], names=["norm", "low", "ids", "ints", "lows", "rows"])
 
         return run
 
-    pack_schema = "norm double, low double, ids binary, ints binary, lows binary"
+    pack_schema = "norm double, low double, ids binary, ints binary, lows binary, rows binary"
     n_candidates = max(1, -(-candidates.count() // PACK))
     ordered = candidates.repartitionByRange(n_candidates, F.desc("norm2"), "vec_id").sortWithinPartitions(F.desc("norm2"), "vec_id")
     c_packs = materialise(ordered.mapInArrow(packs(PACK, []), pack_schema).withColumn("c", F.monotonically_increasing_id()), "packs")
-    lows = queries.select("vec_id", "ints", "norm2").mapInArrow(floors, "vec_id long, ints array<long>, norm2 long, low double")
+    lows = queries.select("vec_id", "ints", "norm2", "query").mapInArrow(floors, "vec_id long, ints array<long>, norm2 long, query long, low double")
     spread = lows.repartitionByRange(max(1, -(-queries.count() // QUERY_PACK)), F.desc("norm2"), "vec_id")
-    q_packs = materialise(spread.mapInArrow(packs(QUERY_PACK, ["low"]), pack_schema).withColumn("q", F.monotonically_increasing_id()), "packs")
+    q_packs = materialise(spread.mapInArrow(packs(QUERY_PACK, ["query", "low"]), pack_schema).withColumn("q", F.monotonically_increasing_id()), "packs")
     # which packs meet follows from their lengths and thresholds alone: rows without vectors, one per pack
     bound = q_packs.select("q", F.col("norm").alias("q_norm"), F.col("low").alias("q_low"))
     pairs = c_packs.select("c", "norm").join(bound, F.col("norm") * F.col("q_norm") * (1 + 1e-9) + 1 >= F.col("q_low"))
-    both = pairs.select("c", "q").join(c_packs.select("c", F.col("ids").alias("c_ids"), F.col("ints").alias("c_ints")), "c").join(q_packs.select("q", "ids", "ints", "lows"), "q")
+    both = pairs.select("c", "q").join(c_packs.select("c", F.col("ids").alias("c_ids"), F.col("ints").alias("c_ints")), "c").join(q_packs.select("q", "ids", "ints", "lows", "rows"), "q")
 
     def search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         finder, out = Search(shared.value[0]), []
         for r in rows.itertuples():
-            q_ids, ids = np.frombuffer(r.ids, np.int64), np.frombuffer(r.c_ids, np.int64)
+            q_ids, ids, numbers = np.frombuffer(r.ids, np.int64), np.frombuffer(r.c_ids, np.int64), np.frombuffer(r.rows, np.int64)
             q, c = np.frombuffer(r.ints, np.int64).reshape(-1, dim), np.frombuffer(r.c_ints, np.int64).reshape(-1, dim)
             for n, found, score in finder.best(q_ids, q, np.frombuffer(r.lows), ids, c, k):
-                out.append((np.full(len(found), q_ids[n]), found, score))
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
+                out.append((np.full(len(found), numbers[n]), np.full(len(found), q_ids[n]), found, score))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
+        return pd.DataFrame(dict(zip(("query", "query_id", "vec_id", "score"), columns, strict=True)))
 
     # a pack of candidates in each group: one pair of packs is in memory at a time
-    found = both.groupBy("c", "q").applyInPandas(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = both.groupBy("c", "q").applyInPandas(search, "query long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -171,10 +173,8 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ),
-s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
-),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+q AS (SELECT *, row_number() OVER () AS query FROM (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 20 = 0)),
+s AS (SELECT query, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM q JOIN v c ON c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= {K}"""
 }
