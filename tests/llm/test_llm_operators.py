@@ -178,10 +178,29 @@ def test_toxicity_learns_and_explains(spark, messy):
     assert all(k % 4 == 0 for k in out[304].evidence) and out[304].closeness == sorted(out[304].closeness, reverse=True)
     odd = toxicity.score(messy, model).collect()
     assert len(odd) == messy.count() and all(0 <= r.score <= 1 for r in odd)
+    every = toxicity.score(docs, model).collect()
+    assert all(r.doc_id not in r.evidence for r in every) and sum(len(r.evidence) > 0 for r in every) > 300
+    unkeyed = {r.doc_id: r for r in toxicity.score(docs, model, key="no_such_column").collect()}
+    assert sum(i in unkeyed[i].evidence for i in range(300)) > 20
     nothing = toxicity.fit_joined(docs, labels.where("false"))
     assert {r.score for r in toxicity.score(messy, nothing).collect()} == {0.0}
 
 
+def test_own_labels_do_not_change_a_score(spark):
+    """Turning round the label of a learned document, whose id stands twice, leaves its own score as it is."""
+    rows = [(i, f"the day was {'vile' if i % 4 == 0 else 'fine'} and so on") for i in range(80)] + [(8, "the day was vile indeed")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(i, int(i % 4 == 0)) for i in range(80)]
+    seen = []
+    for own in (1, 0):
+        model = toxicity.fit_joined(docs, spark.createDataFrame([(i, own if i == 8 else y) for i, y in labels], "doc_id long, toxic int"))
+        index, keys = toxicity.BlockMaxIndex(model.vectors, len(model.terms)), toxicity.rows_of_keys(model.keys)
+        near = index.nearest(*toxicity.Vectors(model.terms, model.idf).of("the day was vile and so on"), 15, keys[8])
+        seen.append(8 in [model.keys[i] for i in near[0]])
+        assert len(keys[8]) == 2
+    assert seen == [False, False]
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(3)
     vectors = []
@@ -196,7 +215,7 @@ def test_block_max_search_is_exact():
     for row in range(0, 500, 7):
         scores = dense @ dense[row]
         scores[row] = -1
-        _, close = index.nearest(*vectors[row], 10, skip=row)
+        _, close = index.nearest(*vectors[row], 10, [row])
         assert np.allclose(close, sorted(scores[scores > 0], reverse=True)[:10], atol=1e-5)
 
 
@@ -213,6 +232,22 @@ def test_token_counts(spark, messy):
         assert sorted(r.n_tokens for r in tokencount.scan_token_files(spark, folder, end, head=5, block_bytes=block).collect()) == want
 
 
+def test_token_counts_keep_their_keys(spark, tmp_path):
+    """Null keys, -1, the largest keys, repeated rows, a clashing column name, and an empty table."""
+    path, end = public_tokenizers.path("byte_bpe_50k.tiktoken"), 50_256
+    exact = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    rows = [(None, "no key"), (-1, "minus one here"), (0, None), (7, "twice"), (7, "twice"), (2**63 - 1, "a b c d"), (-(2**63), "x" * 50), (50256, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(5)).withColumn("ids", F.lit("x"))
+    folder = tokencount.scratch_dir(spark, "tokens")
+    tokencount.write_token_files(docs, folder, path, public_tokenizers.PATTERN, end)
+    found = tokencount.scan_token_files(spark, folder, end, head=tokencount.KEY_TOKENS, block_bytes=16)
+    got = found.select(tokencount.key_of(F.col("head")), F.col("n_tokens") - tokencount.KEY_TOKENS).collect()
+    assert sorted_rows(got) == sorted_rows((k, len(exact.encode_ordinary(t or ""))) for k, t in rows)
+    folder = tokencount.scratch_dir(spark, "tokens")
+    tokencount.write_token_files(docs.limit(0), folder, path, public_tokenizers.PATTERN, end)
+    assert tokencount.scan_token_files(spark, folder, end, head=5).count() == 0
+
+
 @pytest.mark.parametrize("width", [2, 4])
 def test_separator_scan_over_blocks(spark, tmp_path, width):
     random.seed(width)
@@ -279,13 +314,14 @@ def test_exact_top_k(spark, monkeypatch):
     data += [(i, data[3][1]) for i in range(400, 460)] + [(500, None), (520, [1.0, None]), (540, [float("nan")]), (560, [float("inf")]), (580, [1.0, 2.0]), (600, []), (20, data[7][1])]
     vectors = topk.integer_vectors(spark.createDataFrame(data, "vec_id long, embedding array<float>"))
     got = collections.defaultdict(list)
-    for r in topk.top_products(vectors, vectors.where("vec_id % 20 = 0 AND vec_id <> 20"), 7).collect():
+    queries = vectors.where("vec_id % 20 = 0")
+    for r in topk.top_products(vectors, queries.union(queries.where("vec_id IN (20, 40)")), 7).collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
     ints = [(r.vec_id, np.pad(np.array(r.ints, np.int64), (0, 24 - len(r.ints)))) for r in vectors.collect()]
     for own, q in ints:
-        if own % 20 == 0 and own != 20:
-            best = sorted((-int(q @ c), i) for i, c in ints if i != own)[:7]
-            assert sorted(got[own]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+        if own % 20 == 0:  # 20 has two vectors, so two lists; rows that stand twice are one query
+            want = [(k + 1, i, -s) for v in {tuple(c) for i, c in ints if i == own} for k, (s, i) in enumerate(sorted((-int(np.array(v) @ c), i) for i, c in ints if i != own)[:7])]
+            assert sorted(got[own]) == sorted(want)
     none = vectors.where("false")
     assert topk.top_products(none, none).count() == 0
 
