@@ -119,7 +119,8 @@ def bucket_weights(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id", text
 
     ``ids`` (``doc_id, trusted``) is of bounded size and broadcast; the explode is counted before it is shuffled.
     """
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.explode(buckets_of(words_of(F.col(f"`{text}`")))).alias("bucket"))
+    # outer: an inner explode would put a filter on the array below, which hashes every text once more
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.explode_outer(buckets_of(words_of(F.col(f"`{text}`")))).alias("bucket")).where("bucket IS NOT NULL")
     counts = rows.join(F.broadcast(ids), "doc_id", "left").groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("trusted").alias("target"))
     counts = materialise(counts, "buckets")
     totals = counts.agg(F.coalesce(F.sum("target"), F.lit(0)).alias("t"), F.coalesce(F.sum("raw"), F.lit(0)).alias("r")).first()
