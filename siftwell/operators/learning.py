@@ -69,19 +69,40 @@ def synthetic_size(n_minority: int, n_majority: int, ratio: float = 0.3) -> int:
     return max(0, int(n_majority * ratio) - n_minority)
 
 
+PIVOTS = 64
+"""Rows whose cells the rows of a class are cut into; more of them make smaller cells and longer rows."""
+
+
 def nearest_in_class(rows: DataFrame, k: int = 3, embedding: str = "embedding", uid: str = "uid",
-                     cells: int = 0, probe: int = 1) -> DataFrame:
-    """k nearest neighbours of each row of one class: (uid, rank, neighbour, embedding, n_embedding).
+                     cells: int = 0, pivots: int = PIVOTS, block_rows: int = 20_000) -> DataFrame:
+    """k nearest neighbours of each row of one class: (uid, rank, neighbour, distance, embedding, n_embedding).  Exact; ties to the smaller uid.
 
-    The rows are cut into blocks and every block meets every block once, each pair of blocks in its
-    own group; a block pair keeps only its best k per row, which are merged afterwards.  Exact.
+    Rows go to the cell of the nearest pivot (``cells`` of them, or up to ``pivots``), and each first searches its own
+    cell, which bounds the distance of its k-th neighbour.  By the triangle inequality a row can have a nearer one in
+    another cell only if its distance to that cell's pivot, less the cell's radius, is within that bound; no other row
+    is sent there.  A cell of more than ``block_rows`` rows is searched block by block, so no task holds more than two blocks.
     """
-    n_blocks = max(1, cells)
-    block = F.pmod(F.xxhash64(uid), F.lit(n_blocks))
     base = rows.select(F.col(uid).cast("string").alias("uid"), F.col(embedding).cast("array<double>").alias("e"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    queries = base.select("uid", "e", block.alias("q"), others.alias("t"))
-    targets = base.select("uid", "e", block.alias("t"), others.alias("q"))
+    base = materialise(base.filter(F.col("e").isNotNull()), "class")
+    from siftwell.operators.sampling import shuffled
+
+    centres = shuffled(base).limit(cells or pivots).collect()  # a bounded number
+    if not centres:
+        return base.select("uid", F.lit(0).alias("rank"), F.col("uid").alias("neighbour"), F.lit(0.0).alias("distance"), F.col("e").alias("embedding"), F.col("e").alias("n_embedding"))
+    points = np.array([c["e"] for c in centres])
+
+    def place(batches):
+        for pdf in batches:
+            x = np.stack(pdf["e"].to_numpy())
+            d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (points * points).sum(1) - 2 * x @ points.T, 0))
+            yield pdf.assign(cell=d.argmin(1).astype("int64"), far=list(d))
+
+    placed = materialise(base.mapInPandas(place, "uid string, e array<double>, cell long, far array<double>"), "cells")
+    sizes = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max(F.get("far", F.col("cell").cast("int"))).alias("radius")).collect()  # one row per pivot
+    blocks = {r["cell"]: max(1, -(-r["n"] // block_rows)) for r in sizes}
+    radius = {r["cell"]: r["radius"] for r in sizes}
+    parts = F.get(F.array(*[F.lit(blocks.get(c, 1)) for c in range(len(points))]), F.col("cell").cast("int"))
+    blocked = placed.withColumn("block", F.pmod(F.xxhash64("uid"), parts))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         columns = ["uid", "neighbour", "distance"]
@@ -99,10 +120,25 @@ def nearest_in_class(rows: DataFrame, k: int = 3, embedding: str = "embedding",
                 out += [(left["uid"].iat[start + i], names[j], d[i, j]) for j in row if np.isfinite(d[i, j])]
         return pd.DataFrame(out, columns=columns)
 
-    pairs = queries.groupBy("q", "t").cogroup(targets.groupBy("q", "t")).applyInPandas(
-        best, "uid string, neighbour string, distance double")
+    def search(queries: DataFrame, cells_of: Column) -> DataFrame:
+        """Each query against every block of the cells it names."""
+        every = F.transform(cells_of, lambda c: F.transform(F.sequence(F.lit(0), F.get(F.array(*[F.lit(blocks.get(x, 1)) for x in range(len(points))]), c) - 1),
+                                                            lambda b: F.struct(c.cast("long").alias("cell"), b.cast("long").alias("block"))))
+        sent = queries.select(F.col("uid").alias("uid"), F.col("e").alias("e"), F.pmod(F.xxhash64("uid"), F.lit(max(blocks.values()))).alias("q"), F.explode(F.flatten(every)).alias("t")).select("uid", "e", "q", "t.cell", "t.block")
+        asked = sent.select(*[F.col(c).alias(f"_{c}") for c in ("q", "cell", "block")]).distinct()
+        targets = blocked.join(asked, (F.col("cell") == F.col("_cell")) & (F.col("block") == F.col("_block")))
+        targets = targets.select(F.col("uid").alias("uid"), F.col("e").alias("e"), F.col("_q").alias("q"), F.col("_cell").alias("cell"), F.col("_block").alias("block"))
+        return sent.groupBy("q", "cell", "block").cogroup(targets.groupBy("q", "cell", "block")).applyInPandas(best, "uid string, neighbour string, distance double")
+
+    own = materialise(search(blocked, F.array(F.col("cell").cast("int"))), "own")
+    bound = own.groupBy("uid").agg(F.sort_array(F.collect_list("distance")).alias("d")).select("uid", F.sqrt(F.get("d", F.lit(k - 1))).alias("kth"))
+    reach = F.coalesce("kth", F.lit(float("inf"))) + 1e-6
+    others = F.filter(F.sequence(F.lit(0), F.lit(len(points) - 1)), lambda c: (c != F.col("cell")) & F.array_contains(F.array(*[F.lit(x) for x in sorted(radius)]), c)
+                      & (F.get("far", c) - F.get(F.array(*[F.lit(float(radius.get(x, 0.0))) for x in range(len(points))]), c) <= reach))
+    far = blocked.join(bound, "uid", "left").withColumn("others", others).filter(F.size("others") > 0)
+    found = own.unionByName(search(far, F.col("others")))
     w = Window.partitionBy("uid").orderBy("distance", "neighbour")
-    near = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    near = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     ends = base.select(F.col("uid").alias("neighbour"), F.col("e").alias("n_embedding"))
     return near.join(base.withColumnRenamed("e", "embedding"), "uid").join(ends, "neighbour").select(
         "uid", "rank", "neighbour", "distance", "embedding", "n_embedding")
@@ -122,7 +158,7 @@ def oversample(df: DataFrame, ratio: float = 0.3, k: int = 3, label: str = "labe
     if need == 0:
         return plain
     rows = plain.filter(F.col(label) == minority)
-    near = nearest_in_class(rows, k, "embedding", "uid", cells=-(-counts[minority] // block_rows))
+    near = nearest_in_class(rows, k, "embedding", "uid", block_rows=block_rows)
     share, rest = divmod(need, counts[minority])
     from siftwell.operators.sampling import draw_key, take_random
 

@@ -72,24 +72,21 @@ def _mark(placed: DataFrame, columns: list[str], groups: list[str], uid: str) ->
 MAX_BROADCAST_GROUPS = 50_000
 
 
-def mark_quotas(df: DataFrame, group: str, quotas: DataFrame, uid: str = "uid", seed: int = 42) -> DataFrame:
+def mark_quotas(df: DataFrame, group: str, quotas: DataFrame, uid: str = "uid", seed: int = 42, few_groups: bool | None = None) -> DataFrame:
     """Add ``_pick``: true for exactly min(quota, rows) random rows of each group, false elsewhere.
 
     ``quotas`` is (group, quota).  A histogram of hash slots finds the slot where each quota ends; rows
     before it are picked by comparison and only the rows of that slot are ordered.  No group, however
-    large, is shuffled or sorted as a whole.  The limits are one row per group: broadcast when their
-    number is small enough, joined otherwise.
+    large, is shuffled or sorted as a whole.  The limits are one row per group.  With ``few_groups`` the caller
+    states that groups are few by nature (strata, score bins, labels): limits are broadcast and no job runs while the
+    plan is built.  Without it they are counted first, and broadcast up to MAX_BROADCAST_GROUPS.
     """
-    known = quotas.select(group, F.col("quota").cast("long").alias("quota")).limit(MAX_BROADCAST_GROUPS + 1).collect()
-    few = len(known) <= MAX_BROADCAST_GROUPS
-    if few:
-        kind = quotas.schema[group].dataType.simpleString()
-        quotas = df.sparkSession.createDataFrame(known, f"`{group}` {kind}, quota long")
+    quotas = quotas.select(F.col(group).alias("_group"), F.col("quota").cast("long").alias("quota"))
+    few = few_groups if few_groups is not None else quotas.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS
     keyed = _keyed(df, uid, seed)
-    quotas = quotas.select(F.col(group).alias("_group"), "quota")
     same = F.col(group).eqNullSafe(F.col("_group"))  # a NULL group is a group
-    histogram = keyed.join(F.broadcast(quotas) if few else quotas, same).groupBy("_group", "quota", "_slot").agg(
-        F.count("*").alias("n"))
+    counts = keyed.groupBy(group, "_slot").agg(F.count("*").alias("n"))
+    histogram = counts.join(F.broadcast(quotas) if few else quotas, same).select("_group", "quota", "_slot", "n")
     upto = Window.partitionBy("_group").orderBy("_slot")
     cuts = (histogram.withColumn("_before", F.sum("n").over(upto) - F.col("n"))
             .filter((F.col("_before") < F.col("quota")) & (F.col("_before") + F.col("n") >= F.col("quota")))
@@ -99,9 +96,9 @@ def mark_quotas(df: DataFrame, group: str, quotas: DataFrame, uid: str = "uid",
     return _mark(placed, df.columns, [group], uid)
 
 
-def quota_sample(df: DataFrame, group: str, quotas: DataFrame, uid: str = "uid", seed: int = 42) -> DataFrame:
+def quota_sample(df: DataFrame, group: str, quotas: DataFrame, uid: str = "uid", seed: int = 42, few_groups: bool | None = None) -> DataFrame:
     """Exactly min(quota, rows) rows of each group; groups without a quota give none."""
-    return _picked(mark_quotas(df, group, quotas, uid, seed))
+    return _picked(mark_quotas(df, group, quotas, uid, seed, few_groups))
 
 
 def literal_quotas(df: DataFrame, group: str, quotas: dict[str, int]) -> DataFrame:
@@ -132,17 +129,35 @@ def stratified_sample(df: DataFrame, target: int, strata=STRATA, uid: str = "uid
         label = F.when((p >= low) & (p < high), name).otherwise(label)
         quotas[name] = int(target * share)
     marked = df.withColumn("stratum", label).filter(F.col("stratum").isNotNull())
-    return quota_sample(marked, "stratum", literal_quotas(df, "stratum", quotas), uid, seed)
+    return quota_sample(marked, "stratum", literal_quotas(df, "stratum", quotas), uid, seed, few_groups=True)
 
 
 def minimum_per_bin_sample(df: DataFrame, target: int, minimum: int, bin_col: str = "score_bin",
                            uid: str = "uid", seed: int = 42) -> DataFrame:
-    """At least ``minimum`` rows per bin (all if fewer), topped up at random to ``target``."""
-    sizes = df.groupBy(bin_col).agg(F.count("*").alias("n"))
-    marked = mark_quotas(df, bin_col, sizes.select(bin_col, F.lit(minimum).alias("quota")), uid, seed)
-    taken = sizes.agg(F.sum(F.least("n", F.lit(minimum))).alias("n")).scalar()
-    more = _mark_first(marked.filter("NOT _pick").drop("_pick"), F.lit(target) - taken, uid, seed)
-    return _picked(marked).unionByName(_picked(more))
+    """At least ``minimum`` rows per bin (all if fewer), topped up at random to ``target``.
+
+    One histogram of (bin, hash slot) decides both: where each bin's minimum ends, and, over what then remains in the
+    slots of all bins, where the top-up ends.  One pass marks the rows; only those of the slots at these ends are ordered.
+    Bins are few by nature, so their limits are broadcast.
+    """
+    keyed = _keyed(df, uid, seed)
+    taken_of = lambda quota, upto, n: F.least(F.greatest(quota - (upto - n), F.lit(0)), n)
+    upto = F.sum("n").over(Window.partitionBy(bin_col).orderBy("_slot"))
+    slots = keyed.groupBy(bin_col, "_slot").agg(F.count("*").alias("n")).withColumn("_got", taken_of(F.lit(minimum), upto, F.col("n")))
+    last = lambda got: F.max(F.when(F.col(got) > 0, F.struct(F.col("_slot").alias("slot"), F.col(got).alias("left"))))
+    firsts = slots.groupBy(F.col(bin_col).alias("_bin")).agg(last("_got").alias("_first"))
+    rest = slots.groupBy("_slot").agg(F.sum(F.col("n") - F.col("_got")).alias("n"), F.sum("_got").alias("_g"))
+    over = F.sum("n").over(Window.orderBy("_slot"))  # over at most 16**HEX rows
+    more = rest.withColumn("_more", taken_of(target - F.sum("_g").over(Window.partitionBy()), over, F.col("n")))
+    placed = keyed.join(F.broadcast(firsts), F.col(bin_col).eqNullSafe(F.col("_bin")), "left").withColumn("_topup", more.agg(last("_more").alias("t")).scalar())
+    before = lambda cut: F.coalesce(F.col("_slot") < F.col(f"{cut}.slot"), F.lit(False))
+    at = lambda cut: F.coalesce(F.col("_slot") == F.col(f"{cut}.slot"), F.lit(False))
+    edge = at("_first") | at("_topup")
+    sure = placed.filter(~edge & (before("_first") | before("_topup"))).select(*df.columns)
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by, "_slot").orderBy("_key", uid))
+    ends = placed.filter(edge).withColumn("_rn", rank(bin_col)).withColumn("_own", before("_first") | at("_first") & (F.col("_rn") <= F.col("_first.left")))
+    ends = ends.withColumn("_rn", rank("_own"))
+    return sure.unionAll(ends.filter(F.col("_own") | before("_topup") | at("_topup") & (F.col("_rn") <= F.col("_topup.left"))).select(*df.columns))
 
 
 def bin_quotas(df: DataFrame, target: int, done: DataFrame, bin_col: str = "score_bin") -> DataFrame:
@@ -163,7 +178,7 @@ def annotation_queue(df: DataFrame, annotated: DataFrame, quotas: DataFrame, bin
                      uid: str = "uid", seed: int = 42) -> DataFrame:
     """Next rows to annotate: random within the bins that still have quota, annotated ones left out."""
     open_rows = df.join(annotated.select(uid), uid, "left_anti")
-    return quota_sample(open_rows, bin_col, quotas.select(bin_col, F.col("remaining").alias("quota")), uid, seed)
+    return quota_sample(open_rows, bin_col, quotas.select(bin_col, F.col("remaining").alias("quota")), uid, seed, few_groups=True)
 
 
 def most_uncertain(df: DataFrame, n: int, strategy: str = "entropy", invalid_rate: float = 0.38,
@@ -217,5 +232,5 @@ def stratified_split(df: DataFrame, test_share: float = 0.2, label: str = "label
     ceil(share * rows) test rows in all, spread over the labels in proportion, the largest remainders
     first.
     """
-    marked = mark_quotas(df, label, proportional_quotas(df, label, test_share), uid, seed)
+    marked = mark_quotas(df, label, proportional_quotas(df, label, test_share), uid, seed, few_groups=True)
     return marked.withColumn("split", F.when(F.col("_pick"), "test").otherwise("train")).drop("_pick")

@@ -61,6 +61,22 @@ def i04(spark, sf):
     return learning.oversample(_rare(spark, sf)).groupBy("label").agg(F.count("*").alias("n"))
 
 
+@query("i04_synthetic_rows", """
+    SELECT CAST(floor((SELECT count(*) FROM embeddings WHERE label > 0) * 0.3) AS BIGINT) - count(*) AS n, TRUE AS on_lines, TRUE AS within FROM embeddings WHERE label < 1""")
+def i04_lines(spark, sf):
+    """Every synthetic vector lies on the line from its row to one of that row's three nearest neighbours."""
+    rows = _rare(spark, sf)
+    made = learning.oversample(rows).filter(F.col("uid").startswith("synthetic-")).select(
+        F.col("uid").alias("made"), F.regexp_extract("uid", "^synthetic-(.*)-[0-9]+$", 1).alias("uid"), F.col("embedding").alias("s"))
+    near = learning.nearest_in_class(rows.filter("label = 1").select("uid", "embedding"))
+    both = made.join(near, "uid").withColumn("u", F.zip_with("n_embedding", "embedding", lambda a, b: a - b)).withColumn("v", F.zip_with("s", "embedding", lambda a, b: a - b))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    gap = dot("u", "v") / F.nullif(dot("u", "u"), F.lit(0.0))
+    off = F.sqrt(F.abs(dot("v", "v") - F.coalesce(gap * dot("u", "v"), F.lit(0.0))))
+    per = both.withColumn("off", off).withColumn("gap", F.coalesce(gap, F.lit(0.0))).groupBy("made").agg(F.min(F.struct("off", "gap")).alias("b"))
+    return per.agg(F.count("*").alias("n"), F.bool_and(F.col("b.off") < 1e-6).alias("on_lines"), F.bool_and(F.col("b.gap").between(-1e-9, 1 + 1e-9)).alias("within"))
+
+
 STUMP = "Stump"
 
 

@@ -165,14 +165,40 @@ def _spearman_sql(source: str, x: str, y: str) -> str:
             f"FROM {source} WHERE {x} IS NOT NULL AND {y} IS NOT NULL)")
 
 
+def _student_sql(t: str, v: str) -> str:
+    """Two-sided p of Student's t with v degrees of freedom, as the finite sums that hold for whole v."""
+    c2 = f"({v} / ({v} + pow({t}, 2)))"
+    total = lambda last, weight: f"(1 + coalesce(list_sum(list_transform(range(1, CAST({last} AS BIGINT) + 1), lambda j: {weight} * pow({c2}, j))), 0))"
+    even = total(f"({v} - 2) / 2", "exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi())")
+    odd = total(f"({v} - 3) / 2", "exp(lgamma(j + 1) - lgamma(j + 1.5)) * sqrt(pi()) / 2")
+    side = f"sqrt(1 - {c2})"
+    return (f"CASE WHEN {t} IS NULL THEN NULL WHEN {v} % 2 = 0 THEN 1 - {side} * {even} "
+            f"ELSE 1 - 2 / pi() * (atan(abs({t}) / sqrt({v})) + CASE WHEN {v} > 1 THEN {side} * sqrt({c2}) * {odd} ELSE 0 END) END")
+
+
+def _normal_sql(z: str) -> str:
+    """Two-sided p of the standard normal, by the series of its integral."""
+    term = f"exp((2 * k + 1) * ln(abs({z})) - (k + 1) * ln(2.0::DOUBLE) - lgamma(k + 1.5) + ln(pi()) / 2 - pow({z}, 2) / 2)"
+    return f"CASE WHEN {z} = 0 THEN 1.0 ELSE 1 - 2 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 400), lambda k: {term})) END"
+
+
+_T_OF_RHO = "rho * sqrt((n - 2) / nullif((1 - rho) * (1 + rho), 0))"
+
+
+def _rho_p_sql(source: str, keys: str = "") -> str:
+    """p of rank correlations ``n, rho`` (and keys); none below three pairs, 0 for a perfect one."""
+    return f"""SELECT {keys}n, round(rho, 6) AS rho, round(CASE WHEN abs(rho) = 1 THEN 0.0 ELSE {_student_sql("t", "(n - 2)")} END, 6) AS p
+    FROM (SELECT *, {_T_OF_RHO} AS t FROM (SELECT * REPLACE (CASE WHEN n >= 3 THEN greatest(least(round(rho, 12), 1.0), -1.0) END AS rho) FROM ({source})))"""
+
+
 @query("j02_spearman", _spearman_sql("lab", "score", "pred_proba"))
 def j02(spark, sf):
     return t.rounded(survey.spearman(t.lab(spark, sf), "score", "pred_proba").select("n", "rho"), "rho")
 
 
-@query("j02_spearman_p")
+@query("j02_spearman_p", _rho_p_sql(_spearman_sql("lab", "score", "pred_proba").replace("round(corr(rx, ry), 6)", "corr(rx, ry)")))
 def j02p(spark, sf):
-    return survey.spearman(t.lab(spark, sf), "score", "pred_proba")
+    return t.rounded(survey.spearman(t.lab(spark, sf), "score", "pred_proba").select("n", "rho", "p"), "rho", "p")
 
 
 @query("j03_respondent_severity", "SELECT 'years' AS trait, * FROM (" + _spearman_sql("severity", "years", "severity")
@@ -201,10 +227,13 @@ def j04(spark, sf):
     return t.rounded(out.select("a", "b", "n", "rho"), "rho")
 
 
-@query("j04_rank_agreement_p")
+@query("j04_rank_agreement_p", _rho_p_sql("""
+    SELECT a.school AS a, b.school AS b, count(*) AS n, corr(a.rank, b.rank) AS rho
+    FROM group_ranks a JOIN group_ranks b ON a.school < b.school AND a.criterion = b.criterion GROUP BY 1, 2""", "a, b, "))
 def j04p(spark, sf):
     ranks = group_ranks(spark, sf)
-    return survey.rank_agreement(ranks, "school", joins.unordered_pairs(ranks, "school"))
+    out = survey.rank_agreement(ranks, "school", joins.unordered_pairs(ranks, "school"))
+    return t.rounded(out.select("a", "b", "n", "rho", "p"), "rho", "p")
 
 
 @query("j05_kendall_w", """
@@ -243,9 +272,10 @@ def j07(spark, sf):
     return t.rounded(survey.effect_sizes(t.ratings(spark, sf)).select("criterion", "n", "d", "t"), "d", "t")
 
 
-@query("j07_one_sample_t_p")
+@query("j07_one_sample_t_p", f"""
+    SELECT criterion, n, round(t, 6) AS t, round({_student_sql("t", "(n - 1)")}, 6) AS p_t FROM (SELECT criterion, n, (mean - 3) / nullif(sd, 0) * sqrt(n) AS t FROM per_crit)""")
 def j07p(spark, sf):
-    return survey.effect_sizes(t.ratings(spark, sf))
+    return t.rounded(survey.effect_sizes(t.ratings(spark, sf)).select("criterion", "n", "t", "p_t"), "t", "p_t")
 
 
 @query("j08_wilcoxon", """
@@ -256,9 +286,14 @@ def j08(spark, sf):
     return survey.wilcoxon(t.ratings(spark, sf)).select("criterion", "n", "w")
 
 
-@query("j08_wilcoxon_p")
+@query("j08_wilcoxon_p", f"""
+    WITH r AS (SELECT criterion, rating - 3 AS x, rank() OVER (PARTITION BY criterion ORDER BY abs(rating - 3)) + (count(*) OVER (PARTITION BY criterion, abs(rating - 3)) - 1) / 2 AS r FROM ratings WHERE rating <> 3),
+    w AS (SELECT criterion, count(*)::DOUBLE AS n, least(COALESCE(sum(r) FILTER (WHERE x > 0), 0), COALESCE(sum(r) FILTER (WHERE x < 0), 0)) AS w FROM r GROUP BY 1),
+    ties AS (SELECT criterion, sum(pow(k, 3) - k) AS ties FROM (SELECT criterion, abs(x), count(*) AS k FROM r GROUP BY 1, 2) GROUP BY 1),
+    z AS (SELECT criterion, n, w, (w - n * (n + 1) / 4) / nullif(sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24), 0) AS z FROM w JOIN ties USING (criterion))
+    SELECT criterion, CAST(n AS BIGINT) AS n, w, round(z, 6) AS z, round({_normal_sql("z")}, 6) AS p_w FROM z""")
 def j08p(spark, sf):
-    return survey.wilcoxon(t.ratings(spark, sf))
+    return t.rounded(survey.wilcoxon(t.ratings(spark, sf)), "z", "p_w")
 
 
 @query("j09_bootstrap_weights", """

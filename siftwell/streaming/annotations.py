@@ -42,20 +42,19 @@ class LastWrite(StatefulProcessor):
     Null values of the order columns come first; of equal records the one already kept stays.
     """
 
-    def __init__(self, key: str, record: T.StructType, order: list[str], label: str) -> None:
-        self.key, self.record, self.order, self.label = key, record, order, label
+    def __init__(self, key: str, record: T.StructType, places: list[str], label: str) -> None:
+        self.key, self.record, self.places, self.label = key, record, places, label
 
     def init(self, handle) -> None:
         self.last = handle.getValueState("last", self.record)
 
     def _place(self, values: tuple) -> list[tuple]:
-        at = [self.record.fieldNames().index(c) for c in self.order]
-        return [(values[i] is not None, values[i]) if values[i] is not None else (False, 0) for i in at]
+        found = [values[self.record.fieldNames().index(c)] for c in self.places]
+        return [(v is not None, 0 if v is None else v) for v in found]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         names = self.record.fieldNames()
-        kept = self.last.get() if self.last.exists() else None
-        kept = None if kept is None else tuple(kept)
+        kept = tuple(self.last.get()) if self.last.exists() else None
         best = kept
         for row in rows:
             values = tuple(row[c] for c in names)
@@ -64,17 +63,25 @@ class LastWrite(StatefulProcessor):
         if best is not kept:
             self.last.update(best)
             before = None if kept is None else kept[names.index(self.label)]
-            yield Row(**{self.key: key[0], **dict(zip(names, best, strict=True)), "replaces": kept is not None, PREVIOUS: before})
+            shown = {c: v for c, v in zip(names, best, strict=True) if c not in self.places}
+            yield Row(**{self.key: key[0], **shown, "replaces": kept is not None, PREVIOUS: before})
 
     def close(self) -> None:
         pass
 
 
 def follow(log: DataFrame, output: str, checkpoint: str, key: str = "uid", label: str = "label", order: tuple[str, ...] = ("ts", "event_id")) -> None:
-    """Take in the log rows that are new since the last call with this checkpoint."""
-    record = T.StructType([f for f in log.schema.fields if f.name != key])
-    out = T.StructType([log.schema[key], *record.fields, T.StructField("replaces", T.BooleanType()), T.StructField(PREVIOUS, log.schema[label].dataType)])
-    changes = log.groupBy(key).transformWithState(LastWrite(key, record, list(order), label), outputStructType=out, outputMode="Update", timeMode="None")
+    """Take in the log rows that are new since the last call with this checkpoint.
+
+    Times are compared as microseconds, so that a kept record and a new one compare whatever the session's time zone.
+    """
+    kept = [f for f in log.schema.fields if f.name != key]
+    out = T.StructType([log.schema[key], *kept, T.StructField("replaces", T.BooleanType()), T.StructField(PREVIOUS, log.schema[label].dataType)])
+    timed = (T.TimestampType, T.TimestampNTZType, T.DateType)
+    places = [f"_place_{c}" for c in order]
+    placed = log.withColumns({p: F.unix_micros(F.col(c).cast("timestamp")) if isinstance(log.schema[c].dataType, timed) else F.col(c) for p, c in zip(places, order, strict=True)})
+    record = T.StructType([f for f in placed.schema.fields if f.name != key])
+    changes = placed.groupBy(key).transformWithState(LastWrite(key, record, places, label), outputStructType=out, outputMode="Update", timeMode="None")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{output}/changes/batch={batch_id}")
