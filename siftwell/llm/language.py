@@ -17,44 +17,46 @@ LEARN_DOCUMENTS = 2_000
 """About how many documents of each language the profiles are fitted on; the sample follows a hash of the row."""
 RANKS = 300
 LONGEST = 3
-CACHED_WORDS = 150_000
 
 _words = re.compile(r"[^\W\d_]+").findall
 
 
-def grams(word: str) -> np.ndarray:
-    """Codes of the 1- to 3-grams of a word between boundary marks; a code packs the characters in 21 bits each."""
-    word = "".join(c for c in word if c.isalpha())
-    if not word:
-        return np.zeros(0, np.int64)
-    c = np.frombuffer(f"_{word}_".encode("utf-32-le"), np.uint32).astype(np.int64)
-    return np.concatenate((c[1:-1], c[:-1] << 21 | c[1:], c[:-2] << 42 | c[1:-1] << 21 | c[2:]))
-
-
-class Counts:
-    """N-gram counts of whole texts, by their distinct words."""
-
-    def __init__(self):
-        self.cache: dict[str, np.ndarray] = {}
-
-    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct codes and their counts; both are empty for a null text or one without a letter."""
-        words = Counter(_words((text or "").lower()))
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        parts = []
-        for word in words:
-            codes = self.cache.get(word)
-            if codes is None:
-                codes = grams(word)
-                if len(word) <= 40:
-                    self.cache[word] = codes
-            parts.append(codes)
-        if not parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        weights = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(p) for p in parts])
-        codes, place = np.unique(np.concatenate(parts), return_inverse=True)
-        return codes, np.bincount(place, weights, len(codes)).astype(np.int64)
+def count_grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, ascending, of the 1- to 3-grams of a whole text's words, and their counts.
+
+    A word stands between boundary marks, which are no 1-grams; a code packs its characters in 21 bits each.  All
+    distinct words of the text are coded together, as one array of characters with the word each belongs to.  Both
+    arrays are empty for a null text or one without a letter.
+    """
+    words = Counter(_words((text or "").lower()))
+    names = [w if w.isalpha() else "".join(c for c in w if c.isalpha()) for w in words]
+    size = np.fromiter(map(len, names), np.int64, len(names))
+    if not size.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    times = np.fromiter(words.values(), np.int64, len(names))
+    c = np.frombuffer(f"_{'__'.join(names)}_".encode("utf-32-le"), np.uint32).astype(np.int64)
+    size += 2
+    word = np.repeat(np.arange(len(names)), size)
+    ends = np.cumsum(size)
+    inside = np.ones(len(c), bool)
+    inside[ends - 1] = inside[ends - size] = False
+    two, three = word[1:] == word[:-1], word[2:] == word[:-2]
+    some = size[word] > 2  # a word without a letter has no n-grams
+    two &= some[1:]
+    codes = np.concatenate((c[inside], (c[:-1] << 21 | c[1:])[two], (c[:-2] << 42 | c[1:-1] << 21 | c[2:])[three]))
+    weights = times[np.concatenate((word[inside], word[1:][two], word[2:][three]))]
+    order = np.argsort(codes)
+    codes, weights = codes[order], weights[order]
+    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    return codes[first], np.add.reduceat(weights, first)
+
+
+def most_frequent(codes: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    """The k codes of largest count in that order, ties by code; only those that reach the k-th count are sorted."""
+    if len(n) > k:
+        reach = n >= np.partition(n, len(n) - k)[len(n) - k]
+        codes, n = codes[reach], n[reach]
+    return codes[np.lexsort((codes, -n))[:k]]
 
 
 def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", key: Column | None = None, per_language: int = LEARN_DOCUMENTS) -> DataFrame:
@@ -71,10 +73,10 @@ def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", key:
     sample = source.join(sizes, "lang").where(F.col("h") * F.col("n") <= F.lit(float(per_language * (1 << 30)))).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, sums = Counts(), {}
+        sums: dict[str, Counter[int]] = {}
         for batch in batches:
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                codes, n = counts.of(value.as_py())
+                codes, n = count_grams(value.as_py())
                 sums.setdefault(name, Counter()).update(dict(zip(codes.tolist(), n.tolist(), strict=True)))
         for name, counter in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(counter), pa.string()), pa.array(list(counter), pa.int64()), pa.array(list(counter.values()), pa.int64())], names=["lang", "code", "n"])
@@ -103,13 +105,13 @@ def identify(docs: DataFrame, profiles: DataFrame, text: str = "text", keep: Seq
 
     def make(texts: Iterator[pa.Array]) -> Iterator[list[pa.Array]]:
         langs, codes, ranks = shared.value
-        counts, steps = Counts(), np.arange(RANKS)[:, None]
+        steps = np.arange(RANKS)[:, None]
 
         def one(value: str | None) -> tuple[str, float]:
-            own, n = counts.of(value)
+            own, n = count_grams(value)
             if not len(own) or not langs:
                 return "und", 0.0
-            own = own[np.lexsort((own, -n))[:RANKS]]
+            own = most_frequent(own, n, RANKS)
             at = np.searchsorted(codes, own)
             at[(at == len(codes)) | (codes[np.minimum(at, len(codes) - 1)] != own)] = len(codes)
             profile = ranks[at]

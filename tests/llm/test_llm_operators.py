@@ -280,6 +280,44 @@ def test_language(spark, messy, empty):
     assert {r.lang_pred for r in language.identify(messy, language.learn_profiles(empty)).collect()} == {"und"}
 
 
+def plain_grams(text):
+    counts = collections.Counter()
+    for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        word = "".join(c for c in word if c.isalpha())
+        if word:
+            padded = f"_{word}_"
+            counts.update(word)
+            counts.update(padded[i : i + n] for n in (2, 3) for i in range(len(padded) - n + 1))
+    return counts
+
+
+def test_language_by_plain_ranks(spark, messy):
+    """Every prediction and score against ranks and distances of plain dictionaries."""
+    def number(gram):
+        return sum(ord(c) << 21 * (len(gram) - 1 - i) for i, c in enumerate(gram))
+
+    rows = [r for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    rows += [r for r in messy.select("doc_id", "text", "lang").collect()]
+    rows += [spark.createDataFrame([(1000, "½ x² ²½ 3a ǅ 日本", "odd")], "doc_id long, text string, lang string").first()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    sums = collections.defaultdict(collections.Counter)
+    for r in rows:
+        if r.lang is not None:
+            sums[r.lang].update(plain_grams(r.text))
+    ranks = {name: {g: i for i, g in enumerate(sorted(n, key=lambda g: (-n[g], number(g)))[: language.RANKS])} for name, n in sums.items()}
+    want = []
+    for r in rows:
+        own = plain_grams(r.text)
+        first = sorted(own, key=lambda g: (-own[g], number(g)))[: language.RANKS]
+        if not first:
+            want.append((r.doc_id, "und", 0.0))
+            continue
+        far = sorted((sum(abs(i - ranks[name][g]) if g in ranks[name] else language.RANKS for i, g in enumerate(first)), name) for name in ranks)
+        want.append((r.doc_id, far[0][1], round(1 - far[0][0] / far[1][0], 9) if far[1][0] else 0.0))
+    got = language.identify(docs, language.learn_profiles(docs, per_language=10**9)).collect()
+    assert sorted_rows((r.doc_id, r.lang_pred, round(r.score, 9)) for r in got) == sorted_rows(want)
+
+
 # 7
 
 
