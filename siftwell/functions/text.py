@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siftwell.session import fits, materialise
+from siftwell.session import fits, materialise, spread
 
 ALNUM = r"\p{L}\p{N}"
 WORD = f"[{ALNUM}]+"
@@ -269,7 +269,8 @@ def phrase_matches(docs: DataFrame, dictionary: DataFrame, uid: str = "uid", tex
     width = width or dictionary_width(dictionary)
     cored = materialise(_cores(dictionary), "cores")
     bits, size = core_filter(cored)
-    placed = docs.select(uid, text).withColumn("_bits", bits.scalar()).select(uid, _placed_grams(F.col(text), width, F.col("_bits"), size).alias("_g"))
+    # rows carry their number, so spreading an input of few pieces over the cores moves no row away from it
+    placed = spread(docs.select(uid, text)).withColumn("_bits", bits.scalar()).select(uid, _placed_grams(F.col(text), width, F.col("_bits"), size).alias("_g"))
     # outer: an inner explode would put a filter on the array below, which finds all n-grams once more
     grams = placed.select(uid, F.explode_outer("_g").alias("g")).filter("g IS NOT NULL").select(uid, "g.*")
     if fits(cored, limit):
@@ -442,7 +443,7 @@ def identify_language(docs: DataFrame, profiles: DataFrame, uid: str = "uid", te
     languages = sorted(floors, key=lambda name: (name is not None, name))
     docs = docs.withColumn("_row", F.monotonically_increasing_id())
     # outer: an inner explode would put a filter on the array below, which splits every text once more
-    words = docs.select("_row", F.explode_outer(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).filter("word IS NOT NULL")
+    words = spread(docs.select("_row", text)).select("_row", F.explode_outer(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).filter("word IS NOT NULL")
     counts = words.groupBy("word").agg(F.count("*").alias("n"))
     by_word = materialise(word_gains(counts, profiles, languages, lang), "words")
     gains = [f"g{i}" for i in range(len(languages))]

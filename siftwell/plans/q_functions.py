@@ -7,7 +7,6 @@ from siftwell.operators import learning, quality
 from siftwell.plans import tables as t
 from siftwell.plans.registry import query, view
 from siftwell.schemas import CRITERIA_IDS, FORMAL_FLAGS, METHOD_FLAGS, SUBJECT_FLAGS, formal_response, violation_response
-from siftwell.session import spread
 
 _BIN = """CASE WHEN score > -1 AND score <= -0.5 THEN 'bin_1' WHEN score > -0.5 AND score <= 0 THEN 'bin_2'
     WHEN score > 0 AND score <= 0.5 THEN 'bin_3' WHEN score > 0.5 AND score <= 1 THEN 'bin_4' WHEN score > 1 AND score <= 2 THEN 'bin_5'
@@ -356,7 +355,7 @@ view("lang_profile", """
     best AS (SELECT g.k, arg_min(lang, (-round(s.total * f + gain, 6), lang)) AS detected FROM g JOIN (SELECT k, sum(n) AS total FROM tri GROUP BY 1) s USING (k) GROUP BY 1)
     SELECT docs.uid, COALESCE(detected, 'unknown') AS detected FROM docs LEFT JOIN best USING (k)""")
 def l04(spark, sf):
-    d = spread(t.docs(spark, sf).select("uid", "text", "lang"))
+    d = t.docs(spark, sf).select("uid", "text", "lang")
     return text.identify_language(d, text.language_profiles(d))
 
 
