@@ -1,9 +1,12 @@
 """Line deduplication by a segment-partition edit join, in DataFrame functions only.
 
-A line of length l is cut into ``edits`` + 1 even segments.  Two lines within that many edits share a segment at
-nearly the same place, so each line is looked up by the few substrings that could be a segment of a line of its
-length or a little less.  Candidates are verified by a banded bit-parallel automaton.  Lines are shuffled as
-hashes; only the texts of candidate lines are fetched.
+A line has ``edits`` + 1 segments of a size that its class of lengths fixes: the first ones are measured from its
+beginning, the others from its end.  Of two lines within that many edits, some segment i has no edit, exactly i
+edits before and at most ``edits`` - i after it.  So it moves by at most i places from the beginning, or ``edits`` - i
+from the end, whatever the lengths: a line is looked up by (edits + 1)^2 / 2 substrings, and by those of the class
+below only near its border.  Where many lines share a segment and one edit is allowed, the rest is cut in halves,
+one of which has no edit either, until few lines share all but a rest.  Candidates are verified by a banded
+bit-parallel automaton.  Lines are shuffled as hashes; only the texts of candidate lines are fetched.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftwell.llm.common import fresh, materialise, table, without
 from siftwell.llm.components import components
-from siftwell.session import broadcast_if_small
+from siftwell.session import fits
 
 EDITS = 1
 SHORTEST = 20
@@ -23,19 +26,18 @@ SHORTEST = 20
 BY_LENGTH = ((20, 1), (40, 3), (80, 4))
 """``(code points from which, edits)``: what the pipeline uses, so that a changed word in a long line is found as well."""
 
+STEPS = 2
+"""Classes of lengths from one length to its double."""
+MANY = 32
+"""Lines that may share a segment before the rest of each is cut further; rows do not depend on it."""
+OWN, SINGLE, LAST = 1, 2, 4
+"""Low bits of a key: a segment of the line itself; one edit is allowed; the segment at the end of such a line."""
+
 
 def _split(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment i of a line: even, the longer ones last."""
-    parts = edits + 1
-    base, more = F.floor(length / parts), length % parts
-    longer = F.greatest(F.lit(0), F.lit(i) - (F.lit(parts) - more))
-    return base * i + longer, base + (F.lit(i) >= F.lit(parts) - more).cast("int")
-
-
 def _bands(edits: int | Sequence[tuple[int, int]], shortest: int) -> list[tuple[int, int | None, int]]:
     """``(from, to, edits)``: the lengths that share a number of edits; the last band has no end."""
     steps = [(shortest, edits)] if isinstance(edits, int) else sorted(edits)
@@ -46,26 +48,110 @@ def _within(length: Column, low: int, high: int | None) -> Column:
     return (length >= low) if high is None else (length >= low) & (length < high)
 
 
+def _class(length: Column, least: int) -> Column:
+    """The smallest length of a length's class: ``STEPS`` classes from ``least`` to its double, and so on."""
+    octave = F.pow(F.lit(2), F.length(F.bin(F.floor(length / least))) - 1).cast("bigint") * least
+    return F.floor(F.floor(length * STEPS / octave) * octave / STEPS).cast("int")
+
+
+def _size(length: Column, least: int, edits: int) -> Column:
+    """Length of a segment."""
+    return F.floor(_class(length, least) / (edits + 1)).cast("int")
+
+
 def _keys(line: Column, length: Column, bands: list[tuple[int, int | None, int]]) -> Column:
-    """``array<struct<key, own>>``: own segments, and the other substrings by which this line finds shorter or equal ones.
+    """``array<bigint>``: hashes of the own segments, and of the other substrings by which this line finds shorter or equal ones.
 
-    The number of edits is that of the shorter line, so each length a line may meet has the segments of its own band.
+    The number of edits is that of the shorter line, so a line is looked up in each class that a shorter one may have,
+    once per class.  The lowest bits of a key say what it is.
     """
-    found, none = [], F.array().cast("array<struct<key: bigint, own: boolean>>")
+    found, none = [], F.array().cast("array<bigint>")
     for least, most, edits in bands:
         for delta in range(edits + 1):
-            keys = []
+            shorter = length - delta
+            size, keys = _size(shorter, least, edits), []
             for i in range(edits + 1):
-                start, size = _segment(length - delta, i, edits)
-                low, high = max(-i, delta - (edits - i)), min(i, delta + (edits - i))
-                for shift in range(low, high + 1):
-                    piece = F.substr(line, (start + shift + 1).cast("int"), size.cast("int"))
-                    key = F.xxhash64((length - delta).cast("int"), F.lit(i), piece)
-                    keys.append(F.struct(key.alias("key"), F.lit(delta == 0 and shift == 0).alias("own")))
-            found.append(F.when(_within(length - delta, least, most), F.array(*keys)).otherwise(none))
+                first, reach = (size * i, i) if i <= edits // 2 else (length - size * (edits + 1 - i), edits - i)
+                for shift in range(-reach, reach + 1):
+                    mark = (OWN if delta == 0 and shift == 0 else 0) + ((SINGLE + LAST * i) if edits == 1 else 0)
+                    key = F.xxhash64(_class(shorter, least), F.lit(i), F.substr(line, (first + (shift + 1)).cast("int"), size))
+                    keys.append(key.bitwiseAND(F.lit(~7)).bitwiseOR(F.lit(mark)))
+            here = _within(shorter, least, most)
+            if delta:
+                here = here & (~_within(shorter + 1, least, most) | (_class(shorter, least) != _class(shorter + 1, least)))
+            found.append(F.when(here, F.array(*keys)).otherwise(none))
     return F.concat(*found)
 
 
+def _has(bit: int) -> Column:
+    return F.col("k").bitwiseAND(F.lit(bit)) != 0
+
+
+def _rest(bands: list[tuple[int, int | None, int]]) -> Column:
+    """What a line has beside the shared segment of key ``k``, where one edit is allowed."""
+    looked_up = F.col("length") - F.when(_has(OWN), 0).otherwise(1)
+    size = F.coalesce(*[F.when(_within(looked_up, least, most), _size(looked_up, least, edits)) for least, most, edits in bands if edits == 1])
+    return F.when(_has(LAST), F.substr("line", F.lit(1), (F.col("length") - size).cast("int"))).otherwise(F.substr("line", size + 1))
+
+
+def _halves() -> Column:
+    """``array<struct<key, own, rest>>``: the halves of a rest as keys within the group so far, own ones and those of a rest shorter by one."""
+    found, n = [], F.length("rest")
+    for delta in (0, 1):
+        half, far = F.floor((n - delta) / 2).cast("int"), (n - delta - F.floor((n - delta) / 2)).cast("int")
+        left, right = F.substr("rest", F.lit(1), half), F.substr("rest", n - far + 1)
+        for side, piece, rest in ((0, left, F.substr("rest", half + 1)), (1, right, F.substr("rest", F.lit(1), n - far))):
+            key = F.xxhash64("key", n - delta, F.lit(side), piece)
+            found.append(F.when(n >= delta, F.struct(key.alias("key"), F.lit(delta == 0).alias("own"), rest.alias("rest"))))
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+
+def _pairs(rows: DataFrame, allowed: Column) -> DataFrame:
+    """``a, b``: lines that share a key by which ``a``, not the longer, is found; of equal lengths the smaller hash is ``a``."""
+    own = rows.where("own").select("key", F.col("h").alias("a"), F.col("length").alias("a_length"))
+    probe = rows.select("key", F.col("h").alias("b"), F.col("length").alias("b_length"))
+    near = F.col("b_length").between(F.col("a_length"), F.col("a_length") + allowed) & ((F.col("b_length") > F.col("a_length")) | (F.col("a") < F.col("b")))
+    return own.join(probe, "key").where(near).select("a", "b")
+
+
+def _crowded(rows: DataFrame, enough: Column | None = None) -> DataFrame:
+    """``key``: the keys that more than ``MANY`` rows share, stored."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), *([] if enough is None else [F.max(enough).alias("cut")]))
+    return materialise(sizes.where(F.col("n") > MANY).where("true" if enough is None else "cut").select("key"), "crowded")
+
+
+def _if_small(df: DataFrame) -> DataFrame:
+    """A stored frame with a broadcast hint if its measured rows fit."""
+    return F.broadcast(df) if fits(df) else df
+
+
+def _texts(rows: DataFrame, distinct: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``h, line`` of the wanted hashes, each read at its first place, stored."""
+    places = materialise(distinct.join(wanted, "h").select("h", F.col("first.rid").alias("rid"), F.col("first.pos").alias("pos")), "places")
+    return materialise(rows.join(_if_small(places), "rid").select("h", F.get(_split(F.col("text")), F.col("pos")).alias("line")), "texts")
+
+
+def _candidates(rows: DataFrame, distinct: DataFrame, bands: list[tuple[int, int | None, int]]) -> DataFrame:
+    """``a, b``: hashes of lines that share a segment; where many do and one edit is allowed, also all but a rest that few share."""
+    allowed = reduce(lambda other, band: F.when(_within(F.col("a_length"), *band[:2]), band[2]).otherwise(other), bands, F.lit(-1))
+    keyed = distinct.select("h", "length", F.explode("keys").alias("k"))
+    keyed = keyed.select("h", "length", "k", F.col("k").bitwiseAND(F.lit(~OWN)).alias("key"), _has(OWN).alias("own"))
+    crowded = _crowded(keyed.where(_has(SINGLE)))
+    found = [_pairs(keyed.join(crowded, "key", "left_anti"), allowed)]
+    if not crowded.isEmpty():
+        many = materialise(keyed.join(crowded, "key"), "many")
+        texts = _texts(rows, distinct, many.select("h").distinct())
+        state = materialise(many.join(texts, "h").where(F.length("line") == F.col("length")).select("h", "length", "key", _rest(bands).alias("rest")), "rest")
+        while True:
+            cut = materialise(state.select("h", "length", F.explode(_halves()).alias("x")).select("h", "length", "x.*"), "halves")
+            crowded = _crowded(cut, F.length("rest") > 2)  # a longer rest gets shorter each time
+            found.append(materialise(_pairs(cut.join(crowded, "key", "left_anti"), allowed), "few"))
+            if crowded.isEmpty():
+                break
+            state = cut.join(crowded, "key").drop("own")
+    return materialise(reduce(DataFrame.union, found).distinct(), "pairs")
+
+
 def _let(value: Column, body) -> Column:
     """body(value) with the value computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -142,27 +228,18 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edi
     # one row per distinct line, combined per task first: a line in a third of all rows is no hot key
     first = F.struct("id", "rid", "pos")
     distinct = materialise(lines.groupBy("h", "h2", "length").agg(F.count("*").alias("n"), F.min(first).alias("first"), F.first(_keys(F.col("line"), F.col("length"), bands)).alias("keys")), "lines")
-    keyed = distinct.select("h", "h2", "length", F.explode("keys").alias("k")).select("h", "h2", "length", "k.key", "k.own")
-    own = keyed.where("own").select("key", F.col("h").alias("a"), F.col("h2").alias("a2"), F.col("length").alias("a_length"))
-    probe = keyed.select("key", F.col("h").alias("b"), F.col("h2").alias("b2"), F.col("length").alias("b_length"))
-    allowed = reduce(lambda other, band: F.when(_within(F.col("a_length"), *band[:2]), band[2]).otherwise(other), bands, F.lit(-1))
-    near = F.col("b_length").between(F.col("a_length"), F.col("a_length") + allowed) & ((F.col("b_length") > F.col("a_length")) | (F.col("a") < F.col("b")))
-    pairs = materialise(own.join(probe, "key").where(near).select("a", "a2", "b", "b2").distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("h"), F.col("a2").alias("h2")).union(pairs.select("b", "b2")).distinct()
-    places = materialise(distinct.join(wanted, ["h", "h2"]).select("h", "h2", F.col("first.rid").alias("rid"), F.col("first.pos").alias("pos")), "places")
-    texts = rows.join(broadcast_if_small(places, 40), "rid").select("h", "h2", F.get(_split(F.col("text")), F.col("pos")).alias("line"))
-    texts = materialise(texts, "texts")
-    left = texts.select(F.col("h").alias("a"), F.col("h2").alias("a2"), F.col("line").alias("a_line"))
-    right = texts.select(F.col("h").alias("b"), F.col("h2").alias("b2"), F.col("line").alias("b_line"))
+    pairs = _candidates(rows, distinct, bands)
+    texts = _texts(rows, distinct, pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
+    left, right = (texts.select(F.col("h").alias(x), F.col("line").alias(f"{x}_line")) for x in "ab")
     shorter = F.least(F.length("a_line"), F.length("b_line"))
     close = [_within(shorter, *band[:2]) & within_edits(F.col("a_line"), F.col("b_line"), band[2]) for band in bands]
-    links = pairs.join(left, ["a", "a2"]).join(right, ["b", "b2"]).where(reduce(lambda x, y: x | y, close))
+    links = pairs.join(left, "a").join(right, "b").where(reduce(lambda x, y: x | y, close))
     # groups of linked lines by the first hash: lines that share it are linked to the same group only if it collides
     group = components(materialise(links.select("a", "b"), "links")).select(F.col("node").alias("h"), "root")
     some = distinct.select("h", "h2", "length", "n", "first").join(group, "h", "left").where("n > 1 OR root IS NOT NULL")
     heads = some.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("head"))
     decided = some.join(heads, "root", "left").select("h", "h2", "length", F.coalesce("head", "first").alias("head"))
-    decided = broadcast_if_small(materialise(decided, "decided"), 64)
+    decided = _if_small(materialise(decided, "decided"))
     gone = lines.join(decided, ["h", "h2", "length"]).where((F.col("rid") != F.col("head.rid")) | (F.col("pos") != F.col("head.pos")))
     return gone.groupBy("rid").agg(F.array_sort(F.collect_list("pos")).alias("removed"))
 
@@ -175,7 +252,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits:
     rid, gone = fresh(docs, "rid"), fresh(docs, "removed")
     removed = materialise(repeated_lines(docs, key, text, edits, shortest, short_repeats), "removed").select(F.col("rid").alias(rid), F.col("removed").alias(gone))
     numbered = without(docs, ["n_lines", "n_removed"]).withColumn(rid, F.monotonically_increasing_id())
-    joined = numbered.join(broadcast_if_small(removed, 100), rid, "left")
+    joined = numbered.join(_if_small(removed), rid, "left")
     column = F.col(f"`{text}`")
     kept = F.array_join(F.filter(_split(column), lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
     counts = {"n_lines": F.when(column.isNull(), 0).otherwise(F.size(_split(column))).cast("long"), "n_removed": F.coalesce(F.size(gone), F.lit(0)).cast("long")}

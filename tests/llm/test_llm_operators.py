@@ -470,6 +470,35 @@ def test_lines(spark, messy, edits, tmp_path):
     assert sorted_rows((r.doc_id, r.text) for r in got) == sorted_rows(want)
 
 
+@pytest.mark.parametrize("length", [31, 40, 47])
+def test_lines_that_share_much(spark, tmp_path, length):
+    """Many variants of one line: halves of halves until few share all but a rest; links are those of brute force."""
+    random.seed(length)
+    line = [random.choice("abcd ") for _ in range(length)]
+    found = {"".join(line)}
+    for _ in range(150):  # most are several edits from each other, some one
+        own = list(line)
+        at = random.randint(0, length - 3)
+        own[at : at + random.randint(2, 3)] = random.choices("xyz", k=random.choice([2, 3, 3, 4]))
+        found.add("".join(own))
+    found |= {x[:at] + random.choice(["", "q", "qq"]) + x[at + 1 :] for x in sorted(found)[::5] for at in (0, length // 2, length - 4)}
+    texts = sorted(found)
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    group = {x: x for x in texts}
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            if group[a] != group[b] and abs(len(a) - len(b)) <= 1 and edit_distance(a, b) <= 1:
+                old = group[a]
+                group = {x: group[b] if g == old else g for x, g in group.items()}
+    first = {}
+    for k, x in enumerate(texts):
+        first.setdefault(group[x], k)
+    got = lines.dedup_lines(spark.read.parquet(path)).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {k: int(first[group[x]] != k) for k, x in enumerate(texts)}
+    assert 5 < len(first) < len(texts) - 5
+
+
 def test_lines_in_the_pipeline(spark, tmp_path):
     """The number of edits follows the length, and short lines go where they repeat exactly; blank ones stay."""
     random.seed(3)
