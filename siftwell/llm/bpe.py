@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator, Sequence
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from siftwell.llm.common import add_columns, slices, table
 
 CACHE_ENTRIES = 120_000
-"""Bound of each worker's memo of encoded pieces; it is emptied when full, results never depend on it."""
+"""Bound of each worker's memo of encoded pieces; a full one is kept as the older half of the next, results never depend on it."""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -149,6 +148,10 @@ class BatchMerger:
         return np.where(self.keys[at] == key, self.wholes[at], -1)
 
     def encode(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        return [tuple(np.frombuffer(ids, "<i4").tolist()) for ids in self.packed(pieces)]
+
+    def packed(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each pre-token, four bytes an id."""
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         n, ends = int(sizes.sum()), np.cumsum(sizes)
         word = np.repeat(np.arange(len(pieces)), sizes)
@@ -213,29 +216,13 @@ class BatchMerger:
             alive[at] = True
             at = after[at]
             at = at[at >= 0]
-        ids = symbol[alive].tolist()
-        bounds = np.concatenate(([0], np.cumsum(np.bincount(word[alive], minlength=len(pieces))))).tolist()
-        return [tuple(ids[s:e]) for s, e in zip(bounds, bounds[1:], strict=False)]
-
-
-class _Pieces(dict):
-    """The ids of each piece; a new one gets an empty list that is filled later, an unusual one gets None."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[tuple[str, list[int]]] = []
-
-    def __missing__(self, piece: str) -> list[int] | None:
-        cell: list[int] | None = None
-        if piece and not piece[0].isspace() and not piece[-1].isspace():
-            cell = []
-            self.new.append((piece, cell))
-        self[piece] = cell
-        return cell
+        ids = symbol[alive].astype("<i4").tobytes()
+        bounds = (4 * np.concatenate(([0], np.cumsum(np.bincount(word[alive], minlength=len(pieces)))))).tolist()
+        return [ids[s:e] for s, e in zip(bounds, bounds[1:], strict=False)]
 
 
 class Encoder:
-    """Encodes batches of texts; remembers the ids of pieces between single spaces.
+    """Encodes batches of texts; remembers the ids of pieces between single spaces, packed into bytes.
 
     A single space between two characters that are no white space always starts a match of the pattern, so
     such pieces are encoded alone; a text with other spaces is matched as a whole.
@@ -249,101 +236,128 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         self.ranks, self.single = ranks, Merger(ranks)
         self.many = BatchMerger(ranks, pairs or pair_table(ranks))
-        self.pieces = _Pieces()
+        #: Packed ids of pieces, None for one that cannot stand alone; the memo before this one lends what it has.
+        self.pieces: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
         #: Only a pattern with the optional space before each kind of run allows the split.
         self.splits = all(x in pattern for x in (r" ?\p{L}+", r" ?\p{N}+", r" ?[^\s\p{L}\p{N}]+"))
 
-    def _tokens(self, piece: str) -> list[str]:
-        if self.splits and piece[1:].isalpha() and piece[0] == " " and max(piece) < "\u0250":
-            return [piece]
-        return self.find(piece)
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.pieces) >= CACHE_ENTRIES:
-            self.pieces = _Pieces()
-        known, split = self.pieces, []
+            self.pieces, self.older = {}, self.pieces
+        split, wanted = [], set()
         for text in texts:
             first, *rest = text.split(" ") if self.splits else [text]
             if first and first[-1].isspace():
                 first, rest = text, []
-            split.append((self.find(first), [*map(known.__getitem__, rest)]))
-        wanted = [(cell, self._tokens(f" {piece}")) for piece, cell in known.new]
-        known.new = []
-        ids = self._ids({t for tokens in chain((w[1] for w in wanted), (s[0] for s in split)) for t in tokens})
-        for cell, tokens in wanted:
-            for token in tokens:
-                cell += ids[token]
+            split.append((self.find(first), rest))
+            wanted.update(rest)
+        heads = {token for head, _ in split for token in head}
+        ids, known = self._learn(wanted.difference(self.pieces), heads), self.pieces
         out = []
-        for text, (head, cells) in zip(texts, split, strict=True):
+        for text, (head, rest) in zip(texts, split, strict=True):
             try:
-                out.append(np.fromiter(chain(chain.from_iterable(map(ids.__getitem__, head)), chain.from_iterable(cells)), np.int32))
+                packed = b"".join([*map(ids.__getitem__, head), *map(known.__getitem__, rest)])
             except TypeError:  # a space beside white space: the text is matched as a whole
                 tokens = self.find(text)
-                some = self._ids({*tokens})
-                out.append(np.fromiter(chain.from_iterable(map(some.__getitem__, tokens)), np.int32))
+                packed = b"".join(map(self._packed({*tokens}).__getitem__, tokens))
+            out.append(np.frombuffer(packed, "<i4"))
         return out
 
-    def _ids(self, tokens: set[str]) -> dict[str, tuple[int, ...]]:
-        ids: dict[str, tuple[int, ...]] = {}
+    def _learn(self, pieces: set[str], tokens: set[str]) -> dict[str, bytes]:
+        """Remember new pieces; the packed ids of the tokens."""
+        known, older, alone, several = self.pieces, self.older, [], []
+        for piece in pieces:
+            if piece in older:
+                known[piece] = older[piece]
+            elif piece.isalpha() and (piece.isascii() or max(piece) < "\u0250"):
+                alone.append(piece)  # one run of letters: one match
+            elif not piece or piece[0].isspace() or piece[-1].isspace():
+                known[piece] = None
+            else:
+                several.append((piece, self.find(" " + piece)))
+        ids = self._packed({" " + piece for piece in alone}.union(tokens, *(found for _, found in several)))
+        for piece in alone:
+            known[piece] = ids[" " + piece]
+        for piece, found in several:
+            known[piece] = b"".join(map(ids.__getitem__, found))
+        return ids
+
+    def _packed(self, tokens: set[str]) -> dict[str, bytes]:
+        ids: dict[str, bytes] = {}
         short: dict[str, bytes] = {}
         for token in tokens:
             raw = token.encode("utf-8")
             if raw in self.ranks:
-                ids[token] = (self.ranks[raw],)
+                ids[token] = self.ranks[raw].to_bytes(4, "little")
             elif len(raw) > self.LONG:
-                ids[token] = tuple(self.single.encode(raw))
+                ids[token] = np.array(self.single.encode(raw), "<i4").tobytes()
             else:
                 short[token] = raw
         if short:
-            ids.update(zip(short, self.many.encode(list(short.values())), strict=True))
+            ids.update(zip(short, self.many.packed(list(short.values())), strict=True))
         return ids
 
 
-def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", into: str = "ids", keep: Sequence[str] | None = None) -> DataFrame:
+def _ids_of(encoder: Encoder, texts: pa.Array) -> pa.Array:
+    ids = encoder.encode([value or "" for value in texts.to_pylist()])
+    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+
+
+def _bytes_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all tokens one after the other, and where each id begins."""
+    tokens = [b""] * (max(ranks.values(), default=0) + 1)
+    for token, i in ranks.items():
+        tokens[i] = token
+    return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum([0, *map(len, tokens)])
+
+
+def _bytes_of(lists: pa.Array, data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    lists = pc.fill_null(lists, []) if lists.null_count else lists
+    flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    if len(flat) and (flat.min() < 0 or flat.max() >= len(bounds) - 1 or (bounds[flat + 1] == bounds[flat]).any()):
+        raise ValueError("an id is not in the vocabulary")
+    parts = [np.zeros(0, np.uint8)]
+    for at in range(0, len(flat), 1 << 18):  # gather the bytes of many tokens at once
+        some = flat[at : at + (1 << 18)]
+        size = bounds[some + 1] - bounds[some]
+        ends = np.cumsum(size)
+        parts.append(data[np.repeat(bounds[some] - ends + size, size) + np.arange(ends[-1])])
+    sums = np.concatenate(([0], np.cumsum(bounds[flat + 1] - bounds[flat])))
+    offsets = sums[np.concatenate(([0], np.cumsum(sizes)))].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.concatenate(parts).tobytes())])
+
+
+def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", into: str = "ids", keep: Sequence[str] | None = None, decoded: str | None = None) -> DataFrame:
     """Add the token ids of each whole text as ``array<int>``; null and empty texts have no ids.
 
     Each match of ``pattern`` is encoded separately, without special tokens.  Rows are independent, so nothing
     is shuffled; repeated rows stay repeated.  A column named like ``into`` is replaced.  The vocabulary is
-    broadcast: its size is fixed by the tokenizer, not by the data.
+    broadcast: its size is fixed by the tokenizer, not by the data.  With ``decoded``, a column of that name holds what
+    the ids decode to, as :func:`decode` gives it, in the same pass over the rows.
     """
-    shared = df.sparkSession.sparkContext.broadcast((ranks, pair_table(ranks)))
+    shared = df.sparkSession.sparkContext.broadcast((ranks, pair_table(ranks), _bytes_table(ranks) if decoded else None))
+    new = [T.StructField(into, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.BinaryType())] if decoded else [])]
 
     def make(texts: Iterator[pa.Array]) -> Iterator[list[pa.Array]]:
-        encoder = Encoder(shared.value[0], pattern, shared.value[1])
+        known, pairs, table = shared.value
+        encoder = Encoder(known, pattern, pairs)
         for batch in texts:
-            parts, sizes = [np.zeros(0, np.int32)], [0]
-            for some in slices(batch, 2 << 20):
-                for ids in encoder.encode([value or "" for value in some.to_pylist()]):
-                    parts.append(ids)
-                    sizes.append(len(ids))
-            yield [pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(np.concatenate(parts)))]
+            parts = [_ids_of(encoder, some) for some in slices(batch, 2 << 20)] or [_ids_of(encoder, batch)]
+            back = [pa.concat_arrays([_bytes_of(ids, *table) for ids in parts])] if table else []
+            yield [pa.concat_arrays(parts), *back]
 
-    return add_columns(df, text, T.StructType([T.StructField(into, T.ArrayType(T.IntegerType()))]), make, keep)
+    return add_columns(df, text, T.StructType(new), make, keep)
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", into: str = "decoded", keep: Sequence[str] | None = None) -> DataFrame:
     """Add the bytes that the token ids stand for; null ids give empty bytes, an unknown id is an error."""
-    tokens = [b""] * (max(ranks.values(), default=0) + 1)
-    for token, i in ranks.items():
-        tokens[i] = token
-    shared = df.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(tokens), np.uint8), np.cumsum([0, *map(len, tokens)])))
+    shared = df.sparkSession.sparkContext.broadcast(_bytes_table(ranks))
 
     def make(lists: Iterator[pa.Array]) -> Iterator[list[pa.Array]]:
-        data, bounds = shared.value
         for batch in lists:
-            batch = pc.fill_null(batch, []) if batch.null_count else batch
-            flat, sizes = batch.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(batch).to_numpy(zero_copy_only=False)
-            if len(flat) and (flat.min() < 0 or flat.max() >= len(bounds) - 1 or (bounds[flat + 1] == bounds[flat]).any()):
-                raise ValueError("an id is not in the vocabulary")
-            parts = [np.zeros(0, np.uint8)]
-            for at in range(0, len(flat), 1 << 18):  # gather the bytes of many tokens at once
-                some = flat[at : at + (1 << 18)]
-                size = bounds[some + 1] - bounds[some]
-                ends = np.cumsum(size)
-                parts.append(data[np.repeat(bounds[some] - ends + size, size) + np.arange(ends[-1])])
-            sums = np.concatenate(([0], np.cumsum(bounds[flat + 1] - bounds[flat])))
-            offsets = sums[np.concatenate(([0], np.cumsum(sizes)))].astype(np.int32)
-            yield [pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.concatenate(parts).tobytes())])]
+            yield [_bytes_of(batch, *shared.value)]
 
     return add_columns(df, ids, T.StructType([T.StructField(into, T.BinaryType())]), make, keep)
 
@@ -358,8 +372,7 @@ def vocabulary(path: str | None = None) -> tuple[dict[bytes, int], str]:
 def op3_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document; digests of the ids and of the decoded bytes."""
     ranks, pattern = vocabulary()
-    coded = encode(table(spark, sf_dir, "documents", "doc_id", "text"), ranks, pattern, keep=["doc_id"])
-    both = decode(coded, ranks, keep=["doc_id", "ids"])
+    both = encode(table(spark, sf_dir, "documents", "doc_id", "text"), ranks, pattern, keep=["doc_id"], decoded="decoded")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -371,8 +384,9 @@ def op3_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalise_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents with their token ids, and the text as its ids decode."""
     ranks, pattern = vocabulary()
-    back = decode(encode(docs, ranks, pattern), ranks)
-    return back.withColumn("text", F.col("decoded").cast("string")).withColumn("n_tokens", F.size("ids").cast("long")).drop("decoded")
+    back = encode(docs, ranks, pattern, decoded="decoded", keep=[c for c in docs.columns if c != "text"])
+    added = back.withColumns({"text": F.col("decoded").cast("string"), "n_tokens": F.size("ids").cast("long")})
+    return added.select(*[F.col(f"`{c}`") for c in docs.columns], "ids", "n_tokens")
 
 
 QUERIES = {"op3_byte_level_bpe": op3_byte_level_bpe}
