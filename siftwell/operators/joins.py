@@ -1,12 +1,14 @@
 """Joins of samples, annotations, embeddings, metadata and results.
 
-No side is hinted: Spark broadcasts a side only when its measured size allows it.
+No side is hinted unless its counted rows fit: Spark broadcasts a side only when its measured size allows it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from siftwell.session import broadcast_if_small, materialise, spread
+
 
 def annotated_sample(sample: DataFrame, annotations: DataFrame) -> DataFrame:
     return sample.join(annotations, "uid")
@@ -104,3 +106,33 @@ def resample_join(draws: DataFrame, rows: DataFrame) -> DataFrame:
     """Drawn rows with their multiplicity, folded before the join."""
     weights = draws.groupBy("iteration", "idx").agg(F.count("*").alias("weight"))
     return weights.join(rows, "idx")
+
+
+WIDE_CRITERIA = 64
+"""Criteria whose sums are columns of one row; more of them are summed as rows."""
+
+
+def resample_totals(rows: DataFrame, ratings: DataFrame, iterations: int, wide: int = WIDE_CRITERIA) -> DataFrame:
+    """(iteration, criterion, weight, total): number and sum of the known ratings in every resample of ``rows``.
+
+    ``rows`` is one row per (idx, respondent), ``ratings`` (respondent, criterion, rating).  The draws, iterations x rows
+    of them, are made on all cores and summed where they are made; a draw meets its respondent's ratings as one row.
+    """
+    rows = materialise(rows, "respondents")
+    size = rows.agg(F.count("*").alias("n")).scalar()
+    draws = hashed_draws(rows.sparkSession, iterations, size, spread(rows.select("idx"), 8))
+    own = materialise(rows.join(ratings, "respondent").select("idx", "criterion", "rating"), "own")
+    criteria = [r[0] for r in own.select("criterion").distinct().limit(wide + 1).collect()]
+    if not 0 < len(criteria) <= wide:
+        folded = materialise(own.groupBy("idx").agg(F.collect_list(F.struct("criterion", "rating")).alias("own")), "folded")
+        each = draws.join(folded, "idx").select("iteration", F.inline("own"))
+        return each.groupBy("iteration", "criterion").agg(F.count("rating").alias("weight"), F.sum("rating").alias("total"))
+    of = [F.col("criterion").eqNullSafe(F.lit(c)) for c in criteria]
+    known = F.col("rating").isNotNull().cast("long")
+    folded = own.groupBy("idx").agg(  # NULL where the respondent has no row of the criterion
+        *[F.sum(F.when(c, known)).alias(f"n{i}") for i, c in enumerate(of)], *[F.sum(F.when(c, F.col("rating"))).alias(f"s{i}") for i, c in enumerate(of)])
+    folded = broadcast_if_small(materialise(folded, "folded"), 32 + 16 * len(criteria))
+    sums = draws.join(folded, "idx").groupBy("iteration").agg(*[F.sum(c).alias(c) for c in folded.columns if c != "idx"])
+    kind = own.schema["criterion"].dataType
+    cells = [F.struct(F.lit(c).cast(kind).alias("criterion"), F.col(f"n{i}").alias("weight"), F.col(f"s{i}").alias("total")) for i, c in enumerate(criteria)]
+    return sums.select("iteration", F.inline(F.array(*cells))).filter(F.col("weight").isNotNull())

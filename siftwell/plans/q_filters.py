@@ -347,13 +347,8 @@ def c15_10000(spark, sf):
 
 
 def resampled_totals(spark, sf, iterations):
-    """Draws and sum of ratings of each (iteration, criterion): a draw meets its respondent's ratings as one folded row and is summed up at once."""
-    rows = indexed_respondents(spark, sf)
-    size = rows.agg(F.count("*").alias("n")).scalar()
-    folded = rows.join(t.ratings(spark, sf), "respondent").groupBy("idx").agg(F.collect_list(F.struct("criterion", "rating")).alias("own"))
-    drawn = joins.hashed_draws(spark, iterations, size, rows).join(folded, "idx")
-    each = drawn.select("iteration", F.inline("own"))
-    return each.groupBy("iteration", "criterion").agg(F.count("rating").alias("weight"), F.sum("rating").alias("total"))
+    """Draws and sum of ratings of each (iteration, criterion)."""
+    return joins.resample_totals(indexed_respondents(spark, sf), t.ratings(spark, sf), iterations)
 
 
 @query("c16_group_pairs", "SELECT a.lang AS a, b.lang AS b FROM (SELECT DISTINCT lang FROM documents) a JOIN (SELECT DISTINCT lang FROM documents) b ON a.lang < b.lang")

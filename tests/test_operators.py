@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.operators import filters, learning, metrics, ordering, profiles, quality, sampling, sets, state
+from siftwell.operators import filters, joins, learning, metrics, ordering, profiles, quality, sampling, sets, state
 from siftwell.schemas import CRITERIA_IDS
 
 
@@ -347,3 +347,24 @@ def test_enrich_retries_then_reports(spark):
     df = spark.createDataFrame([("ok",), ("bad",)], "uid string").coalesce(1)
     out = {r.uid: (r.status, r.error) for r in state.enrich(df, flaky, T.StructType([T.StructField("status", T.StringType())])).collect()}
     assert out == {"ok": ("alive", None), "bad": ("error", "down")}
+
+
+def test_resample_totals_as_columns_and_as_rows(spark):
+    """Both forms equal the sums drawn one by one, with a null rating, a null criterion and a respondent without a criterion."""
+    import hashlib
+
+    given = [(10, "a", 1), (10, "b", 5), (11, "a", 4), (11, None, 2), (12, "b", None), (13, "c", 3), (13, "a", 2)]
+    rows = spark.createDataFrame([(0, 10), (1, 11), (2, 12), (3, 13)], "idx long, respondent long")
+    ratings = spark.createDataFrame(given, "respondent long, criterion string, rating long")
+    want = {}
+    for b in range(50):
+        for draw in range(4):
+            idx = int(hashlib.md5(f"42:{b}:{draw}".encode()).hexdigest()[:12], 16) % 4
+            for respondent, criterion, rating in given:
+                if respondent == 10 + idx:
+                    n, total = want.get((b, criterion), (0, None))
+                    want[b, criterion] = (n, total) if rating is None else (n + 1, (total or 0) + rating)
+    for wide in (64, 2):
+        per = joins.resample_totals(rows, ratings, 50, wide)
+        assert {(r.iteration, r.criterion): (r.weight, r.total) for r in per.collect()} == want
+        assert per.count() == len(want)
