@@ -15,6 +15,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def names_folder(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path or glob names a folder, as a table of several part files is one."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop)
+    return any(status.isDirectory() for status in found or [])
+
+
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None,
                schema: T.StructType | None = None) -> DataFrame:
     """Parquet scan of a file or folder of part files; only the named columns are read."""
@@ -25,11 +32,14 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None,
 
 def read_parts(spark: SparkSession, folder: str, schema: T.StructType | None = None,
                pattern: str = "*.parquet") -> DataFrame:
-    """All part files of a folder; a missing or empty folder is an error."""
-    if not path_exists(spark, f"{folder.rstrip('/')}/{pattern}"):
+    """All part files of a folder, and all files of its part folders; a missing or empty folder is an error."""
+    parts = f"{folder.rstrip('/')}/{pattern}"
+    if not path_exists(spark, parts):
         raise FileNotFoundError(f"no {pattern} files in {folder}")
-    reader = spark.read.option("pathGlobFilter", pattern)
-    return (reader.schema(schema) if schema else reader).parquet(folder)
+    reader = spark.read.schema(schema) if schema else spark.read
+    if names_folder(spark, parts):  # the pattern is that of the folders, not of the files inside
+        return reader.parquet(parts)
+    return reader.option("pathGlobFilter", pattern).parquet(folder)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
