@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from siftwell.sources.readers import names_folder
+
 
 def new_files(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet",
               fmt: str = "parquet") -> DataFrame:
-    return spark.readStream.format(fmt).schema(schema).option("pathGlobFilter", pattern).load(folder)
+    """Files of a folder whose names fit the pattern; where it fits folders, all files inside them."""
+    reader, parts = spark.readStream.format(fmt).schema(schema), f"{folder.rstrip('/')}/{pattern}"
+    if names_folder(spark, parts):
+        return reader.load(parts)
+    return reader.option("pathGlobFilter", pattern).load(folder)
 
 
 def run_to_end(query) -> None:

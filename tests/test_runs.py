@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftwell.operators import learning, profiles, sampling, survey
 from siftwell.session import fits, row_bytes, scratch_dir
-from siftwell.sources import writers
+from siftwell.sources import readers, writers
 from siftwell.streaming import annotations, incremental
 
 LOG = "uid string, label string, ts timestamp, event_id long"
@@ -161,3 +161,30 @@ def test_measured_sizes(spark):
     assert df.select(row_bytes(df)).first()[0] == 16 + 8 + 18 + 32 + (16 + 16 + 17 + 8)
     wide = spark.range(100).select(F.repeat(F.lit("x"), 1000).alias("s"))
     assert fits(wide, 110_000) and not fits(wide, 100_000) and fits(wide.limit(0), 0)
+
+
+@pytest.mark.parametrize("shape", ["file", "folder", "both"])
+def test_a_table_may_be_a_file_or_a_folder_of_parts(spark, tmp_path, shape):
+    """The pattern fits a file, a folder whose parts have other names, or one of each; a later part is new to a second run."""
+    src, more = tmp_path / "in", spark.range(100, 110)
+    if shape != "folder":
+        spark.range(40).coalesce(1).write.parquet(str(tmp_path / "one"))
+        src.mkdir()
+        next((tmp_path / "one").glob("part-*.parquet")).rename(src / "t.parquet")
+    if shape != "file":
+        spark.range(40, 60).repartition(3).write.parquet(str(src / ("t.parquet" if shape == "folder" else "u.parquet")))
+    spark.range(500, 510).write.parquet(str(src / "other.parq"))
+    pattern = {"file": "t.parquet", "folder": "t.parquet", "both": "[tu].parquet"}[shape]
+    want = {"file": set(range(40)), "folder": set(range(40, 60)), "both": set(range(60))}[shape]
+    assert {r.id for r in readers.read_parts(spark, str(src), pattern=pattern).collect()} == want
+    schema, seen = more.schema, []
+    for _ in range(2):
+        stream = incremental.new_files(spark, str(src), schema, pattern)
+        incremental.process_new_files(stream, lambda rows: rows, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+        seen.append(sorted(r.id for r in spark.read.schema(schema).parquet(str(tmp_path / "out")).collect()))
+    assert seen == [sorted(want)] * 2
+    if shape == "folder":
+        more.write.mode("append").parquet(str(src / "t.parquet"))
+        stream = incremental.new_files(spark, str(src), schema, pattern)
+        incremental.process_new_files(stream, lambda rows: rows, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+        assert {r.id for r in spark.read.schema(schema).parquet(str(tmp_path / "out")).collect()} == want | set(range(100, 110))
