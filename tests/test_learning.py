@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.classification import LogisticRegression
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from siftwell.operators import kernel, learning, metrics
 
@@ -125,3 +125,15 @@ def test_evaluation_takes_few_stages(spark):
     plan.collect()
     final = plan._jdf.queryExecution().executedPlan().toString()
     assert final.split("Initial Plan")[0].count("Exchange hashpartitioning") + final.split("Initial Plan")[0].count("Exchange SinglePartition") <= 8
+
+
+@pytest.mark.parametrize("name", ["LogisticRegression", "RandomForest", "SVM_RBF"])
+def test_models_score_in_a_session_that_has_observed(spark, name):
+    """An observation stays in the session, which a training summary would take to the tasks."""
+    spark.range(5).observe(Observation("seen"), F.count("*").alias("n")).collect()
+    rng = np.random.default_rng(2)
+    rows = [(str(i), int(x.sum() > 0), [float(v) for v in x]) for i, x in enumerate(rng.normal(size=(120, 3)))]
+    train = spark.createDataFrame(rows, "uid string, label int, embedding array<double>")
+    models = learning.estimators(trees=3, depth=3)
+    out = learning.compare(train, train, 3, [(name, False)], models).first()
+    assert out["model"] == name and out["roc_auc"] > 0.9
