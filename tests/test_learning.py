@@ -137,3 +137,21 @@ def test_models_score_in_a_session_that_has_observed(spark, name):
     models = learning.estimators(trees=3, depth=3)
     out = learning.compare(train, train, 3, [(name, False)], models).first()
     assert out["model"] == name and out["roc_auc"] > 0.9
+
+
+def test_training_rows_are_dealt_by_size(spark):
+    """One row group read as several splits is one piece of all rows if small, and equal pieces if not."""
+    rows = kernel.materialise(spark.range(4000).select(F.array_repeat(F.rand(1), 8).alias("embedding")).coalesce(1), "rows")
+    small, large = kernel.in_pieces(rows, 8), kernel.in_pieces(rows, 8, piece=64_000)
+    assert small.rdd.getNumPartitions() == 1
+    sizes = large.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 4 and all(900 < r["count"] < 1100 for r in sizes)
+
+
+def test_lifted_rows_do_not_depend_on_their_chunk(spark, rings):
+    x, y = rings
+    train = frame(spark, np.concatenate((x, x, x)), np.concatenate((y, y, y)))
+    fitted = kernel.NystroemMap.fit(train, 40)
+    got = {r.uid: r.m for r in train.select("uid", fitted.lift(F.col("embedding")).alias("m")).collect()}
+    want = kernel.rbf(np.concatenate((x, x, x)), fitted.landmarks, fitted.gamma) @ fitted.root
+    np.testing.assert_allclose(np.array([got[f"u{i}"] for i in range(1200)]), want, atol=1e-9)
