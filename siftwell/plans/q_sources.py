@@ -9,7 +9,7 @@ from siftwell.operators.sampling import stratified_uncertain
 from siftwell.plans import tables as t
 from siftwell.plans.registry import query, view
 from siftwell.schemas import ANNOTATIONS
-from siftwell.session import scratch_dir
+from siftwell.session import materialise, scratch_dir
 from siftwell.sources import readers, writers
 
 
@@ -95,9 +95,10 @@ _WORDS = r"""
            CASE WHEN n % 2 = 0 THEN 'pos' ELSE 'neg' END AS polarity
     FROM ({_WORDS})""")
 def a09(spark, sf):
-    words = (t.table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all(
-        F.lower("text"), F.lit(WORD), F.lit(0))).alias("phrase"))
-        .groupBy("phrase").agg(F.count_distinct("doc_id").alias("n")))
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
+    words = (t.table(spark, sf, "documents").select("doc_id", F.explode(found).alias("phrase"))
+             .groupBy("phrase").agg(F.count_distinct("doc_id").alias("n")))
+    words = materialise(words, "words")  # read for the size and for both files
     root, size = scratch_dir(spark, "dictionary"), words.agg(F.count("*").alias("n")).scalar()
     for name, parity, sign in (("positive", 0, 1), ("negative", 1, -1)):
         part = words.filter(F.col("n") % 2 == parity).select("phrase", (F.col("n") % 10 / 2 * sign).alias("score"))

@@ -188,3 +188,22 @@ def test_a_table_may_be_a_file_or_a_folder_of_parts(spark, tmp_path, shape):
         stream = incremental.new_files(spark, str(src), schema, pattern)
         incremental.process_new_files(stream, lambda rows: rows, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
         assert {r.id for r in spark.read.schema(schema).parquet(str(tmp_path / "out")).collect()} == want | set(range(100, 110))
+
+
+def test_dictionary_file_reads_its_texts_once(spark, tmp_path, monkeypatch):
+    """Words in repeated documents and repeated in one document; every text is cut into words once."""
+    from siftwell.plans import q_sources
+
+    docs = [(1, "one two two Three"), (2, "two"), (2, "two three"), (None, "two four"), (3, None), (4, "")]
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    rows = spark.createDataFrame(docs, "doc_id long, text string").select("doc_id", counted("text").alias("text"))
+    monkeypatch.setattr(q_sources.t, "table", lambda *_: rows)
+    got = {(r.phrase, r.score, r.polarity) for r in q_sources.a09(spark, "").collect()}
+    assert got == {("one", -0.5, "neg"), ("two", 1.0, "pos"), ("three", 1.0, "pos"), ("four", 0.0, "pos")}
+    assert seen.value == len(docs)
