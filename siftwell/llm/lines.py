@@ -5,8 +5,11 @@ beginning, the others from its end.  Of two lines within that many edits, some s
 edits before and at most ``edits`` - i after it.  So it moves by at most i places from the beginning, or ``edits`` - i
 from the end, whatever the lengths: a line is looked up by (edits + 1)^2 / 2 substrings, and by those of the class
 below only near its border.  Where many lines share a segment and one edit is allowed, the rest is cut in halves,
-one of which has no edit either, until few lines share all but a rest.  Candidates are verified by a banded
-bit-parallel automaton.  Lines are shuffled as hashes; only the texts of candidate lines are fetched.
+one of which has no edit either, until few lines share all but a rest.  Where more edits are allowed, the counts of
+a line's characters are cut in 2 edits + 1 groups, one of which no edit touches; such lines meet only if they also
+share a group, if no more characters are new in the longer one than edits are allowed, and if they are not linked
+already by the line of their crowd that is in most crowds, with which each is compared first.  Candidates are verified
+by a banded bit-parallel automaton.  Lines are shuffled as hashes; only the texts of candidate lines are fetched.
 """
 
 from __future__ import annotations
@@ -14,7 +17,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from siftwell.llm.common import fresh, materialise, table, without
 from siftwell.llm.components import components
@@ -30,6 +35,12 @@ STEPS = 2
 """Classes of lengths from one length to its double."""
 MANY = 32
 """Lines that may share a segment before the rest of each is cut further; rows do not depend on it."""
+FEW = 8
+"""The same where more edits are allowed, before lines are told apart by their characters; rows do not depend on it."""
+KINDS, PLACES, MOST = 32, 3, 127
+"""Classes of characters that are counted, places where lines are parted, and where counts end: cut counts differ by no more than whole ones."""
+SPANS = sorted({int(2 ** (k / 4)) for k in range(4, 100)})
+"""Numbers of characters that are compared from both ends: the largest that a line has, mostly the same for one a few characters longer."""
 OWN, SINGLE, LAST = 1, 2, 4
 """Low bits of a key: a segment of the line itself; one edit is allowed; the segment at the end of such a line."""
 
@@ -106,18 +117,89 @@ def _halves() -> Column:
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
+@F.arrow_udf(T.ArrayType(T.ByteType()))
+def _counts(line: pa.Array) -> pa.Array:
+    """How many characters of each class a line has, cut at ``MOST``, ``1 + PLACES`` times ``KINDS`` counts.
+
+    First of the whole line, by the code point modulo ``KINDS``; then, for each place that parts the line's span (``SPANS``),
+    of as many characters from the beginning and of the rest of the span from the end, each by half as many classes.
+    """
+    spans = np.array(SPANS)
+    found = np.zeros((1 + PLACES, len(line), KINDS), dtype="int64")
+    for start in range(0, len(line), 1024):
+        part = line.slice(start, 1024).to_pylist()
+        points = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), dtype="uint32").astype("int64")
+        sizes = np.array([len(x) for x in part])
+        row = np.repeat(np.arange(len(part)), sizes)
+        before = np.arange(len(points)) - (sizes.cumsum() - sizes)[row]
+        after, span = sizes[row] - before, spans[np.searchsorted(spans, sizes, "right") - 1][row]
+
+        def sums(where, kind):
+            return np.bincount(row[where] * KINDS + kind[where], minlength=len(part) * KINDS).reshape(-1, KINDS)
+
+        here = slice(start, start + len(part))
+        found[0, here] = sums(slice(None), points % KINDS)
+        for place in range(1, PLACES + 1):
+            cut = span * place // (PLACES + 1)
+            found[place, here] = sums(before < cut, points % (KINDS // 2)) + sums(after <= span - cut, points % (KINDS // 2) + KINDS // 2)
+    flat = np.minimum(found, MOST).astype("int8").transpose(1, 0, 2).ravel()
+    return pa.FixedSizeListArray.from_arrays(pa.array(flat), (1 + PLACES) * KINDS).cast(pa.list_(pa.int8()))
+
+
+def _span_column(length: Column) -> Column:
+    return F.array_max(F.filter(F.array(*[F.lit(x) for x in SPANS]), lambda x: x <= length))
+
+
+def _alike(bands: list[tuple[int, int | None, int]]) -> Column:
+    """``array<bigint>``: keys within a key, by the groups of ``counts``: an edit changes two counts at most, so one group stays."""
+    groups = 2 * max(edits for _, _, edits in bands) + 1
+    return F.array(*[F.xxhash64("key", F.lit(j), *[F.get("counts", F.lit(c)) for c in range(j, KINDS, groups)]) for j in range(groups)])
+
+
+def _may_link(a: str, b: str, allowed: Column) -> Column:
+    """Whether two lines may be linked, by their counts: each character that ``b`` has and ``a`` has not takes an edit.
+
+    So does each on either side of a place: the first characters of both lines, the same number, differ by no more
+    than the edits among them, and the last ones by no more than the edits there.
+    """
+    def new(part: int) -> Column:
+        x, y = (F.slice(c, part * KINDS + 1, KINDS) for c in (a, b))
+        return F.aggregate(F.zip_with(x, y, lambda x, y: F.greatest(y.cast("int") - x.cast("int"), F.lit(0))), F.lit(0), lambda n, x: n + x)
+
+    sides = [new(place) <= allowed for place in range(1, PLACES + 1)]
+    return (new(0) <= allowed) & ((F.col("a_span") != F.col("b_span")) | reduce(lambda x, y: x & y, sides))
+
+
+def _to_middle(many: DataFrame, counted: DataFrame, allowed: Column) -> DataFrame:
+    """``a, b``: each line of a crowded key with that line of it which is in most such keys, if their counts allow a link."""
+    weight = many.groupBy("h").agg(F.count("*").alias("w"))
+    middle = many.join(weight, "h").groupBy("key").agg(F.max(F.struct("w", "h", "length")).alias("m")).select("key", F.col("m.h").alias("h"), F.col("m.length").alias("length"))
+    one = F.struct("length", "h", "span", "counts")
+    middle = _if_small(materialise(middle.join(counted, ["h", "length"]).select("key", one.alias("m")), "middle"))
+    both = many.join(counted, ["h", "length"]).select("key", one.alias("x")).join(middle, "key").where("x.h <> m.h")
+    both = both.select(F.least("x", "m").alias("a"), F.greatest("x", "m").alias("b")).withColumns({f"{x}_{c}": F.col(f"{x}.{c}") for x in "ab" for c in ("length", "span")})
+    near = (F.col("b_length") <= F.col("a_length") + allowed) & _may_link("a.counts", "b.counts", allowed)
+    return both.where(near).select(F.col("a.h").alias("a"), F.col("b.h").alias("b")).distinct()
+
+
 def _pairs(rows: DataFrame, allowed: Column) -> DataFrame:
-    """``a, b``: lines that share a key by which ``a``, not the longer, is found; of equal lengths the smaller hash is ``a``."""
-    own = rows.where("own").select("key", F.col("h").alias("a"), F.col("length").alias("a_length"))
-    probe = rows.select("key", F.col("h").alias("b"), F.col("length").alias("b_length"))
+    """``a, b``: lines that share a key by which ``a``, not the longer, is found; of equal lengths the smaller hash is ``a``.
+
+    Where rows have ``counts``, only those of different ``root`` that may be linked by their counts.
+    """
+    counted = ["counts", "span", "root"] if "counts" in rows.columns else []
+    own = rows.where("own").select("key", F.col("h").alias("a"), F.col("length").alias("a_length"), *[F.col(c).alias(f"a_{c}") for c in counted])
+    probe = rows.select("key", F.col("h").alias("b"), F.col("length").alias("b_length"), *[F.col(c).alias(f"b_{c}") for c in counted])
     near = F.col("b_length").between(F.col("a_length"), F.col("a_length") + allowed) & ((F.col("b_length") > F.col("a_length")) | (F.col("a") < F.col("b")))
+    if counted:
+        near = near & (F.col("a_root") != F.col("b_root")) & _may_link("a_counts", "b_counts", allowed)
     return own.join(probe, "key").where(near).select("a", "b")
 
 
-def _crowded(rows: DataFrame, enough: Column | None = None) -> DataFrame:
-    """``key``: the keys that more than ``MANY`` rows share, stored."""
+def _crowded(rows: DataFrame, enough: Column | None = None, many: Column | int = MANY) -> DataFrame:
+    """``key``: the keys that more than ``many`` rows share, stored."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"), *([] if enough is None else [F.max(enough).alias("cut")]))
-    return materialise(sizes.where(F.col("n") > MANY).where("true" if enough is None else "cut").select("key"), "crowded")
+    return materialise(sizes.where(F.col("n") > many).where("true" if enough is None else "cut").select("key"), "crowded")
 
 
 def _if_small(df: DataFrame) -> DataFrame:
@@ -132,12 +214,27 @@ def _texts(rows: DataFrame, distinct: DataFrame, wanted: DataFrame) -> DataFrame
 
 
 def _candidates(rows: DataFrame, distinct: DataFrame, bands: list[tuple[int, int | None, int]]) -> DataFrame:
-    """``a, b``: hashes of lines that share a segment; where many do and one edit is allowed, also all but a rest that few share."""
+    """``a, b``: hashes of lines that share a segment; where many do, also all but a rest that few share, or most characters.
+
+    Pairs that links among the others already join are left out.
+    """
     allowed = reduce(lambda other, band: F.when(_within(F.col("a_length"), *band[:2]), band[2]).otherwise(other), bands, F.lit(-1))
     keyed = distinct.select("h", "length", F.explode("keys").alias("k"))
     keyed = keyed.select("h", "length", "k", F.col("k").bitwiseAND(F.lit(~OWN)).alias("key"), _has(OWN).alias("own"))
-    crowded = _crowded(keyed.where(_has(SINGLE)))
+    crowded = _crowded(keyed, many=F.when(F.col("key").bitwiseAND(F.lit(SINGLE)) != 0, MANY).otherwise(FEW))
     found = [_pairs(keyed.join(crowded, "key", "left_anti"), allowed)]
+    several = crowded.where(F.col("key").bitwiseAND(F.lit(SINGLE)) == 0)
+    if not several.isEmpty():
+        many = materialise(keyed.join(several, "key").select("h", "length", "key", "own"), "several")
+        texts = _texts(rows, distinct, many.select("h").distinct())
+        counted = materialise(texts.select("h", F.length("line").alias("length"), _counts("line").alias("counts")), "counted")
+        counted = counted.withColumn("span", _span_column(F.col("length")))
+        links = _links(_to_middle(many, counted, allowed), texts, bands)
+        roots = components(links).withColumnRenamed("node", "h")
+        counted = materialise(counted.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")), "rooted")
+        parts = many.join(counted, ["h", "length"]).select("h", "length", "own", "counts", "span", "root", F.explode(_alike(bands)).alias("key"))
+        found += [_pairs(parts, allowed), links]
+    crowded = crowded.where(F.col("key").bitwiseAND(F.lit(SINGLE)) != 0)
     if not crowded.isEmpty():
         many = materialise(keyed.join(crowded, "key"), "many")
         texts = _texts(rows, distinct, many.select("h").distinct())
@@ -205,6 +302,14 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     return F.coalesce(_let(both, lambda x: _let(ends(x), lambda y: _let(cut(y), automaton))), F.lit(False))
 
 
+def _links(pairs: DataFrame, texts: DataFrame, bands: list[tuple[int, int | None, int]]) -> DataFrame:
+    """``a, b``: the pairs that are within as many edits as the shorter line allows, stored."""
+    left, right = (texts.select(F.col("h").alias(x), F.col("line").alias(f"{x}_line")) for x in "ab")
+    shorter = F.least(F.length("a_line"), F.length("b_line"))
+    close = [_within(shorter, *band[:2]) & within_edits(F.col("a_line"), F.col("b_line"), band[2]) for band in bands]
+    return materialise(pairs.join(left, "a").join(right, "b").where(reduce(lambda x, y: x | y, close)).select("a", "b"), "links")
+
+
 def _lines(rows: DataFrame, shortest: int, short_repeats: bool) -> DataFrame:
     """Each line that takes part: ``rid, id, pos, line, length, h, h2``."""
     takes_part = F.col("line").rlike(r"(?U)\S") | (F.col("length") >= shortest) if short_repeats else F.col("length") >= shortest
@@ -229,13 +334,9 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edi
     first = F.struct("id", "rid", "pos")
     distinct = materialise(lines.groupBy("h", "h2", "length").agg(F.count("*").alias("n"), F.min(first).alias("first"), F.first(_keys(F.col("line"), F.col("length"), bands)).alias("keys")), "lines")
     pairs = _candidates(rows, distinct, bands)
-    texts = _texts(rows, distinct, pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
-    left, right = (texts.select(F.col("h").alias(x), F.col("line").alias(f"{x}_line")) for x in "ab")
-    shorter = F.least(F.length("a_line"), F.length("b_line"))
-    close = [_within(shorter, *band[:2]) & within_edits(F.col("a_line"), F.col("b_line"), band[2]) for band in bands]
-    links = pairs.join(left, "a").join(right, "b").where(reduce(lambda x, y: x | y, close))
+    links = _links(pairs, _texts(rows, distinct, pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()), bands)
     # groups of linked lines by the first hash: lines that share it are linked to the same group only if it collides
-    group = components(materialise(links.select("a", "b"), "links")).select(F.col("node").alias("h"), "root")
+    group = components(links).select(F.col("node").alias("h"), "root")
     some = distinct.select("h", "h2", "length", "n", "first").join(group, "h", "left").where("n > 1 OR root IS NOT NULL")
     heads = some.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("head"))
     decided = some.join(heads, "root", "left").select("h", "h2", "length", F.coalesce("head", "first").alias("head"))

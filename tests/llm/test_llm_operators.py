@@ -499,6 +499,52 @@ def test_lines_that_share_much(spark, tmp_path, length):
     assert 5 < len(first) < len(texts) - 5
 
 
+@pytest.mark.parametrize("length", [60, 130])
+def test_crowds_of_near_copies(spark, tmp_path, monkeypatch, length):
+    """Many copies of one line, most of them several changes apart: few pairs are compared, and links are those of all pairs."""
+    random.seed(length)
+    line = "".join(random.choice("abcdefgh ") for _ in range(length))
+    found, short = {line}, [line]
+    for _ in range(200):
+        own = list(line)
+        for _ in range(random.randint(2, 3)):
+            at = random.randint(0, len(own) - 6)
+            own[at : at + random.randint(0, 5)] = random.choices("ijklmnopé", k=random.randint(4, 6))
+        short.append("".join(own))
+    for x in short:
+        found.add(x)
+    for x in short[::4]:
+        for n in (1, 2, 3, 4, 5):
+            own = list(x)
+            for at in random.sample(range(len(own)), n):
+                own[at] = random.choice(["X", "YZ", ""])
+            found.add("".join(own))
+    texts = sorted(found)
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    rows = spark.read.parquet(path)
+    least = F.least(F.length("a.text"), F.length("b.text"))
+    allowed = F.when(least >= 80, 4).when(least >= 40, 3).otherwise(1)
+    near = rows.alias("a").join(rows.alias("b"), (F.col("a.doc_id") < F.col("b.doc_id")) & (F.levenshtein("a.text", "b.text") <= allowed))
+    root = list(range(len(texts)))
+    for a, b in near.select("a.doc_id", "b.doc_id").collect():
+        if root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+    pairs, candidates = [], lines._candidates
+
+    def counted(*args):
+        out = candidates(*args)
+        pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "_candidates", counted)
+    got = lines.dedup_lines(rows, edits=lines.BY_LENGTH).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {k: int(root[k] != k) for k in range(len(texts))}
+    assert len(texts) // 4 < len(set(root)) < len(texts) - 50
+    assert sum(pairs) < 12 * len(texts)
+
+
 def test_lines_in_the_pipeline(spark, tmp_path):
     """The number of edits follows the length, and short lines go where they repeat exactly; blank ones stay."""
     random.seed(3)
