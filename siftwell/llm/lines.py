@@ -1,4 +1,4 @@
-"""Line deduplication by a segment-partition edit join, in DataFrame functions only.
+"""Line deduplication by a segment-partition edit join, in DataFrame functions but for counts of characters.
 
 A line has ``edits`` + 1 segments of a size that its class of lengths fixes: the first ones are measured from its
 beginning, the others from its end.  Of two lines within that many edits, some segment i has no edit, exactly i
@@ -185,14 +185,15 @@ def _to_middle(many: DataFrame, counted: DataFrame, allowed: Column) -> DataFram
 def _pairs(rows: DataFrame, allowed: Column) -> DataFrame:
     """``a, b``: lines that share a key by which ``a``, not the longer, is found; of equal lengths the smaller hash is ``a``.
 
-    Where rows have ``counts``, only those of different ``root`` that may be linked by their counts.
+    Where rows have ``counts``, only those of different ``root`` that may be linked by their counts, once.
     """
-    counted = ["counts", "span", "root"] if "counts" in rows.columns else []
+    counted = ["counts", "span", "root", "alike", "j"] if "counts" in rows.columns else []
     own = rows.where("own").select("key", F.col("h").alias("a"), F.col("length").alias("a_length"), *[F.col(c).alias(f"a_{c}") for c in counted])
     probe = rows.select("key", F.col("h").alias("b"), F.col("length").alias("b_length"), *[F.col(c).alias(f"b_{c}") for c in counted])
     near = F.col("b_length").between(F.col("a_length"), F.col("a_length") + allowed) & ((F.col("b_length") > F.col("a_length")) | (F.col("a") < F.col("b")))
     if counted:
         near = near & (F.col("a_root") != F.col("b_root")) & _may_link("a_counts", "b_counts", allowed)
+        near = near & (F.array_position(F.zip_with("a_alike", "b_alike", lambda x, y: x == y), True) == F.col("a_j") + 1)
     return own.join(probe, "key").where(near).select("a", "b")
 
 
@@ -232,7 +233,9 @@ def _candidates(rows: DataFrame, distinct: DataFrame, bands: list[tuple[int, int
         links = _links(_to_middle(many, counted, allowed), texts, bands)
         roots = components(links).withColumnRenamed("node", "h")
         counted = materialise(counted.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")), "rooted")
-        parts = many.join(counted, ["h", "length"]).select("h", "length", "own", "counts", "span", "root", F.explode(_alike(bands)).alias("key"))
+        # a line is in one crowd, whatever the number of crowded keys it shares, and a pair is found by its first common group
+        crowds = components(many, "h", "key").select(F.col("node").alias("h"), F.col("root").alias("key"))
+        parts = counted.join(crowds, "h").withColumn("alike", _alike(bands)).drop("key").select("*", F.lit(True).alias("own"), F.posexplode("alike").alias("j", "key"))
         found += [_pairs(parts, allowed), links]
     crowded = crowded.where(F.col("key").bitwiseAND(F.lit(SINGLE)) != 0)
     if not crowded.isEmpty():
