@@ -155,3 +155,34 @@ def test_lifted_rows_do_not_depend_on_their_chunk(spark, rings):
     got = {r.uid: r.m for r in train.select("uid", fitted.lift(F.col("embedding")).alias("m")).collect()}
     want = kernel.rbf(np.concatenate((x, x, x)), fitted.landmarks, fitted.gamma) @ fitted.root
     np.testing.assert_allclose(np.array([got[f"u{i}"] for i in range(1200)]), want, atol=1e-9)
+
+
+def test_absolute_penalty_takes_few_passes_to_the_minimum_of_spark(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 8))
+    y = (x @ [2.0, -1.0, 0, 0, 0, 0, 0, 0.3] + rng.normal(size=400) / 2 > 0.5).astype(int)
+    fit = learning.with_features(learning.class_weights(frame(spark, x, y)))
+    passes, real = [], learning.linear._summed
+    monkeypatch.setattr(learning.linear, "_summed", lambda *a: (passes.append(1), real(*a))[1])
+    for penalty in (0.1, 0.01, 1 / 400):
+        passes.clear()
+        weights, bias = learning.linear.fit_logistic(fit, penalty, 1.0)
+        spark_model = LogisticRegression(maxIter=1000, tol=1e-10, elasticNetParam=1.0, regParam=penalty, standardization=False, weightCol="weight").fit(fit)
+        np.testing.assert_allclose([*weights, bias], [*spark_model.coefficients, spark_model.intercept], atol=2e-3)
+        assert len(passes) < 40 and ((np.abs(weights) > 1e-6) == (np.abs(spark_model.coefficients) > 1e-6)).all()
+
+
+def test_absolute_penalty_is_not_fitted_by_thousands_of_passes(spark, rings, monkeypatch):
+    x, y = rings
+    fit = learning.class_weights(frame(spark, np.hstack((x, x**2)), y))
+    monkeypatch.setattr(LogisticRegression, "_fit", lambda *_: pytest.fail("a job per pass"))
+    out = metrics.evaluate(learning.predictions(learning.estimators()["LogisticRegression_L1"][0], fit, fit)).first()
+    assert out.roc_auc > 0.95
+
+
+def test_neighbours_of_some_rows_are_those_among_all(spark):
+    rng = np.random.default_rng(6)
+    df = frame(spark, rng.normal(size=(500, 4)).round(1), np.zeros(500))
+    every = {(r.uid, r["rank"]): (r.neighbour, r.distance) for r in learning.nearest_in_class(df, 3, block_rows=7).collect()}
+    some = learning.nearest_in_class(df, 3, of=df.filter("uid LIKE '%7'").select("uid")).collect()
+    assert len(some) == 150 and all(every[r.uid, r["rank"]] == (r.neighbour, r.distance) for r in some)
