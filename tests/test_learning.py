@@ -186,3 +186,23 @@ def test_neighbours_of_some_rows_are_those_among_all(spark):
     every = {(r.uid, r["rank"]): (r.neighbour, r.distance) for r in learning.nearest_in_class(df, 3, block_rows=7).collect()}
     some = learning.nearest_in_class(df, 3, of=df.filter("uid LIKE '%7'").select("uid")).collect()
     assert len(some) == 150 and all(every[r.uid, r["rank"]] == (r.neighbour, r.distance) for r in some)
+
+
+def test_both_rounds_of_retraining_run_at_the_same_time(spark, tmp_path, monkeypatch):
+    from threading import Barrier
+
+    from siftwell.plans import q_learning
+
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(v) for v in x], 0) for i, x in enumerate(rng.normal(size=(200, 64)) / 5)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    both, sizes, real = Barrier(2, timeout=60), [], learning.compare
+
+    def compare(train, *rest):
+        both.wait()
+        sizes.append(train.count())
+        return real(train, *rest)
+
+    monkeypatch.setattr(learning, "compare", compare)
+    out = q_learning._retrained(spark, str(tmp_path), [("LogisticRegression", False)]).collect()
+    assert sorted(r.iteration for r in out) == [0, 1] and sorted(sizes)[1] in range(2 * sorted(sizes)[0] - 2, 2 * sorted(sizes)[0] + 3)
